@@ -17,7 +17,10 @@ BANDS, ROWS = 51, 5
 BLOCK = 1024
 #: Rows of a class of copies that are paired at once; larger classes are paired in several blocks.
 COPIES = 512
-SETS = "row_id long, n int, print long, triples binary"
+#: A candidate's sketch must agree in so many of its bits: at a similarity of 0.6 these are 204 of 255 on average, and
+#: fewer than 178 in some 3 of 100,000 cases.
+AGREE = 178
+SETS = "row_id long, print long, triples binary"
 
 
 def triple_sets(texts: list[str], least: int):
@@ -55,19 +58,33 @@ def _sets(least: int):
             for a, b in slices(lengths, 1 << 22):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 keys = ids.slice(a, b - a).to_pylist()
-                rows = [(keys[i], len(s), int(np.add.reduce(mix(s)).view(np.int64)), s.tobytes()) for i, s in triple_sets(texts, least)]
+                rows = [(keys[i], int(np.add.reduce(mix(s)).view(np.int64)), s.tobytes()) for i, s in triple_sets(texts, least)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["row_id", "n", "print", "triples"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["row_id", "print", "triples"])
 
     return run
 
 
+def _once(batches):
+    """The first row of each class within a task: copies are left out before anything is shuffled."""
+    seen: set[int] = set()
+    for batch in batches:
+        keep = []
+        for i, x in enumerate(batch.column(0).to_pylist()):
+            if x not in seen:
+                seen.add(x)
+                keep.append(i)
+        if keep:
+            yield batch.take(pa.array(keep))
+
+
 def _bands(batches):
-    """(row_id, bands): hashes of ROWS least values of a set under BANDS x ROWS permutations."""
+    """(rep, sketch, bands): one bit of each of BANDS x ROWS minima of a set under as many permutations, and a hash of
+    each ROWS minima."""
     multiply = (mix(np.arange(BANDS * ROWS)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     flip = (mix(np.arange(BANDS * ROWS) + 7919) >> np.uint64(32)).astype(np.uint32)
     salt = mix(np.arange(BANDS))
-    for batch in batches:
+    for batch in _once(batches):
         raw = batch.column(1).to_pylist()
         for lo in range(0, len(raw), 256):
             part = raw[lo : lo + 256]
@@ -82,15 +99,56 @@ def _bands(batches):
             bands = np.repeat(salt[:, None], len(part), 1)
             for r in range(ROWS):
                 bands = mix(bands ^ least[r::ROWS].astype(np.uint64))
+            bits = np.packbits(((least * np.uint32(0x9E3779B1)) >> np.uint32(17)).T & np.uint32(1), axis=1)
             ends = pa.array(np.arange(len(part) + 1) * BANDS, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.ListArray.from_arrays(ends, pa.array(bands.T.reshape(-1).view(np.int64)))], names=["rep", "bands"])
+            columns = [batch.column(0).slice(lo, len(part)), pa.array([x.tobytes() for x in bits], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands.T.reshape(-1).view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "sketch", "bands"])
+
+
+def _abroad(batches):
+    """Batches sorted by key of (key, rep, grp, sketch) -> (rep, grp, other): a member and a higher group of which it
+    meets a member with a like sketch in one band."""
+
+    def pairs(rows: list[tuple[int, int, bytes]]) -> set[tuple[int, int, int]]:
+        out = set()
+        if len(rows) <= 24:
+            bits = [int.from_bytes(x[2]) for x in rows]
+            for i, (rep, grp, _) in enumerate(rows):
+                for j, (_, other, _) in enumerate(rows):
+                    if grp < other and BANDS * ROWS - (bits[i] ^ bits[j]).bit_count() >= AGREE:
+                        out.add((rep, grp, other))
+            return out
+        signs = np.unpackbits(np.frombuffer(b"".join(x[2] for x in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, : BANDS * ROWS] * np.float32(2) - 1
+        grp = np.array([x[1] for x in rows])
+        for lo in range(0, len(rows), 512):
+            for at in range(0, len(rows), 4096):
+                like = signs[lo : lo + 512] @ signs[at : at + 4096].T >= 2 * AGREE - BANDS * ROWS
+                i, j = np.nonzero(like & (grp[lo : lo + 512, None] < grp[None, at : at + 4096]))
+                out |= {(rows[lo + x][0], rows[lo + x][1], rows[at + y][1]) for x, y in zip(i.tolist(), j.tolist())}
+        return out
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["rep", "grp", "other"])
+
+    here, rows = None, []
+    for batch in batches:
+        out: set[tuple[int, int, int]] = set()
+        for key, rep, grp, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != here:
+                out |= pairs(rows) if len(rows) > 1 else set()
+                here, rows = key, []
+            rows.append((rep, grp, sketch))
+        if out:
+            yield table(out)
+    if len(rows) > 1 and (last := pairs(rows)):
+        yield table(last)
 
 
 class Group:
     """Members of one block of a group: their token union and, for each of its tokens, the members that have it."""
 
-    def __init__(self, ids: list[int], groups: list[int], sets: list[np.ndarray]):
-        self.ids, self.of, self.sizes = np.array(ids), np.array(groups), np.array([len(s) for s in sets])
+    def __init__(self, ids: tuple[int, ...], sets: tuple[np.ndarray, ...]):
+        self.ids, self.sizes = np.array(ids), np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         member = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(flat, kind="stable")
@@ -114,68 +172,97 @@ class Group:
 
 
 def _open_groups(least: float):
-    """Batches sorted by (grp, block, role): members (role 0), then queries (role 1) -> pairs of representatives."""
+    """Batches sorted by (grp, block, role, rep): members (role 0), then queries (role 1) -> pairs of classes.
+
+    Members of a block are queries to it as well."""
 
     def run(batches):
-        here, members, group = None, [], None
+        here, members, group, last = None, [], None, None
         for batch in batches:
             out = []
             for grp, block, role, rep, own, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if (grp, block) != here:
-                    here, members, group = (grp, block), [], None
+                    if members:
+                        out += _among(Group(*zip(*members)), members, least)
+                    here, members, group, last = (grp, block), [], None, None
+                if (role, rep) == last:  # a copy from another task
+                    continue
+                last = role, rep
                 tokens = np.frombuffer(raw, np.uint32)
                 if role == 0:
-                    members.append((rep, own, tokens))
+                    members.append((rep, tokens))
                     continue
                 if group is None:
-                    group = Group(*map(list, zip(*members))) if members else None
-                if group is None:
-                    continue
+                    if not members:
+                        continue
+                    group = Group(*zip(*members))
+                    out += _among(group, members, least)
+                    members = []
                 hit, shared = group.similar(tokens, least)
                 for m, n in zip(hit.tolist(), shared.tolist()):
                     other = int(group.ids[m])
-                    if own != grp or rep < other:  # within a group each pair is seen from both sides
+                    if own != grp or rep < other:  # between blocks of a group each pair is seen from both sides
                         out.append((min(rep, other), max(rep, other), n))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["rep_a", "rep_b", "shared"])
+                yield _pairs(out)
+        if members and (out := _among(Group(*zip(*members)), members, least)):
+            yield _pairs(out)
 
     return run
 
 
+def _pairs(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["rep_a", "rep_b", "shared"])
+
+
+def _among(group: Group, members: list, least: float) -> list[tuple[int, int, int]]:
+    out = []
+    if len(members) > 1:
+        for rep, tokens in members:
+            hit, shared = group.similar(tokens, least)
+            out += [(rep, int(group.ids[m]), n) for m, n in zip(hit.tolist(), shared.tolist()) if rep < group.ids[m]]
+    return out
+
+
 def similar_classes(df: DataFrame, id_col: str, text: F.Column, least: float, least_triples: int) -> tuple[DataFrame, DataFrame]:
     """(pairs, membership): pairs (rep_a < rep_b, shared) of classes of equal sets whose similarity is at least `least`,
-    and the class (row_id, rep) of each row with at least `least_triples` triples; rep is the least row of a class."""
-    sets = written(df.select(F.col(id_col).cast("long").alias("row_id"), text.alias("text")).where("row_id is not null").mapInArrow(_sets(least_triples), SETS), "sets")
-    first = sets.groupBy("print", "n").agg(F.min("row_id").alias("rep"))
-    membership = written(sets.select("row_id", "print", "n").join(first, ["print", "n"]).select("row_id", "rep"), "classes")
-    reps = sets.join(first.select(F.col("rep").alias("row_id")), "row_id", "left_semi").dropDuplicates(["row_id"])
-    reps = written(reps.select(F.col("row_id").alias("rep"), "triples"), "representatives")
-
-    # Each representative joins the group whose leader it meets in most bands.
+    and the class (row_id, rep) of each row with at least `least_triples` triples. A class is named by a 64-bit print of
+    its set."""
+    rows = df.select(F.col(id_col).cast("long").alias("row_id"), text.alias("text")).where("row_id is not null")
+    sets = written(rows.mapInArrow(_sets(least_triples), SETS), "sets")
+    membership = sets.select("row_id", F.col("print").alias("rep")).distinct()
+
+    # Each class joins the group whose leader it meets in most bands.
     key = Window.partitionBy("key")
-    banded = reps.mapInArrow(_bands, "rep long, bands array<long>").select("rep", F.explode("bands").alias("key"))
-    met = banded.select("rep", "key", F.min("rep").over(key).alias("leader"), F.max("rep").over(key).alias("last")).where("leader < last").select("rep", "key", "leader")
-    met = written(met, "bands")
+    banded = sets.select("print", "triples").mapInArrow(_bands, "rep long, sketch binary, bands array<long>")
+    banded = written(banded, "banded")
+    met = banded.select("rep", F.explode("bands").alias("key"))
+    met = met.select("rep", "key", F.min("rep").over(key).alias("leader"), F.max("rep").over(key).alias("last")).where("leader < last").select("rep", "key", "leader")
+    met = written(met, "met")
     votes = met.groupBy("rep", "leader").agg(F.count("*").alias("n"))
-    groups = votes.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("grp"))
-    groups = written(groups, "groups")
-
-    # A query meets the groups of all that it shares a band with; a pair across groups is looked for from one side.
-    placed = met.select("rep", "key").join(groups, "rep")
-    others = placed.select("key", F.col("grp").alias("other")).distinct()
-    abroad = placed.join(others, "key").where("other > grp").select("rep", "grp", "other").distinct()
-
-    size = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    groups = written(votes.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("grp")), "groups")
+
+    # A query meets the groups of which a band shows it a member with a like sketch; a pair across groups is looked for
+    # from one side.
+    sketches = banded.select("rep", "sketch").dropDuplicates(["rep"])
+    placed = met.select("rep", "key").distinct().join(groups.join(sketches, "rep"), "rep")
+    mixed = placed.select("key", "rep", "grp", "sketch", F.min("grp").over(key).alias("low"), F.max("grp").over(key).alias("high")).where("low < high")
+    abroad = mixed.select("key", "rep", "grp", "sketch").mapInArrow(_abroad, "rep long, grp long, other long").distinct()
+    abroad = written(abroad, "abroad")
+
+    size = groups.groupBy("grp").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    asked = abroad.select(F.col("other").alias("grp")).distinct().withColumn("asked", F.lit(True))
+    size = size.join(asked, "grp", "left").where("n > 1 or asked").select("grp", "blocks")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    home = groups.join(size, "grp")
-    members = home.select("grp", block.alias("block"), F.lit(0).alias("role"), "rep", F.col("grp").alias("own"))
-    inside = home.select("grp", all_blocks.alias("block"), F.lit(1).alias("role"), "rep", F.col("grp").alias("own"))
+    home = groups.join(size, "grp").withColumn("home", block)
+    members = home.select("grp", F.col("home").alias("block"), F.lit(0).alias("role"), "rep", F.col("grp").alias("own"))
+    inside = home.where("blocks > 1").select("grp", all_blocks.alias("block"), F.lit(1).alias("role"), "rep", F.col("grp").alias("own"), "home").where("block != home").drop("home")
     outside = abroad.select(F.col("other").alias("grp"), "rep", F.col("grp").alias("own")).join(size, "grp").select("grp", all_blocks.alias("block"), F.lit(1).alias("role"), "rep", "own")
-    work = members.unionByName(inside).unionByName(outside).join(reps, "rep")
-    work = work.select("grp", "block", "role", "rep", "own", "triples").repartition("grp", "block").sortWithinPartitions("grp", "block", "role")
-    pairs = work.mapInArrow(_open_groups(least), "rep_a long, rep_b long, shared long")
-    return written(pairs, "pairs"), membership
+    tokens = sets.select(F.col("print").alias("rep"), "triples").mapInArrow(_once, "rep long, triples binary")
+    work = members.unionByName(inside).unionByName(outside).join(tokens, "rep")
+    work = work.select("grp", "block", "role", "rep", "own", "triples").repartition("grp", "block").sortWithinPartitions("grp", "block", "role", "rep")
+    return work.mapInArrow(_open_groups(least), "rep_a long, rep_b long, shared long"), membership
 
 
 def row_pairs(pairs: DataFrame, membership: DataFrame) -> DataFrame:

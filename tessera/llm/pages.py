@@ -11,7 +11,8 @@ from ..session import table
 from .chargrid import slices
 from .labeller import CONTRAST_BITS, Lines, contrast_table, scores, train, weak_labels, words_of
 
-#: Pages in the sample that the labeller is trained on: a bound on the fit alone; counts and labelling cover all rows.
+#: About so many pages, chosen by a hash, are in the sample that the labeller is trained on: a bound on the fit alone;
+#: counts and labelling cover all rows.
 SAMPLE_PAGES = 2000
 #: The probability from which a line counts as the posting's.
 LEAST = 0.5
@@ -37,8 +38,8 @@ def _frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["bucket", "scraped", "other"])
 
 
-def contrast(df: DataFrame, text_col: str, is_page: F.Column) -> np.ndarray:
-    """The contrast table of all rows: 2 ** CONTRAST_BITS numbers, however many rows there are."""
+def contrast(df: DataFrame, text_col: str, is_page: F.Column) -> tuple[np.ndarray, int]:
+    """The contrast table of all rows: 2 ** CONTRAST_BITS numbers, however many rows there are; and how many are pages."""
     rows = df.select(F.col(text_col).alias("_text"), F.coalesce(is_page, F.lit(False)).cast("long").alias("_page")).where(F.trim("_text") != "")
     sums = rows.mapInArrow(_frequencies, "bucket long, scraped long, other long").groupBy("bucket").agg(F.sum("scraped").alias("scraped"), F.sum("other").alias("other"))
     got = sums.toPandas()
@@ -46,7 +47,8 @@ def contrast(df: DataFrame, text_col: str, is_page: F.Column) -> np.ndarray:
     words = got[got.bucket >= 0]
     both[0][words.bucket], both[1][words.bucket] = words.scraped, words.other
     total = got[got.bucket < 0]
-    return contrast_table(both[0], both[1], int(total.scraped.sum()), int(total.other.sum()))
+    n = int(total.scraped.sum())
+    return contrast_table(both[0], both[1], n, int(total.other.sum())), n
 
 
 def main_lines(df: DataFrame, is_page: F.Column, id_col: str = "row_id", title_col: str = "title", text_col: str = "content", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
@@ -54,15 +56,17 @@ def main_lines(df: DataFrame, is_page: F.Column, id_col: str = "row_id", title_c
 
     Labels for training come from the data: rows that aren't pages hold postings alone, so words much more frequent in
     pages mark lines of the page; lines not sure are left out. A bidirectional LSTM over each page's lines reads their
-    form (indent, marks, position, ...) and hashed-word vectors and is fitted to a sample of at most `sample_pages`
+    form (indent, marks, position, ...) and hashed-word vectors and is fitted to a sample of about `sample_pages`
     pages; then it labels every line of every page. Null, empty and blank texts and blank lines give no rows; repeated
     rows stay repeated; other columns are ignored; without any page, or without any row that isn't one, there are no
     sure labels of both kinds, and all non-blank lines of pages are given. Nothing is shuffled but word counts.
     """
     spark = df.sparkSession
     pages = df.where(is_page).select(F.col(id_col).alias("_id"), F.col(title_col).alias("_title"), F.col(text_col).alias("_text")).where(F.trim("_text") != "")
-    table_ = contrast(df, text_col, is_page)
-    sample = pages.orderBy(F.xxhash64("_id", "_text")).limit(sample_pages).collect()
+    table_, n_pages = contrast(df, text_col, is_page)
+    share = min(1.0, sample_pages / max(1, n_pages))
+    sample = pages.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 32)) < int(share * (1 << 32)) + 1).collect()
+    sample.sort(key=lambda r: (r["_id"], r["_text"]))
     model = None
     if sample:
         lines = Lines([r["_text"] for r in sample], [r["_title"] for r in sample], table_)

@@ -16,8 +16,6 @@ from .tokens import texts_of, vocabulary
 
 #: Signs that end a sentence, those that do so without a blank, and those that end a clause (fixed values).
 SENTENCE, WIDE, CLAUSE = ".!?…:।", "。！？", ",;、，；)"
-#: Words of more tokens than this may be cut inside, if nothing better is near.
-LONG_WORD = 16
 #: A cut is looked for this far from the midpoint, as a share of the segment.
 NEAR = 0.2
 
@@ -54,7 +52,7 @@ def strengths(cps: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Slice:
     """Tokens, words and cut places of a few texts."""
 
-    def __init__(self, encoder: Encoder, texts: list[str]):
+    def __init__(self, encoder: Encoder, texts: list[str], long_word: int):
         self.encoder, self.texts = encoder, texts
         self.lo, self.entry, self.first_word = encoder.words_of(texts)
         self.cps, self.ends = join(texts)
@@ -64,13 +62,15 @@ class Slice:
         self.first_token = self.run[self.first_word].tolist()
         places, tokens = [self.lo], [self.run[:-1]]
         strength = [strengths(self.cps, self.ends, self.lo)]
-        for k in np.flatnonzero(np.diff(self.run) > LONG_WORD).tolist():
+        for k in np.flatnonzero(np.diff(self.run) > long_word).tolist():
             char, token = self.inside(k)
             places.append(char), tokens.append(token), strength.append(np.full(len(char), -1))
         place, token = np.concatenate(places), np.concatenate(tokens)
         order = np.argsort(token, kind="stable")
-        self.place, self.token = place[order].tolist(), token[order].tolist()
+        self.place, self.token = [*place[order].tolist(), len(self.cps)], [*token[order].tolist(), len(self.flat)]
         self.strength = (np.concatenate(strength)[order] + 1).astype(np.uint8).tobytes()
+        wide = np.append(0, np.cumsum(self.cps >= 0x80))
+        self.ascii = wide[self.hi] == wide[self.lo]
         self.los, self.runs, self.white = self.lo.tolist(), self.run.tolist(), classes()[self.cps[self.lo]] == SPACE
 
     def inside(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +87,16 @@ class Slice:
         """The number of the place, strictly between tokens a and b, that is strongest near the midpoint; -1 if none."""
         middle, reach = (a + b) / 2, (b - a) * NEAR
         i, j = bisect_left(self.token, middle - reach), bisect_left(self.token, middle + reach)
-        if i == j or max(self.strength[i:j]) <= 1:  # nothing natural near the midpoint: look farther
+        most = max(self.strength[i:j], default=0)
+        if most <= 1:  # nothing natural near the midpoint: look farther
             edge = (b - a) // 16
             i, j = bisect_left(self.token, a + edge + 1), bisect_left(self.token, b - edge)
-        if i >= j:
-            i, j = bisect_left(self.token, a + 1), bisect_left(self.token, b)
-        if i >= j:
-            return -1
-        most, c = max(self.strength[i:j]), min(max(bisect_left(self.token, middle), i), j)
+            if i >= j:
+                i, j = bisect_left(self.token, a + 1), bisect_left(self.token, b)
+            if i >= j:
+                return -1
+            most = max(self.strength[i:j])
+        c = min(max(bisect_left(self.token, middle), i), j)
         left, right = self.strength.rfind(most, i, c), self.strength.find(most, c, j)
         if left < 0 or right >= 0 and self.token[right] - middle < middle - self.token[left]:
             return right
@@ -106,23 +108,19 @@ class Slice:
         out, todo = [a], [(a, b)]
         while todo:  # left halves first
             i, j = todo.pop()
-            if self._token(j) - self._token(i) > most and (k := self.cut(self._token(i), self._token(j))) > 0:
+            if self.token[j] - self.token[i] > most and (k := self.cut(self.token[i], self.token[j])) > 0:
                 todo += [(k, j), (i, k)]
             else:
                 out.append(j)
         return out
 
-    def _token(self, place: int) -> int:
-        return self.token[place] if place < len(self.token) else len(self.flat)
-
-    def _char(self, place: int) -> int:
-        return self.place[place] if place < len(self.place) else len(self.cps)
-
     def overlap_start(self, token: int) -> tuple[int, int]:
         """The first character and token from this token on that start together."""
         k = bisect_right(self.runs, token) - 1
         if self.runs[k] == token:
             return self.los[k], token
+        if self.ascii[k]:  # a token for every so many characters
+            return self.los[k] + int(self.encoder.width[self.flat[self.runs[k] : token]].sum()), token
         char, at = self.inside(k)
         i = np.searchsorted(at, token)
         return (int(char[i]), int(at[i])) if i < len(at) else (int(self.hi[k]), int(self.run[k + 1]))
@@ -151,7 +149,7 @@ class Slice:
 def pieces_of(encoder: Encoder, texts: list[str], budgets: list[tuple[str, int, int]]):
     """Yields (budget, text number, piece_no, char_start, core_start, char_end, overlap_tokens, n_tokens) of texts over
     the limit; positions count characters of the text."""
-    s = Slice(encoder, texts)
+    s = Slice(encoder, texts, min((limit - overlap) // 2 for _, limit, overlap in budgets))  # longer words may be cut inside
     for name, limit, overlap in budgets:
         found = []  # [text, start, core start, end, overlap, own tokens, ranges to encode, place, next place]
         for d in np.flatnonzero(np.diff(s.run[s.first_word]) > limit).tolist():
@@ -173,7 +171,7 @@ def pieces_of(encoder: Encoder, texts: list[str], budgets: list[tuple[str, int,
                 p = found[q]
                 if p[4]:
                     found[q] = _piece(s, p[0], p[7], p[8], max(0, p[4] - max(1, p[5] - limit)))
-                elif (k := s.cut(s._token(p[7]), s._token(p[8]))) > 0:
+                elif (k := s.cut(s.token[p[7]], s.token[p[8]])) > 0:
                     found[q : q + 1] = [_piece(s, p[0], p[7], k, overlap), _piece(s, p[0], k, p[8], overlap)]
         number, previous = 0, -1
         for d, x, core, y, own, tokens, *_ in found:
@@ -184,7 +182,7 @@ def pieces_of(encoder: Encoder, texts: list[str], budgets: list[tuple[str, int,
 
 def _piece(s: Slice, d: int, i: int, j: int, overlap: int) -> list:
     start, end, first = s.start[d], s.start[d + 1], s.first_token[d]
-    core, token, y = s._char(i), s._token(i), min(s._char(j), end)
+    core, token, y = s.place[i], s.token[i], min(s.place[j], end)
     x, at = s.overlap_start(max(first, token - overlap)) if token > first and overlap else (core, token)
     own, anew = s.size(max(x, start), y, end)
     return [d, max(x, start), core, y, token - at, own, anew, i, j]

@@ -25,7 +25,7 @@ SETS = "row_id long, print long, triples binary"
 
 def triple_sets(texts: list[str], least: int):
     """Yields (text number, its distinct word triples as 32-bit hashes) of texts with at least so many triples."""
-    for a, b in slices([len(t) for t in texts], 1 << 20):
+    for a, b in slices([len(t) for t in texts], 1 << 19):
         lower = [t.lower() for t in texts[a:b]]
         cps, ends = join(lower)
         if not len(cps):
@@ -55,7 +55,7 @@ def _sets(least: int):
         for batch in batches:
             ids = batch.column(0)
             lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
-            for a, b in slices(lengths, 1 << 22):
+            for a, b in slices(lengths, 1 << 21):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 keys = ids.slice(a, b - a).to_pylist()
                 rows = [(keys[i], int(np.add.reduce(mix(s)).view(np.int64)), s.tobytes()) for i, s in triple_sets(texts, least)]

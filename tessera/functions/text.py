@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as in the data's producers: Unicode, not just ASCII (fixed values).
 WS = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -77,7 +78,7 @@ def utf16_units(x: Column) -> Column:
     return F.transform(at, lambda i: F.conv(F.substring(h, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def lossy_fnv(texts: pd.Series) -> pd.Series:
     """FNV over UTF-16 units whose multiplication runs in doubles, as the stored hashes were made; 8 hex digits.
 

@@ -21,31 +21,30 @@ def layered_dedup(df: DataFrame, layers: list[str], position: str) -> DataFrame:
     and dropped rows take no part. Null keys never match. Each round settles all rows that are first among the open ones
     in every layer, and then those that share a key with a kept row, so nothing runs row by row; rounds end when no row
     is open."""
-    open_rows = written(df.select(position, *layers), "layered")
-    kept: DataFrame | None = None
-    dropped: DataFrame | None = None
+
+    def clashes(rows: DataFrame, kept: DataFrame) -> DataFrame:
+        """The first layer of each row in which a kept row before it has the same key."""
+        flags = []
+        for i, layer in enumerate(layers):
+            seen = kept.where(F.col(layer).isNotNull()).groupBy(layer).agg(F.min(position).alias(f"_p{i}"))
+            rows = rows.join(seen, layer, "left")
+            flags.append(F.when(F.col(f"_p{i}") < F.col(position), layer))
+        return rows.withColumn("dropped_by", F.coalesce(*flags)).select(position, *layers, "dropped_by")
+
+    every = written(df.select(position, *layers), "layered")
+    open_rows, kept = every, None
     while not open_rows.isEmpty():
         first = F.lit(True)
         for layer in layers:
-            w = Window.partitionBy(layer)
-            first = first & (F.col(layer).isNull() | (F.min(position).over(w) == F.col(position)))
+            first = first & (F.col(layer).isNull() | (F.min(position).over(Window.partitionBy(layer)) == F.col(position)))
         marked = open_rows.withColumn("_first", first)
         keep = written(marked.where("_first").drop("_first"), "kept")
-        rest = marked.where("not _first").drop("_first")
-        flags = []
-        for i, layer in enumerate(layers):
-            seen = keep.where(F.col(layer).isNotNull()).groupBy(layer).agg(F.min(position).alias(f"_p{i}"))
-            rest = rest.join(seen, layer, "left")
-            flags.append(F.when(F.col(f"_p{i}") < F.col(position), layer))
-        rest = written(rest.withColumn("dropped_by", F.coalesce(*flags)).drop(*[f"_p{i}" for i in range(len(layers))]), "rest")
         kept = keep if kept is None else kept.unionByName(keep)
-        out = rest.where("dropped_by is not null")
-        dropped = out if dropped is None else dropped.unionByName(out)
-        open_rows = rest.where("dropped_by is null").drop("dropped_by")
-    none = df.select(position, F.lit(None).cast("string").alias("dropped_by"))
+        open_rows = written(clashes(marked.where("not _first").drop("_first"), keep).where("dropped_by is null").drop("dropped_by"), "open")
     if kept is None:
-        return df.join(none, position)
-    settled = kept.select(position, F.lit(None).cast("string").alias("dropped_by")).unionByName(dropped.select(position, "dropped_by"))
+        return df.withColumn("dropped_by", F.lit(None).cast("string"))
+    rest = every.join(kept.select(position), position, "left_anti")
+    settled = kept.select(position, F.lit(None).cast("string").alias("dropped_by")).unionByName(clashes(rest, kept).select(position, "dropped_by"))
     return df.join(settled, position)
 
 

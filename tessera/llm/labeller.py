@@ -224,14 +224,15 @@ def scores(m: dict, lines: Lines, most: int = 16_384) -> np.ndarray:
     return out
 
 
-def train(lines: Lines, labels: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 7) -> dict[str, np.ndarray]:
-    """A model fitted to labels of 0 and 1 (-1 is left out) by Adam over batches of pages."""
+def train(lines: Lines, labels: np.ndarray, epochs: int = 8, least_steps: int = 320, rate: float = 0.01, seed: int = 7) -> dict[str, np.ndarray]:
+    """A model fitted to labels of 0 and 1 (-1 is left out) by Adam over batches of pages, with a rate falling to 0."""
     m = new_model(seed)
     first = {k: np.zeros_like(v) for k, v in m.items()}
     second = {k: np.zeros_like(v) for k, v in m.items()}
     batches, rng, step = list(padded(lines.sizes, 2048)), np.random.default_rng(seed), 0
     n_words = np.maximum(np.diff(lines.first_word), 1)
-    for epoch in range(epochs):
+    epochs = max(epochs, -(-least_steps // max(1, len(batches))))
+    for _ in range(epochs):
         for b in rng.permutation(len(batches)):
             at = batches[b]
             there = (at >= 0).astype(np.float32)
@@ -261,6 +262,5 @@ def train(lines: Lines, labels: np.ndarray, epochs: int = 6, rate: float = 0.01,
             for k, d in g.items():
                 first[k] += 0.1 * (d - first[k])
                 second[k] += 0.001 * (d * d - second[k])
-                m[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-        rate *= 0.7
+                m[k] -= rate * (1 - step / (epochs * len(batches) + 1)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return m

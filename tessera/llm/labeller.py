@@ -112,19 +112,26 @@ def weak_labels(lines: Lines) -> np.ndarray:
     out = np.full(len(f), -1, np.int8)
     out[(count >= 1) & (mean < 0.3) & (most < 0.75)] = 1
     out[(count >= 4) & (mean < 0.25) & (most < 1.5)] = 1
-    out[(most > 1.6) & (mean > 0.45) & (out < 0)] = 0
+    out[(most > 1.6) & (mean > np.where(count <= 4, 0.45, 0.7)) & (out < 0)] = 0
     out[(f[:, 12] > 0) | (f[:, 5] >= 0.9)] = 0
     titles = np.bincount(lines.page[f[:, 13] > 0], minlength=int(lines.page.max()) + 1 if len(f) else 0)
     own = f[:, 13] > 0
     out[own] = np.where(titles[lines.page[own]] == 1, 1, -1)
     out[(f[:, 14] > 0) & (f[:, 5] > 0)] = 0
-    # Headings that navigation uses, too: after a line of the page, and before another or the posting's own heading.
-    short = (count <= 3) & (f[:, 2] == 0) & (f[:, 4] == 0) & ~own
-    for i in np.flatnonzero(short & (out != 0) & ~own).tolist():
-        before = i == 0 or lines.page[i - 1] != lines.page[i] or out[i - 1] == 0
-        after = i + 1 == len(f) or lines.page[i + 1] != lines.page[i] or out[i + 1] == 0 or own[i + 1]
-        if before and after:
-            out[i] = 0
+    # Headings that navigation uses, too: a run of them after a line of the page, and before another or the posting's own
+    # heading.
+    short = ((count <= 3) & (f[:, 2] == 0) & (f[:, 4] == 0) & ~own & (out != 0)).tolist()
+    page, i = lines.page.tolist(), 0
+    while i < len(f):
+        j = i + 1
+        if short[i]:
+            while j < len(f) and short[j] and page[j] == page[i]:
+                j += 1
+            before = i == 0 or page[i - 1] != page[i] or out[i - 1] == 0
+            after = j == len(f) or page[j] != page[i] or out[j] == 0 or own[j]
+            if before and after:
+                out[i:j] = 0
+        i = j
     sure = out.copy()
     at = np.flatnonzero(sure >= 0)
     for i in np.flatnonzero(sure < 0):

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import EDGE
-
 #: Patterns of work arrangement (fixed values): hybrid first, then remote unless negated, then on site.
-HYBRID = rf"{EDGE}hybrid{EDGE}|{EDGE}\d+\s+days?\s+(?:in|from)\s+office{EDGE}"
-REMOTE = rf"{EDGE}fully\s+remote{EDGE}|{EDGE}100%\s+remote{EDGE}|{EDGE}remote[-\s]?first{EDGE}|{EDGE}work\s+from\s+(?:home|anywhere){EDGE}|{EDGE}wfh{EDGE}|{EDGE}distributed{EDGE}"
-NO_REMOTE = rf"{EDGE}no\s+remote{EDGE}|{EDGE}remote\s+not{EDGE}"
-ON_SITE = rf"{EDGE}on[-\s]?site{EDGE}|{EDGE}in[-\s]?office{EDGE}|{EDGE}in[-\s]?person{EDGE}|{EDGE}no\s+remote{EDGE}"
+HYBRID = r"(?<![a-z0-9_])(?:hybrid|\d+\s+days?\s+(?:in|from)\s+office)(?![a-z0-9_])"
+REMOTE = r"(?<![a-z0-9_])(?:fully\s+remote|100%\s+remote|remote[-\s]?first|work\s+from\s+(?:home|anywhere)|wfh|distributed)(?![a-z0-9_])"
+NO_REMOTE = r"(?<![a-z0-9_])(?:no\s+remote|remote\s+not)(?![a-z0-9_])"
+ON_SITE = r"(?<![a-z0-9_])(?:on[-\s]?site|in[-\s]?office|in[-\s]?person|no\s+remote)(?![a-z0-9_])"
 #: Levels and their words, the first that matches counts (fixed values).
 LEVELS = (("lead", "lead|principal|staff|head|director|vp|architect"), ("senior", r"senior|sr\.?|experienced"), ("mid", "mid|mid-level|intermediate|sde\\s?2"), ("junior", "junior|jr\\.?|entry|graduate|intern|trainee"))
 
@@ -28,7 +26,10 @@ def experience_years(text: Column) -> Column:
 def work_arrangement(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     return (
-        F.when(t.rlike(HYBRID), "hybrid").when(t.rlike(REMOTE), "remote").when(t.rlike(f"{EDGE}remote{EDGE}") & ~t.rlike(NO_REMOTE), "remote").when(t.rlike(ON_SITE), "onsite").otherwise("unknown")
+        F.when(t.rlike(HYBRID), "hybrid")
+        .when(t.rlike(REMOTE), "remote")
+        .when(t.contains("remote") & t.rlike("(?<![a-z0-9_])remote(?![a-z0-9_])") & ~t.rlike(NO_REMOTE), "remote")
+        .when(t.rlike(ON_SITE), "onsite").otherwise("unknown")
     )
 
 
@@ -36,7 +37,7 @@ def seniority(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     out = F.lit("unknown")
     for name, pattern in reversed(LEVELS):
-        out = F.when(t.rlike(rf"{EDGE}(?:{pattern})(?![A-Za-z0-9_])"), name).otherwise(out)
+        out = F.when(t.rlike(rf"(?<![a-z0-9_])(?:{pattern})(?![a-z0-9_])"), name).otherwise(out)
     return out
 
 

@@ -10,8 +10,6 @@ from pyspark.sql import types as T
 
 #: White space as in the data's producers: Unicode, not just ASCII (fixed values).
 WS = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-#: A word boundary that knows ASCII words only.
-EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def round_half_up(x: Column) -> Column:
@@ -33,10 +31,12 @@ def collapse(x: Column) -> Column:
 
 def sanitize(x: Column) -> Column:
     """Markup to blanks, the usual entities decoded in their order, white space collapsed; null as empty."""
-    s = F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]*>", " ")
+    s = F.coalesce(x, F.lit(""))
+    s = F.when(s.contains("<"), F.regexp_replace(s, "<[^>]*>", " ")).otherwise(s)
+    decoded = s
     for entity, sign in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
-        s = F.regexp_replace(s, f"(?i){entity}", sign)
-    return collapse(s)
+        decoded = F.regexp_replace(decoded, f"(?i){entity}", sign)
+    return collapse(F.when(s.contains("&"), decoded).otherwise(s))
 
 
 def strip_markup(x: Column) -> Column:
@@ -53,7 +53,7 @@ def decode_entities(x: Column) -> Column:
 
 def normal_company(x: Column) -> Column:
     """Without the legal form and the punctuation at the end."""
-    s = F.regexp_replace(F.coalesce(x, F.lit("")), rf"(?i)\s*{EDGE}(inc\.?|ltd\.?|llc\.?|corp\.?|gmbh|s\.?a\.?|b\.?v\.?)\s*[,.|]*\s*$", "")
+    s = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?i)\s*(?<![A-Za-z0-9_])(inc\.?|ltd\.?|llc\.?|corp\.?|gmbh|s\.?a\.?|b\.?v\.?)\s*[,.|]*\s*$", "")
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"[,.|]+$", ""), WS + "{2,}", " "))
 
 
@@ -168,3 +168,47 @@ def chunks(x: Column, most: int = 200, overlap: int = 40) -> Column:
         return F.when(i < n, F.struct(after.cast("int").alias("i"), out.alias("out"))).otherwise(state)
 
     return F.when(n == 0, F.array().cast("array<string>")).when(n <= most, F.array(s)).otherwise(F.aggregate(rounds, start, step)["out"])
+
+
+def escape_signs(x: Column) -> Column:
+    """Signs with a meaning in markup, each after a backslash."""
+    return F.regexp_replace(x, r"([_*\[\]()~`>#+\-=|{}.!\\])", r"\\$1")
+
+
+def name_of_slug(x: Column) -> Column:
+    """Words of a slug with a capital first letter, the rest as it is."""
+    parts = F.filter(F.split(F.regexp_replace(x, "[-_]+", " "), " "), lambda p: p != "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), " ")
+
+
+def slug_variants(x: Column) -> Column:
+    """Ways to write a name in an address: joined, with hyphens, without its legal form, its first word."""
+    low = F.lower(normal_company(x))
+    joined, hyphens = F.regexp_replace(low, "[^a-z0-9]+", ""), F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.array_distinct(F.filter(F.array(joined, hyphens, F.split_part(hyphens, F.lit("-"), F.lit(1))), lambda s: s != ""))
+
+
+def ago(then: Column, now: Column) -> Column:
+    """The time passed in whole minutes, hours or days."""
+    m = F.floor((F.unix_micros(now) - F.unix_micros(then)) / 60_000_000)
+    many = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
+    return F.when(m < 1, "just now").when(m < 60, many(m, "minute")).when(m < 1440, many(F.floor(m / 60), "hour")).otherwise(many(F.floor(m / 1440), "day"))
+
+
+def bar(n: Column, most: Column, width: int = 20) -> Column:
+    """A bar of `width` signs at most, at least one for a number above 0."""
+    size = F.when(n > 0, F.greatest(F.lit(1), round_half_up(F.try_divide(n, most) * width))).otherwise(0).cast("int")
+    return F.repeat(F.lit("█"), size)
+
+
+def message_parts(x: Column, most: int) -> Column:
+    """Lines of a text gathered to parts of at most `most` characters; a longer line is a part of its own."""
+    start = F.array().cast("array<string>")
+
+    def step(out: Column, line: Column) -> Column:
+        last = F.element_at(out, -1)
+        joined = F.concat(last, F.lit("\n"), line)
+        fits = (F.size(out) > 0) & (F.length(joined) <= most)
+        return F.when(fits, F.array_append(F.slice(out, 1, F.size(out) - 1), joined)).otherwise(F.array_append(out, line))
+
+    return F.aggregate(F.split(F.coalesce(x, F.lit("")), "\n"), start, step)

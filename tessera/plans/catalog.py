@@ -5,8 +5,8 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> text).
-MODULES = ("instants", "quantities", "relational", "texts", "parsing", "streams")
-FLAGSHIP = "p1_found"
+MODULES = ("instants", "quantities", "relational", "texts", "parsing", "streams", "scoring")
+FLAGSHIP = "sc09_scores"
 
 
 def collect(kind: str) -> dict:

@@ -6,12 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, text, vector
+from ..operators.match import match_terms
 from .registry import Registry
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
-#: Words of skills looked for (fixed values).
-SKILLS = ["python", "java", "scala", "rust", "go", "c++", "c#", ".net", "node.js", "react", "vue", "svelte", "kafka", "spark", "flink", "docker", "kubernetes", "postgres", "mysql", "redis", "graphql", "typescript"]
 _no_space = "regexp_replace({}, '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}\\x{{FEFF}}\\x{{1680}}\\x{{2028}}\\x{{2029}}\\x{{205F}}\\v]+', ' ', 'g')"
 _sane = "regexp_replace(coalesce(content, ''), '<[^>]*>', ' ', 'g')"
 for _e, _s in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
@@ -92,7 +91,7 @@ def _(t):
 @R.add("sx11_matcher", "select k keyword, count(*) n from (select lower(coalesce(content, '')) c from raw_jobs) join (select unnest(['python', 'java', 'scala', 'rust', 'kafka', 'docker', 'graphql', 'c++', 'c#', '.net', 'node.js']) k) on regexp_matches(c, '(^|[^a-z0-9_' || case when k[1] in ('+', '.', '-') then '+.\\-' else '' end || '])' || regexp_replace(k, '([.+#])', '\\\\\\1', 'g') || '($|[^a-z0-9_' || case when k[-1] in ('+', '.', '-') then '+.\\-' else '' end || '])') group by k")
 def _(t):
     keys = ["python", "java", "scala", "rust", "kafka", "docker", "graphql", "c++", "c#", ".net", "node.js"]
-    return t("raw_jobs").select(F.explode(extract.matched_keywords(F.col("content"), keys)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
+    return t("raw_jobs").select(F.explode(match_terms(F.col("content"), keys)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
 
 
 @R.add("flt02_prefilter", "select row_id from (select row_id, (regexp_matches(lower(coalesce(title, '')), '(^|[^a-z0-9_])(data|platform)($|[^a-z0-9_])')) t, (regexp_matches(c, '(^|[^a-z0-9_])kafka($|[^a-z0-9_])'))::int + (regexp_matches(c, '(^|[^a-z0-9_])spark($|[^a-z0-9_])'))::int + (regexp_matches(c, '(^|[^a-z0-9_])docker($|[^a-z0-9_])'))::int n from (select *, lower(coalesce(content, '')) c from raw_jobs)) where t or n >= 2")

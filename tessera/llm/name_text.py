@@ -8,7 +8,11 @@ import unicodedata
 
 #: Legal forms, connecting words and decoration of firms' names (fixed values).
 LEGAL = {"inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "plc", "gmbh", "ag", "sa", "bv", "co", "kg", "sl", "se", "sarl", "sas", "nv", "oy", "ab", "spa", "srl"}
-LINKS = {"and", "und", "et", "y", "e", "amp", "the"}
+LINKS = {"and", "und", "et", "amp", "the"}
+#: Connecting words that are initials elsewhere: they count between words only (fixed values).
+SHORT_LINKS = {"y", "e"}
+#: Legal forms long enough to be mistyped (fixed values).
+LONG_LEGAL = ("incorporated", "limited", "corporation")
 DECOR = {"group", "careers", "career", "jobs", "talent", "hiring", "team", "recruiting", "holding"}
 TAIL = re.compile(r"(?:\s*[-–—|,]\s*(?:careers?|jobs|talent(?: partner)?|hr|recruiting|recruiter|hiring team)|\s+(?:hiring team|via feed|group)|\s*\((?:recruiter|hr|talent)\))\s*$")
 HEAD = re.compile(r"^(?:recruiter|posted by|by|from|contact|author)\b\s*:?\s+")
@@ -62,6 +66,14 @@ def distance(a: str, b: str, most: int) -> int:
     return row[-1] if row[-1] <= most else most + 1
 
 
+def near(a: str, b: str, most: int) -> int:
+    """distance, but "rn" for "m" is one edit, as when a name was read off an image."""
+    d = distance(a, b, most)
+    if d > 1 and ("rn" in a or "rn" in b):
+        d = min(d, 1 + distance(a.replace("rn", "m"), b.replace("rn", "m"), most))
+    return d
+
+
 def allowed(word: str) -> int:
     """Edits that a word of this length may have."""
     return 0 if len(word) < 4 else 1 if len(word) < 7 else 2
@@ -69,7 +81,7 @@ def allowed(word: str) -> int:
 
 def word_cost(typed: str, word: str) -> float | None:
     """How far a typed word is from a word of a name, or from a short form of it; None if too far."""
-    d = distance(typed, word, allowed(word))
+    d = near(typed, word, allowed(word))
     best = d if d <= allowed(word) else None
     for short in SHORT.get(word, "").split():
         most = 0 if len(short) < 3 else 1
@@ -103,6 +115,10 @@ class Spelling:
         s = re.sub(r"(?<=\b[a-z])\.(?=[a-z]\b)", "", s)  # b.v. -> bv
         s = re.sub(r"[^\w\s']|_", " ", s)
         words = [w for w in s.split() if w not in LINKS]
+        if len(words) > 2:
+            words = [w for i, w in enumerate(words) if w not in SHORT_LINKS or i in (0, len(words) - 1)]
+        if len(words) > 1 and len(words[-1]) > 4 and any(distance(words[-1], x, 2) <= 2 for x in LONG_LEGAL):
+            words[-1] = "ltd"
         # "instruments sakund energy ag": legal forms stand at the end, or before a comma
         self.legal = [w for w in words if w in LEGAL]
         self.words = [w for w in words if w not in LEGAL and w not in DECOR] or [w for w in words if w not in LEGAL]
@@ -145,6 +161,8 @@ def block_keys(words: list[str], joined: str, acronym: str | None) -> set[str]:
     for w in words:
         if len(w) >= 4:
             keys |= {f"w:{k}" for k in deletes(w)}
+            if "rn" in w or "m" in w:
+                keys.add(f"o:{w.replace('rn', 'm')}")
     if len(joined) >= 8:
         keys |= {f"p:{k}" for k in deletes(joined[:8])} | {f"s:{k}" for k in deletes(joined[-8:])}
     return keys
@@ -227,7 +245,7 @@ class Resolver:
         for i, w in enumerate(words):
             if len(w) < 3:
                 continue
-            d = distance(w, k.surname, allowed(k.surname))
+            d = near(w, k.surname, allowed(k.surname))
             if d > allowed(k.surname):
                 continue
             others = words[:i] + words[i + 1 :]

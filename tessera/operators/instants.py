@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.instant_text import parse_instant
-from ..session import scratch_path
+from ..session import drop_at_exit, scratch_path
 
 KEYS = ["raw", "tz_name", "locale"]
 DICTIONARY = "raw string, tz_name string, locale string, utc_us long"
@@ -21,13 +21,6 @@ def _parse(batches):
         yield pdf.assign(utc_us=pd.array(utc, dtype="Int64"))
 
 
-def known_values(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(DICTIONARY).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], DICTIONARY)
-
-
 def extend_dictionary(values: DataFrame, path: str) -> DataFrame:
     """Adds the values (raw, tz_name, locale) that the dictionary at path lacks, each parsed once; gives all of it.
 
@@ -66,4 +59,6 @@ def normalise_instants(df: DataFrame, locales: DataFrame, fields: list[str], id_
         .select("_id", "field", "raw", F.coalesce("tz_name", F.lit("")).alias("tz_name"), F.coalesce("locale", F.lit("")).alias("locale"))
     )
     parsed = extend_dictionary(long, path).where("utc_us is not null")
+    if not dictionary:
+        drop_at_exit(df.sparkSession, path)
     return long.join(parsed, KEYS).select(F.col("_id").alias(id_col), "field", "utc_us")

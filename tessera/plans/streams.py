@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, table
+from ..session import drop_at_exit, scratch_path, table
 from ..streaming import counters
 
 QUERIES, SQL = {}, {}
@@ -22,8 +22,10 @@ def source(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def run(df: DataFrame, name: str, mode: str) -> DataFrame:
     spark = df.sparkSession
-    out = scratch_path(spark, name)
-    counters.to_table(df, out, scratch_path(spark, f"{name}-checkpoint"), mode).awaitTermination()
+    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    counters.to_table(df, out, state, mode).awaitTermination()
+    drop_at_exit(spark, out)
+    drop_at_exit(spark, state)
     return spark.read.parquet(out)
 
 

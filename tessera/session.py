@@ -44,10 +44,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Lets a scratch folder go when the application ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder: lineage is cut and a lost executor loses nothing."""
+    """The rows of df, written once to the shared folder: lineage is cut and a lost executor loses nothing. The folder
+    goes when the application ends."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -23,9 +23,9 @@ def _frequencies(batches):
     size = 1 << CONTRAST_BITS
     counts, n = np.zeros((2, size), np.int64), [0, 0]
     for batch in batches:
-        texts, kinds = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
-        for a, b in slices([len(t) for t in texts], 1 << 20):
-            _, ends, lo, h = words_of(texts[a:b])
+        kinds = np.array(batch.column(1).to_pylist(), np.int64)
+        for a, b in slices(pa.compute.binary_length(batch.column(0)).to_pylist(), 1 << 20):
+            _, ends, lo, h = words_of(batch.column(0).slice(a, b - a).to_pylist())
             own = kinds[a:b]
             text = np.searchsorted(ends, lo, "right") - 1
             seen = np.unique((text << CONTRAST_BITS) | (h >> np.uint64(64 - CONTRAST_BITS)).astype(np.int64))
@@ -79,9 +79,8 @@ def main_lines(df: DataFrame, is_page: F.Column, id_col: str = "row_id", title_c
     def run(batches):
         fitted, known = sent.value
         for batch in batches:
-            ids, titles, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in slices([len(t) for t in texts], 1 << 20):
-                part = Lines(texts[a:b], titles[a:b], known)
+            for a, b in slices(pa.compute.binary_length(batch.column(2)).to_pylist(), 1 << 20):
+                part = Lines(*(batch.column(c).slice(a, b - a).to_pylist() for c in (2, 1)), known)
                 hit = np.flatnonzero(scores(fitted, part) >= LEAST) if fitted is not None else np.arange(len(part.page))
                 own = batch.column(0).slice(a, b - a).take(pa.array(part.page[hit]))
                 yield pa.RecordBatch.from_arrays([own, pa.array(part.number[hit], pa.int64())], names=[id_col, "line_no"])

@@ -138,8 +138,7 @@ class Encoder:
             for part in range(0, len(rows), step := max(1, (1 << 20) // width)):
                 self._matrix(raw, rows[part : part + step], width, out)
             low, width = width, width * 2
-        for i in np.flatnonzero(n > 64):
-            out[i] = self._long(self.byte_ids[np.frombuffer(raw[i], np.uint8)])
+        self._long(raw, np.flatnonzero(n > 64), out)
         return out
 
     def _matrix(self, raw: list[bytes], rows: np.ndarray, width: int, out: list[np.ndarray]) -> None:
@@ -185,24 +184,44 @@ class Encoder:
             rank[:, : ids.shape[1] - 1][there] = np.where(found < 0, NONE, found)
         return rank
 
-    def _long(self, ids: np.ndarray) -> np.ndarray:
-        """One long word: each round merges all places of the least rank from the left, which equals merging them one
-        by one, as a merge never makes a pair of lower rank."""
-        while len(ids) > 1:
-            found = self.pairs.get(self._pair(ids[:-1], ids[1:]))
-            rank = np.where(found < 0, NONE, found)
-            least = rank.min()
-            if least == NONE:
-                break
-            at = np.flatnonzero(rank == least)
-            if len(at) > 1 and (np.diff(at) == 1).any():  # overlapping places, as in "aaa": every other one of a run
-                run = np.cumsum(np.append(True, np.diff(at) > 1))
-                first = np.append(True, np.diff(run) > 0)
-                at = at[(at - at[first][run - 1]) % 2 == 0]
-            ids = ids.copy()
-            ids[at] = self.made[least]
-            ids = np.delete(ids, at + 1)
-        return ids
+    def _long(self, raw: list[bytes], rows: np.ndarray, out: list[np.ndarray]) -> None:
+        """Long words, one behind the other in one array: each round, every word merges all places of its least rank from
+        the left, which equals merging them one by one, as a merge never makes a pair of lower rank."""
+        if not len(rows):
+            return
+        ids = self.byte_ids[np.frombuffer(b"".join(raw[i] for i in rows), np.uint8)]
+        size = np.fromiter((len(raw[i]) for i in rows), np.int64, len(rows))
+        rank = np.full(len(ids), NONE, np.int32)
+        self._rank_at(np.arange(len(ids)), ids, rank, size)
+        while len(rows):
+            start = np.cumsum(size) - size
+            least = np.minimum.reduceat(rank, start)
+            if (least == NONE).any():
+                for k in np.flatnonzero(least == NONE).tolist():
+                    out[rows[k]] = ids[start[k] : start[k] + size[k]].copy()
+                live = least < NONE
+                kept = np.repeat(live, size)
+                rows, size, ids, rank = rows[live], size[live], ids[kept], rank[kept]
+                continue
+            at = np.flatnonzero(rank == np.repeat(least, size))
+            if (np.diff(at) == 1).any():  # overlapping places, as in "aaa": every other one of a run
+                first = np.append(True, np.diff(at) > 1)
+                at = at[(at - at[first][np.cumsum(first) - 1]) % 2 == 0]
+            ids[at] = self.made[rank[at]]
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            size = size - np.bincount(np.searchsorted(start, at, "right") - 1, minlength=len(size))
+            ids, rank = ids[kept], rank[kept]
+            at = at - np.arange(len(at))
+            self._rank_at(np.union1d(at, np.maximum(at - 1, 0)), ids, rank, size)
+
+    def _rank_at(self, at: np.ndarray, ids: np.ndarray, rank: np.ndarray, size: np.ndarray) -> None:
+        """Ranks of the pairs that begin at these places; none at the last place of a word."""
+        rank[at] = NONE
+        at = at[~np.isin(at, np.cumsum(size) - 1, assume_unique=True)]
+        found = self.pairs.get(self._pair(ids[at], ids[at + 1]))
+        rank[at] = np.where(found < 0, NONE, found)
+
 
     # -- columns ----------------------------------------------------------------------------------------------------
     def _learn(self, hashes: np.ndarray, cps: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:

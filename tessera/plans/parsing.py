@@ -30,13 +30,13 @@ def _(t):
     return jobs.join(cursor, "sourceurl").where("fetched_at > cursor").select("row_id")
 
 
-@R.add("src26_json_lines")
+@R.add("src26_json_lines", "with l as (select doc_id, unnest(range(0, len(ls))) line_no, unnest(ls) line from (select doc_id, list_transform(string_split_regex(text, '\\r?\\n'), lambda x: '[' || regexp_replace(x, '^\\s*\\[|\\]\\}?\\s*$|,\\s*$', '', 'g') || ']') ls from documents where doc_kind = 'api_payload')), o as (select doc_id, line_no, unnest(json_extract(line, '$[*]')) o from l where json_valid(line)) select doc_id, line_no::int line_no, try_cast(json_extract_string(o, '$.id') as bigint) id, json_extract_string(o, '$.title') title, try_cast(json_extract_string(o, '$.score') as double) score from o where json_extract_string(o, '$.id') is not null")
 def _(t):
-    rows = feeds.json_lines(t("documents").where("doc_kind = 'api_payload'").withColumn("text", F.regexp_replace("text", r"(?m)^\s*\[|\]\s*$|,\s*$", "")), "text", ["doc_id"], "id bigint, title string, score double")
+    rows = feeds.json_lines(t("documents").where("doc_kind = 'api_payload'"), "text", ["doc_id"], "id bigint, title string, score double")
     return rows.where("id is not null").select("doc_id", "line_no", "id", "title", "score")
 
 
-@R.add("src06_board_records")
+@R.add("src06_board_records", "with w as (select doc_id, '[' || text || ']' j from documents where doc_kind = 'api_payload'), v as (select doc_id, case when json_array_length(j) = 1 and json_type(j, '$[0]') = 'ARRAY' then json_extract(j, '$[0]') when json_array_length(j) = 1 and json_type(j, '$[0].jobs') = 'ARRAY' then json_extract(j, '$[0].jobs') else j::json end j from w where json_valid(j)), o as (select doc_id, unnest(json_extract(j, '$[*]')) o, unnest(range(0, json_array_length(j)::bigint)) position from v) select doc_id, position::int as position, json_extract_string(o, '$.id') id, json_extract_string(o, '$.title') title, json_extract_string(o, '$.snippet') as content, list_concat(list_transform(coalesce(json_extract(o, '$.skills[*]'), []), lambda x: x->>'$'), case when json_extract_string(o, '$.remote') = 'true' then ['Remote'] else [] end) categories from o where json_extract_string(o, '$.title') is not null")
 def _(t):
     return boards.board_records(t("documents").where("doc_kind = 'api_payload'"), "text", "plain", ["doc_id"]).select("doc_id", "position", "id", "title", "content", "categories")
 

@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators.match import match_terms
 from ..operators.score import Rules, score
 from .registry import Registry
+from .texts import clean_sql
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -24,12 +25,39 @@ def _scored(t):
     return score(t("raw_jobs"), RULES, "title", "content", ["row_id", "sourceurl", "fetched_at"])
 
 
-@R.add("sc09_scores")
+def _score_sql(r: Rules) -> str:
+    """The score of each record (row_id, score, label, excluded and its parts) in SQL."""
+
+    def hit(term: str, column: str) -> str:
+        before, after = ("a-z0-9_+.\\-" if end in "+.-" else "a-z0-9_" for end in (term[0], term[-1]))
+        quoted = "".join("\\" + c if c in "+.#-" else c for c in term)
+        return f"regexp_matches({column}, '(^|[^{before}]){quoted}($|[^{after}])')"
+
+    hits = lambda terms, column: "(" + (" + ".join(f"{hit(t, column)}::int" for t in terms) or "0") + ")"
+    all_of = lambda terms: " and ".join(hit(t, "x") for t in terms)
+    w = r.weights
+    bonus = " + ".join([f"case when {all_of(c)} then {p} else 0 end" for c, p in r.combinations] + [f"case when must = 0 and {hits(c, 'x')} > 0 then {p} else 0 end" for c, p in r.penalties])
+    steps = "case roles " + " ".join(f"when {i} then {x}" for i, x in enumerate(r.title_steps[:-1])) + f" else {r.title_steps[-1]} end"
+    labels = "case " + " ".join(f"when score >= {n} then '{name}'" for n, name in r.labels) + " end"
+    return f"""
+with c as (select row_id, lower({clean_sql("title")}) t, lower(concat_ws(' ', {clean_sql("title")}, {clean_sql("content")})) x from raw_jobs),
+h as (select *, {hits(r.widened(r.must), "x")} must, {hits(r.widened(r.should), "x")} should, {hits(r.widened(r.nice), "x")} nice, {hits(r.widened(r.roles), "t")} roles,
+  {hits(r.widened(r.places), "x")} > 0 place, {hits(r.widened(r.exclude), "x")} > 0 excluded from c),
+p as (select *, floor({w["title"]} * {steps} + 0.5)::bigint title_points,
+  least({w["skills"]}, floor((must / {len(r.must)} * 0.7 + should / {len(r.should)} * 0.3) * {w["skills"]} + 0.5))::bigint skill_points,
+  floor(nice / {len(r.nice)} * {w["tech"]} + 0.5)::bigint tech_points, (case when place then {w["place"]} else 0 end)::bigint place_points, ({bonus})::bigint bonus_points from h),
+b as (select *, title_points + skill_points + tech_points + place_points base from p),
+s as (select *, (case when excluded then 0 else least(case when must = 0 then {r.cap_without_must} else 100 end, greatest(0, least(100, bonus_points + case
+  when must + should + nice + roles = 0 then floor(base * 0.1 + 0.5) when must = 0 then base when must + should < {r.least_primary} then floor(base * greatest(0.5, (must + should) / {r.least_primary}) + 0.5) else base end))) end)::bigint score from b)
+select row_id, score, {labels} as label, excluded, title_points, skill_points, tech_points, place_points, bonus_points, 0::bigint semantic_points from s"""
+
+
+@R.add("sc09_scores", _score_sql(RULES))
 def _(t):
     return _scored(t).drop("sourceurl", "fetched_at", "skills")
 
 
-@R.add("sc12_labels")
+@R.add("sc12_labels", f"select label, count(*) n, round(avg(score), 6) mean from ({_score_sql(RULES)}) group by label")
 def _(t):
     return _scored(t).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
@@ -41,7 +69,7 @@ def _(t):
     return t("raw_jobs").select("row_id", F.least(F.lit(100), points).cast("long").alias("quick"))
 
 
-@R.add("sc17_source_feedback")
+@R.add("sc17_source_feedback", f"select sourceurl, count(*) n, max(score) best, least(5, greatest(-5, floor(avg(score) - 20 + 0.5))) delta from ({_score_sql(RULES)}) join (select row_id, sourceurl from raw_jobs) using (row_id) group by sourceurl")
 def _(t):
     s = _scored(t).groupBy("sourceurl").agg(F.avg("score").alias("mean"), F.count("*").alias("n"), F.max("score").alias("best"))
     return s.select("sourceurl", "n", "best", text.clamp(text.round_half_up(F.col("mean") - 20), -5, 5).alias("delta"))

@@ -12,13 +12,25 @@ from .registry import Registry
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
 _no_space = "regexp_replace({}, '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}\\x{{FEFF}}\\x{{1680}}\\x{{2028}}\\x{{2029}}\\x{{205F}}\\v]+', ' ', 'g')"
-_sane = "regexp_replace(coalesce(content, ''), '<[^>]*>', ' ', 'g')"
-for _e, _s in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
-    _sane = f"regexp_replace({_sane}, '{_e}', '{_s}', 'gi')"
+
+
+def clean_sql(column: str) -> str:
+    """sanitize() in SQL."""
+    x = f"regexp_replace(coalesce({column}, ''), '<[^>]*>', ' ', 'g')"
+    for entity, sign in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
+        x = f"regexp_replace({x}, '{entity}', '{sign}', 'gi')"
+    return f"trim({_no_space.format(x)})"
+
+
 _title = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(title, ''), '[\\x{1F300}-\\x{1FFFF}]', '', 'g'), '\\s*\\((?:m/w/d|remote|all\\s+levels?|anywhere|f/m/d|all\\s+genders?)\\)', '', 'gi'), '\\s*\\[(?:remote|contract|full[- ]?time|part[- ]?time)\\]', '', 'gi'), '\\s{2,}', ' ', 'g'))"
 
+_firm = "trim(regexp_replace(regexp_replace(regexp_replace(coalesce({}, ''), '\\s*\\b(inc\\.?|ltd\\.?|llc\\.?|corp\\.?|gmbh|s\\.?a\\.?|b\\.?v\\.?)\\s*[,.|]*\\s*$', '', 'i'), '[,.|]+$', ''), '\\s{{2,}}', ' ', 'g'))"
+_units = "flatten(list_transform(range(1, length({0}) + 1), lambda i: case when ord(substr({0}, i::int, 1)) < 65536 then [ord(substr({0}, i::int, 1))] else [55296 + ((ord(substr({0}, i::int, 1)) - 65536) >> 10), 56320 + ((ord(substr({0}, i::int, 1)) - 65536) & 1023)] end))"
+#: The lossy hash in SQL: the product is rounded to a double, and its remainder is taken from 0 up.
+_fold = "lpad(lower(to_hex(list_reduce(list_prepend(2166136261::bigint, list_transform({}, lambda u: u::bigint)), lambda h, c: ((fmod((case when xor(h, c) >= 2147483648 then xor(h, c) - 4294967296 else xor(h, c) end)::double * 16777619.0, 4294967296.0) + 4294967296.0)::bigint % 4294967296)))), 8, '0')"
+
 
-@R.add("sx01_sanitize", f"select row_id, trim({_no_space.format(_sane)}) clean from raw_jobs")
+@R.add("sx01_sanitize", f"select row_id, {clean_sql('content')} clean from raw_jobs")
 def _(t):
     return t("raw_jobs").select("row_id", text.sanitize(F.col("content")).alias("clean"))
 
@@ -28,12 +40,12 @@ def _(t):
     return t("raw_jobs").select("row_id", text.normal_title(F.col("title")).alias("title"))
 
 
-@R.add("sx06_companies")
+@R.add("sx06_companies", f"select {_firm.format('company')} company, count(*) n from raw_jobs group by 1")
 def _(t):
     return t("raw_jobs").select(text.normal_company(F.col("company")).alias("company")).groupBy("company").agg(F.count("*").alias("n"))
 
 
-@R.add("dd06_hashes")
+@R.add("dd06_hashes", f"with k as (select row_id, regexp_replace(lower({_firm.format('company')}), '\\s+', ' ', 'g') || '::' || regexp_replace(lower({_title}), '\\s+', ' ', 'g') k, substr(coalesce(content, ''), 1, 500) c, trim(lower(coalesce(list_filter(categories, lambda x: regexp_matches(x, '(?i)remote|hybrid|onsite|india|europe|worldwide'))[1], ''))) p from raw_jobs), s as (select row_id, k || '::' || c a, k b, k || '::' || p d from k) select row_id, {_fold.format(_units.format('a'))} content_hash, {_fold.format(_units.format('b'))} similarity_hash, {_fold.format(_units.format('d'))} identity_hash from s")
 def _(t):
     key = text.dedupe_key(F.col("title"), F.col("company"))
     content = F.substring(F.coalesce("content", F.lit("")), 1, 500)
@@ -158,7 +170,7 @@ def _(t):
     return t("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@R.add("prj01_normalise")
+@R.add("prj01_normalise", f"with x as (select *, coalesce(nullif(trim(link), ''), nullif(trim(url), '')) l, coalesce(nullif(trim(company), ''), nullif(trim(creator), '')) f from raw_jobs) select row_id, coalesce(case when trim(id) <> '' then id end, case when trim(link) <> '' then link end, case when trim(url) <> '' then url end, '') id, coalesce(case when trim(link) <> '' then link end, case when trim(url) <> '' then url end, '') link, {_title} title, {_firm.format('case when trim(company) <> chr(32)[2:] then company when trim(creator) <> chr(32)[2:] then creator end')} company, substr(coalesce(content, ''), 1, 500) snippet, coalesce(categories, []) categories from raw_jobs")
 def _(t):
     j = t("raw_jobs")
     link = F.coalesce(text.blank_to_null(F.col("link")), text.blank_to_null(F.col("url")), F.lit(""))

@@ -39,10 +39,12 @@ HOSTS = [
 def board_records(df: DataFrame, payload: str, kind: str, keep: list[str]) -> DataFrame:
     """One row per posting of payloads of one kind: position, id, title, link, content, published, company, categories.
 
-    A payload may be a list, an object with a list, or a single object (with a title) on each line of its own; what is
-    no JSON gives no rows."""
+    A payload may be a list, with or without its brackets, an object with a list, or a single object with a title; what
+    is no JSON gives no rows."""
     spec = BOARDS[kind]
-    v = df.select(*keep, F.try_parse_json(payload).alias("v")).where("v is not null")
+    wrapped = df.select(*keep, F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]"))).alias("w")).where("w is not null")
+    alone = F.expr("try_variant_get(w, '$[1]', 'variant') is null")  # else it is a list without its brackets
+    v = wrapped.select(*keep, F.when(alone, F.expr("try_variant_get(w, '$[0]', 'variant')")).otherwise(F.col("w")).alias("v")).where("v is not null")
     roots = [F.expr(f"try_variant_get(v, '{r}', 'array<variant>')") for r in spec["roots"]]
     jobs = v.select(*keep, F.posexplode(F.coalesce(*roots, F.expr("array(v)"))).alias("position", "j"))
 

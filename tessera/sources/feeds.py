@@ -87,9 +87,12 @@ def structured_postings(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
 
 
 def json_lines(df: DataFrame, text: str, keep: list[str], schema: str) -> DataFrame:
-    """Rows of newline-separated JSON; lines that are no JSON objects are skipped."""
+    """Rows of JSON objects, one or several on a line, also of a list written so; lines that are no JSON are skipped."""
     lines = df.select(*keep, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("line_no", "line"))
-    return lines.select(*keep, "line_no", F.from_json(F.trim("line"), schema, {"mode": "PERMISSIVE"}).alias("j"), F.try_parse_json(F.trim("line")).alias("_v")).where("_v is not null").select(*keep, "line_no", "j.*")
+    bare = F.regexp_replace("line", r"^\s*\[|\]\}?\s*$|,\s*$", "")
+    parsed = lines.select(*keep, "line_no", F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]"))).alias("v")).where("v is not null")
+    each = parsed.select(*keep, "line_no", F.explode(F.expr("try_variant_get(v, '$', 'array<variant>')")).alias("o"))
+    return each.select(*keep, "line_no", F.from_json(F.to_json("o"), schema).alias("j")).select(*keep, "line_no", "j.*")
 
 
 def sitemap_locations(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:

@@ -118,10 +118,11 @@ def _abroad(batches):
                     if grp < other and BANDS * ROWS - (bits[i] ^ bits[j]).bit_count() >= AGREE:
                         out.add((rep, grp, other))
             return out
+        rows = sorted(rows, key=lambda x: x[1])  # only rows of higher groups are compared, however large a group is
         signs = np.unpackbits(np.frombuffer(b"".join(x[2] for x in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, : BANDS * ROWS] * np.float32(2) - 1
         grp = np.array([x[1] for x in rows])
         for lo in range(0, len(rows), 512):
-            for at in range(0, len(rows), 4096):
+            for at in range(int(np.searchsorted(grp, grp[lo], "right")), len(rows), 4096):
                 like = signs[lo : lo + 512] @ signs[at : at + 4096].T >= 2 * AGREE - BANDS * ROWS
                 i, j = np.nonzero(like & (grp[lo : lo + 512, None] < grp[None, at : at + 4096]))
                 out |= {(rows[lo + x][0], rows[lo + x][1], rows[at + y][1]) for x, y in zip(i.tolist(), j.tolist())}

@@ -34,10 +34,12 @@ def layered_dedup(df: DataFrame, layers: list[str], position: str) -> DataFrame:
     every = written(df.select(position, *layers), "layered")
     open_rows, kept = every, None
     while not open_rows.isEmpty():
-        first = F.lit(True)
-        for layer in layers:
-            first = first & (F.col(layer).isNull() | (F.min(position).over(Window.partitionBy(layer)) == F.col(position)))
-        marked = open_rows.withColumn("_first", first)
+        first, marked = F.lit(True), open_rows
+        for i, layer in enumerate(layers):  # by joins, so that a key of many rows can be split
+            least = open_rows.where(F.col(layer).isNotNull()).groupBy(layer).agg(F.min(position).alias(f"_m{i}"))
+            marked = marked.join(least, layer, "left")
+            first = first & (F.col(layer).isNull() | (F.col(f"_m{i}") == F.col(position)))
+        marked = marked.select(position, *layers, first.alias("_first"))
         keep = written(marked.where("_first").drop("_first"), "kept")
         kept = keep if kept is None else kept.unionByName(keep)
         open_rows = written(clashes(marked.where("not _first").drop("_first"), keep).where("dropped_by is null").drop("dropped_by"), "open")

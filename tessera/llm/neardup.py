@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def _sets(least: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for a, b in slices(lengths, 1 << 21):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 keys = ids.slice(a, b - a).to_pylist()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def _frequencies(batches):
     counts, n = np.zeros((2, size), np.int64), [0, 0]
     for batch in batches:
         kinds = np.array(batch.column(1).to_pylist(), np.int64)
-        for a, b in slices(pa.compute.binary_length(batch.column(0)).to_pylist(), 1 << 20):
+        for a, b in slices(pc.binary_length(batch.column(0)).to_pylist(), 1 << 20):
             _, ends, lo, h = words_of(batch.column(0).slice(a, b - a).to_pylist())
             own = kinds[a:b]
             text = np.searchsorted(ends, lo, "right") - 1
@@ -79,7 +80,7 @@ def main_lines(df: DataFrame, is_page: F.Column, id_col: str = "row_id", title_c
     def run(batches):
         fitted, known = sent.value
         for batch in batches:
-            for a, b in slices(pa.compute.binary_length(batch.column(2)).to_pylist(), 1 << 20):
+            for a, b in slices(pc.binary_length(batch.column(2)).to_pylist(), 1 << 20):
                 part = Lines(*(batch.column(c).slice(a, b - a).to_pylist() for c in (2, 1)), known)
                 hit = np.flatnonzero(scores(fitted, part) >= LEAST) if fitted is not None else np.arange(len(part.page))
                 own = batch.column(0).slice(a, b - a).take(pa.array(part.page[hit]))

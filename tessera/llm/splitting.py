@@ -6,6 +6,7 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -208,7 +209,7 @@ def split_texts(df: DataFrame, budgets: list[tuple[str, int, int]], id_col: str
         encoder = Encoder(vocab.value)
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            lengths = pa.compute.fill_null(pa.compute.utf8_length(column), 0).to_pylist()
+            lengths = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
             for a, b in slices(lengths, SLICE_CHARS // 2):
                 texts, keys = texts_of(column.slice(a, b - a)), ids.slice(a, b - a).to_pylist()
                 rows = [(r[0], keys[r[1]], *r[2:], texts[r[1]][r[3] : r[5]]) for r in pieces_of(encoder, texts, budgets)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -39,7 +40,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
         encoder = Encoder(vocab.value)
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             for a, b in slices(lengths, 1 << 21):
                 texts = texts_of(column.slice(a, b - a))
                 if counts_only:

@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 from ..session import table, written
 from .chargrid import LETTER, NUMBER, classes, join, mix, run_starts, slices, span_hashes
 
-#: Bands and minima of each for grouping: at the least similarity of 0.6 a pair shares a band in 98.4 of 100 cases, at
+#: Bands and minima of each, for grouping only: at the least similarity of 0.6 a pair shares a band in 98.4 of 100 cases, at
 #: 0.65 in 99.8, at 0.7 in 99.99.
 BANDS, ROWS = 51, 5
 #: Members of a group that are opened at once; larger groups are opened in several blocks, each for every query.
 BLOCK = 1024
 #: Rows of a class of copies that are paired at once; larger classes are paired in several blocks.
 COPIES = 512
-#: A candidate's sketch must agree in so many of its bits: at a similarity of 0.6 these are 204 of 255 on average, and
-#: fewer than 178 in some 3 of 100,000 cases.
+#: Bits of a set's parities, SLOTS of its triples' sample counts, and the classes sampled for these.
+PARITIES, SLOTS, SAMPLE = 512, 1 << 22, 40_000
+#: Rows of the table for each part of the triples.
+PART = 10_000
+#: Pairs of rows that are looked at together in one task.
+AT_ONCE = 1 << 20
+#: Bits of 255 that sketches of like members agree in (_abroad).
 AGREE = 178
 SETS = "row_id long, print long, triples binary"
 
@@ -80,8 +85,7 @@ def _once(batches):
 
 
 def _bands(batches):
-    """(rep, sketch, bands): one bit of each of BANDS x ROWS minima of a set under as many permutations, and a hash of
-    each ROWS minima."""
+    """(rep, bands): a hash of each ROWS of the BANDS x ROWS minima of a set under as many permutations."""
     multiply = (mix(np.arange(BANDS * ROWS)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     flip = (mix(np.arange(BANDS * ROWS) + 7919) >> np.uint64(32)).astype(np.uint32)
     salt = mix(np.arange(BANDS))
@@ -100,15 +104,129 @@ def _bands(batches):
             bands = np.repeat(salt[:, None], len(part), 1)
             for r in range(ROWS):
                 bands = mix(bands ^ least[r::ROWS].astype(np.uint64))
-            bits = np.packbits(((least * np.uint32(0x9E3779B1)) >> np.uint32(17)).T & np.uint32(1), axis=1)
             ends = pa.array(np.arange(len(part) + 1) * BANDS, pa.int32())
-            columns = [batch.column(0).slice(lo, len(part)), pa.array([x.tobytes() for x in bits], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands.T.reshape(-1).view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "sketch", "bands"])
+            columns = [batch.column(0).slice(lo, len(part)), pa.ListArray.from_arrays(ends, pa.array(bands.T.reshape(-1).view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "bands"])
+
+
+def _counts(batches):
+    """(slot, n): how many sets of a task hold triples of each of SLOTS ranges."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in _once(batches):
+        for raw in batch.column(1).to_pylist():
+            total[np.frombuffer(raw, np.uint32) // np.uint32((1 << 32) // SLOTS)] += 1
+    at = np.flatnonzero(total)
+    for lo in range(0, len(at), 1 << 16):
+        part = at[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
+
+
+def _prefixes(least: float, common: np.ndarray, parts: int):
+    """-> (part, rep, size, parity, triples, places): a set's rarest triples, those of one part in a row, with their places
+    in its order, and the parities of its triples in PARITIES slots.
+
+    The order is by `common`, then by hash, the same for all sets: any order is exact, a good one makes it fast. At a
+    similarity of `least` sets share `least` x the size of either, so the first triple that they share leaves that many
+    from its place on."""
+
+    def run(batches):
+        for batch in _once(batches):
+            rows = []
+            for rep, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = np.frombuffer(raw, np.uint32)
+                slot = (s * np.uint32(0x9E3779B1)) >> np.uint32(32 - (PARITIES - 1).bit_length())
+                parity = np.packbits((np.bincount(slot, minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+                order = np.argsort((common[s // np.uint32((1 << 32) // SLOTS)].astype(np.uint64) << np.uint64(32)) | s)
+                rare = s[order[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1]]
+                part = (mix(rare) % np.uint64(parts)).astype(np.int64)
+                places = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[places], prepend=-1, append=parts))
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    at = places[a:b]
+                    rows.append((int(part[at[0]]), rep, len(s), parity, rare[at].tobytes(), np.minimum(at, 65535).astype(np.uint16).tobytes()))  # a lower place only loosens the bound
+                if len(rows) >= 1 << 14:
+                    yield _prefix_rows(rows)
+                    rows = []
+            if rows:
+                yield _prefix_rows(rows)
+
+    return run
+
+
+def _prefix_rows(rows) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["part", "rep", "size", "parity", "triples", "places"])
+
+
+def _meet(least: float):
+    """Batches sorted by part of _prefixes -> (a, b): all pairs of sets that share a rare triple and may be similar by two
+    bounds, neither of which can lose a pair: what is left of each set from the shared triple on, and the parities, which
+    differ in no more slots than the sets do in triples."""
+
+    def run(batches):
+        here, kept = None, []
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if part[a] != here:
+                    if kept:
+                        yield from _meet_part(kept, least)
+                    here, kept = part[a], []
+                kept.append([batch.column(k).slice(a, b - a) for k in range(1, 6)])
+        if kept:
+            yield from _meet_part(kept, least)
+
+    return run
+
+
+def _meet_part(kept: list, least: float):
+    rep, size = (np.concatenate([x[k].to_numpy() for x in kept]) for k in (0, 1))
+    rep, own = np.unique(rep, return_index=True)  # copies from other tasks
+    size = size[own].astype(np.int64)
+    parity, triples, places = (pa.concat_arrays([x[k] for x in kept]).take(pa.array(own)) for k in (2, 3, 4))
+    who = np.repeat(np.arange(len(rep)), pc.binary_length(triples).to_numpy() // 4)
+    parity = np.frombuffer(parity.buffers()[2], np.uint64, len(rep) * PARITIES // 64).reshape(len(rep), -1)
+    triple = np.frombuffer(triples.buffers()[2], np.uint32, len(who)).astype(np.int64)
+    rest = size[who] - np.frombuffer(places.buffers()[2], np.uint16, len(who))
+    keyed = (triple << 31) | size[who]
+    order = np.argsort(keyed, kind="stable")
+    keyed, who, rest = keyed[order], who[order], rest[order]
+    share = least / (1 + least)  # of both sizes
+    # The smaller set of a pair is asked for sets up to the size that what is left of it allows.
+    most = np.minimum((rest / share + 1e-6).astype(np.int64) - size[who], (1 << 31) - 1)
+    n = np.searchsorted(keyed, (keyed >> 31 << 31) | np.maximum(most, 0), "right") - np.arange(len(keyed)) - 1
+    n = np.where(most >= size[who], np.maximum(n, 0), 0)
+    ends, found = np.cumsum(n), []
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + AT_ONCE, "right")))
+        m = n[lo:hi]
+        i = np.repeat(np.arange(lo, hi), m)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+        both = size[who[i]] + size[who[j]]
+        ok = np.flatnonzero(rest[j] >= share * both - 1e-6)
+        a, b = who[i[ok]], who[j[ok]]
+        differ = np.zeros(len(a), np.int64)
+        for k in range(parity.shape[1]):
+            differ += np.bitwise_count(parity[a, k] ^ parity[b, k])
+        ok = differ <= (1 - 2 * share) * both[ok] + 1e-6
+        found.append(np.unique((np.minimum(a[ok], b[ok]) << 32) | np.maximum(a[ok], b[ok])))
+        if sum(map(len, found)) > 4 * AT_ONCE:
+            yield _met(rep, np.unique(np.concatenate(found)))
+            found = []
+        lo = hi
+    if found and len(found := np.unique(np.concatenate(found))):
+        yield _met(rep, found)
+
+
+def _met(rep: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rep[pairs >> 32]), pa.array(rep[pairs & 0xFFFFFFFF])], names=["a", "b"])
 
 
 def _abroad(batches):
     """Batches sorted by key of (key, rep, grp, sketch) -> (rep, grp, other): a member and a higher group of which it
-    meets a member with a like sketch in one band."""
+    meets a member with a like sketch in one band. A lossy look at buckets; similar_classes takes _meet, which is exact."""
 
     def pairs(rows: list[tuple[int, int, bytes]]) -> set[tuple[int, int, int]]:
         out = set()
@@ -236,20 +354,31 @@ def similar_classes(df: DataFrame, id_col: str, text: F.Column, least: float, le
 
     # Each class joins the group whose leader it meets in most bands.
     key = Window.partitionBy("key")
-    banded = sets.select("print", "triples").mapInArrow(_bands, "rep long, sketch binary, bands array<long>")
-    banded = written(banded, "banded")
+    banded = written(sets.select("print", "triples").mapInArrow(_bands, "rep long, bands array<long>"), "banded")
     met = banded.select("rep", F.explode("bands").alias("key"))
     met = met.select("rep", "key", F.min("rep").over(key).alias("leader"), F.max("rep").over(key).alias("last")).where("leader < last").select("rep", "key", "leader")
     met = written(met, "met")
     votes = met.groupBy("rep", "leader").agg(F.count("*").alias("n"))
-    groups = written(votes.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("grp")), "groups")
-
-    # A query meets the groups of which a band shows it a member with a like sketch; a pair across groups is looked for
-    # from one side.
-    sketches = banded.select("rep", "sketch").dropDuplicates(["rep"])
-    placed = met.select("rep", "key").distinct().join(groups.join(sketches, "rep"), "rep")
-    mixed = placed.select("key", "rep", "grp", "sketch", F.min("grp").over(key).alias("low"), F.max("grp").over(key).alias("high")).where("low < high")
-    abroad = mixed.select("key", "rep", "grp", "sketch").mapInArrow(_abroad, "rep long, grp long, other long").distinct()
+    grouped = votes.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("grp"))
+    alone = membership.select("rep").distinct().join(grouped, "rep", "left")  # who meets nobody in a band is a group, too
+    groups = written(alone.select("rep", F.coalesce("grp", "rep").alias("grp")), "groups")
+
+    # A query meets the groups of all members with which it shares one of its rarest triples and that may be similar; a
+    # pair across groups is looked for from one side.
+    spark = df.sparkSession
+    n = sets.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // PART)
+    share = min(1.0, SAMPLE / max(1, n))
+    sample = sets.where(F.pmod(F.xxhash64("print"), F.lit(1 << 20)) < round(share * (1 << 20)))
+    counts = sample.select("print", "triples").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    common = np.zeros(SLOTS, np.uint16)
+    common[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 65535)
+    rare = sets.select("print", "triples").mapInArrow(_prefixes(least, common, parts), "part int, rep long, size int, parity binary, triples binary, places binary")
+    near = written(rare.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_meet(least), "a long, b long"), "near").distinct()
+    a, b = (groups.select(F.col("rep").alias(x), F.col("grp").alias(f"grp_{x}")) for x in "ab")
+    across = near.join(a, "a").join(b, "b").where("grp_a <> grp_b")
+    first = F.col("grp_a") < F.col("grp_b")
+    abroad = across.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("rep"), F.least("grp_a", "grp_b").alias("grp"), F.greatest("grp_a", "grp_b").alias("other")).distinct()
     abroad = written(abroad, "abroad")
 
     size = groups.groupBy("grp").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

@@ -87,3 +87,17 @@ def test_mixed_buckets_compare_groups_alike_at_any_size():
     bits = [int.from_bytes(r[3]) for r in rows]
     want = lambda size: {(a[1], a[2], b[2]) for i, a in enumerate(rows) for j, b in enumerate(rows) if i // size == j // size and a[2] < b[2] and 255 - ((bits[i] ^ bits[j]) >> 1).bit_count() >= neardup.AGREE}
     assert run(90) == want(90) and run(20) == want(20)
+
+
+def test_pairs_at_the_limit_are_all_found(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):  # each text and a copy whose end differs: from just under to just over the limit
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 400))]
+        keep = round(0.75 * len(base)) + rng.randrange(-2, 4)
+        rows += [(2 * k, None, " ".join(base)), (2 * k + 1, None, " ".join([*base[:keep], *(f"x{rng.randrange(10**6)}" for _ in base[keep:])]))]
+        if k % 3 == 0:  # and one that is as long as the limit allows
+            rows.append((1000 + k, None, " ".join([*base, *(f"y{rng.randrange(10**6)}" for _ in range(2 * (len(base) - 2) // 3))])))
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "row_id long, title string, content string")
+    assert len(want) > 80 and sorted(map(tuple, neardup.near_duplicates(df).collect())) == want

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, text, vector
 from ..operators.match import match_terms
+from ..operators.search import compared, near_hashes
 from .registry import Registry
 
 R = Registry()
@@ -29,6 +30,9 @@ _units = "flatten(list_transform(range(1, length({0}) + 1), lambda i: case when
 #: The lossy hash in SQL: the product is rounded to a double, and its remainder is taken from 0 up.
 _fold = "lpad(lower(to_hex(list_reduce(list_prepend(2166136261::bigint, list_transform({}, lambda u: u::bigint)), lambda h, c: ((fmod((case when xor(h, c) >= 2147483648 then xor(h, c) - 4294967296 else xor(h, c) end)::double * 16777619.0, 4294967296.0) + 4294967296.0)::bigint % 4294967296)))), 8, '0')"
 
+#: Vectors as doubles with their lengths.
+_lengths = "n as (select vec_id, label, embedding::double[] e, sqrt(list_dot_product(embedding::double[], embedding::double[])) l from embeddings)"
+
 
 @R.add("sx01_sanitize", f"select row_id, {clean_sql('content')} clean from raw_jobs")
 def _(t):
@@ -68,6 +72,18 @@ def _(t):
     return a.join(b, "k").where("a < b").select("a", "b", d.alias("d")).where("d <= 5")
 
 
+@R.add("dd09_near_hashes", "with h as (select name, cast('0x' || substr(md5(name), 1, 8) as bigint) h from known_names where kind = 'org') select a.name a, b.name b, bit_count(xor(a.h, b.h))::int d from h a join h b on a.name < b.name where bit_count(xor(a.h, b.h)) <= 5")
+def _(t):
+    n = t("known_names").where("kind = 'org'").select("name", F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("bigint").alias("h"))
+    return near_hashes(n, "name", "h")
+
+
+@R.add("dd10_near_vectors", f"with {_lengths}, s as (select a.vec_id a, b.vec_id b, round(list_dot_product(a.e, b.e) / (a.l * b.l), 6) sim from n a join n b on a.vec_id < b.vec_id) select a, b, sim from s where sim >= 0.88")
+def _(t):
+    e = t("embeddings")
+    return compared(e, e, least=0.88).select(F.col("query").alias("a"), F.col("vec_id").alias("b"), "sim")
+
+
 @R.add("sx05_dice", "with n as (select entity_id, regexp_replace(lower(name), '\\s+', '', 'g') s, split_part(name, ' ', 1) head from known_names), p as (select a.entity_id x, b.entity_id y, a.s sa, b.s sb from n a join n b on a.head = b.head and a.entity_id < b.entity_id), g as (select x, y, 0 side, substr(sa, i::int, 2) g from (select x, y, sa, unnest(range(1, length(sa))) i from p) union all select x, y, 1, substr(sb, i::int, 2) from (select x, y, sb, unnest(range(1, length(sb))) i from p)), c as (select x, y, g, count(*) filter (side = 0) ca, count(*) filter (side = 1) cb from g group by all), s as (select x, y, sum(least(ca, cb)) m from c group by all) select p.x, p.y, round(case when sa = sb then 1 else 2.0 * m / (length(sa) + length(sb) - 2) end, 6) dice from p join s on p.x = s.x and p.y = s.y")
 def _(t):
     n = t("known_names").select("entity_id", "name", F.split_part("name", F.lit(" "), F.lit(1)).alias("head"))

@@ -30,8 +30,9 @@ _units = "flatten(list_transform(range(1, length({0}) + 1), lambda i: case when
 #: The lossy hash in SQL: the product is rounded to a double, and its remainder is taken from 0 up.
 _fold = "lpad(lower(to_hex(list_reduce(list_prepend(2166136261::bigint, list_transform({}, lambda u: u::bigint)), lambda h, c: ((fmod((case when xor(h, c) >= 2147483648 then xor(h, c) - 4294967296 else xor(h, c) end)::double * 16777619.0, 4294967296.0) + 4294967296.0)::bigint % 4294967296)))), 8, '0')"
 
-#: Vectors as doubles with their lengths.
+#: Vectors as doubles with their lengths, and the cosines of every query with every vector.
 _lengths = "n as (select vec_id, label, embedding::double[] e, sqrt(list_dot_product(embedding::double[], embedding::double[])) l from embeddings)"
+_asked = f"{_lengths}, s as (select q.vec_id as query, e.vec_id, e.label, round(list_dot_product(q.e, e.e) / (q.l * e.l), 6) sim from n q, n e where q.vec_id % 20 = 0)"
 
 
 @R.add("sx01_sanitize", f"select row_id, {clean_sql('content')} clean from raw_jobs")
@@ -175,6 +176,22 @@ def _(t):
     return s.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("sim"), "vec_id")).cast("long")).where("n <= 5").select("label", "vec_id", "n")
 
 
+@R.add("vc03_top_per_query", f"with {_asked}, r as (select *, row_number() over (partition by query order by sim desc, vec_id) n from s) select query, vec_id, sim, n from r where n <= 10")
+def _(t):
+    e = t("embeddings")
+    w = Window.partitionBy("query").orderBy(F.desc("sim"), "vec_id")
+    best = compared(e.withColumn("label", F.lit(0)), e.where("vec_id % 20 = 0"), k=10)
+    return best.withColumn("n", F.row_number().over(w).cast("long")).where("n <= 10").select("query", "vec_id", "sim", "n")
+
+
+@R.add("vc04_top_per_query_and_label", f"with {_asked}, r as (select *, row_number() over (partition by query, label order by sim desc, vec_id) n from s) select query, label, vec_id, n from r where n <= 5")
+def _(t):
+    e = t("embeddings")
+    w = Window.partitionBy("query", "label").orderBy(F.desc("sim"), "vec_id")
+    best = compared(e, e.where("vec_id % 20 = 0"), k=5)
+    return best.withColumn("n", F.row_number().over(w).cast("long")).where("n <= 5").select("query", "label", "vec_id", "n")
+
+
 @R.add("dt04_weeks", "select w as week_start_day, count(*) n from (select (epoch_us(fetched_at) // 86400000000) - ((epoch_us(fetched_at) // 86400000000 + 4) % 7) w from raw_jobs where fetched_at is not null) group by 1")
 def _(t):
     d = F.floor(F.unix_micros("fetched_at") / 86_400_000_000)

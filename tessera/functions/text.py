@@ -150,24 +150,27 @@ def host_label(url: Column) -> Column:
 def chunks(x: Column, most: int = 200, overlap: int = 40) -> Column:
     """Pieces of at most `most` characters that end between words where they can and overlap by `overlap`; like the
     producers, a last overlap forms a piece of its own."""
-    s = collapse(F.coalesce(x, F.lit("")))
-    n = F.length(s)
-    # The state of the fold: where the next piece starts, and the pieces so far.
-    rounds = F.sequence(F.lit(0), F.floor(n / F.lit(max(1, overlap))) + 1)
-    start = F.struct(F.lit(0).alias("i"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, _: Column) -> Column:
-        i = state["i"]
-        window = F.substring(s, i + 1, F.lit(most + 1))
-        space = i + F.lit(most) - F.instr(F.reverse(window), " ") + 1
-        has = F.instr(window, " ") > 0
-        end = F.when(i + most < n, F.when(has & (space > i + overlap), space).otherwise(i + most)).otherwise(n)
-        piece = F.trim(F.substring(s, i + 1, end - i))
-        after = F.when(end - overlap <= i, end).otherwise(end - overlap)
-        out = F.when(piece != "", F.array_append(state["out"], piece)).otherwise(state["out"])
-        return F.when(i < n, F.struct(after.cast("int").alias("i"), out.alias("out"))).otherwise(state)
-
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= most, F.array(s)).otherwise(F.aggregate(rounds, start, step)["out"])
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: _pieces(s, most, overlap))
+
+    return cut(collapse(F.coalesce(x, F.lit(""))))
+
+
+def _pieces(s: str, most: int, overlap: int) -> list[str]:
+    n, i, out = len(s), 0, []
+    if n <= most:
+        return [s] if s else []
+    while i < n:
+        end = n
+        if i + most < n:
+            space = s.rfind(" ", i, i + most + 1)
+            end = space if space > i + overlap else i + most
+        if piece := s[i:end].strip(" "):
+            out.append(piece)
+        i = end if end - overlap <= i else end - overlap
+    return out
 
 
 def escape_signs(x: Column) -> Column:
@@ -203,15 +206,25 @@ def bar(n: Column, most: Column, width: int = 20) -> Column:
 
 def message_parts(x: Column, most: int) -> Column:
     """Lines of a text gathered to parts of at most `most` characters; a longer line is a part of its own."""
-    start = F.array().cast("array<string>")
 
-    def step(out: Column, line: Column) -> Column:
-        last = F.element_at(out, -1)
-        joined = F.concat(last, F.lit("\n"), line)
-        fits = (F.size(out) > 0) & (F.length(joined) <= most)
-        return F.when(fits, F.array_append(F.slice(out, 1, F.size(out) - 1), joined)).otherwise(F.array_append(out, line))
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def gather(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: _parts(s, most))
+
+    return gather(F.coalesce(x, F.lit("")))
+
 
-    return F.aggregate(F.split(F.coalesce(x, F.lit("")), "\n"), start, step)
+def _parts(s: str, most: int) -> list[str]:
+    parts: list[list[str]] = []
+    size = 0
+    for line in s.split("\n"):
+        if parts and size + 1 + len(line) <= most:
+            parts[-1].append(line)
+            size += 1 + len(line)
+        else:
+            parts.append([line])
+            size = len(line)
+    return ["\n".join(p) for p in parts]
 
 
 @F.pandas_udf(T.StringType())

@@ -129,6 +129,11 @@ def _(t):
     return t("documents").where("doc_kind = 'alert'").select("doc_id", F.explode(text.named_domains(F.col("text"), 1000)).alias("domain")).where("domain like '%.example'")
 
 
+@R.add("sx24_all_named_domains", "select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '(?:https?://(?:www\\.)?)?([a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.example)\\b', 1))) as domain from documents")
+def _(t):
+    return t("documents").select("doc_id", F.explode(text.named_domains(F.col("text"), 2**31 - 1)).alias("domain")).where("domain like '%.example'")
+
+
 @R.add("sx27_link_counts", "select doc_id, len(regexp_extract_all(text, '<link>'))::int links, len(regexp_extract_all(text, '/job/'))::int job_links from documents where doc_kind = 'feed_xml'")
 def _(t):
     return t("documents").where("doc_kind = 'feed_xml'").select("doc_id", F.regexp_count("text", F.lit("<link>")).alias("links"), F.regexp_count("text", F.lit("/job/")).alias("job_links"))

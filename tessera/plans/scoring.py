@@ -101,7 +101,7 @@ def _(t):
 
 @R.add("sx20_message_parts")
 def _(t):
-    return t("documents").where("doc_kind = 'daily_report'").select("doc_id", F.posexplode(text.message_parts(F.col("text"), 120)).alias("part_no", "part"))
+    return t("documents").select("doc_id", F.posexplode(text.message_parts(F.col("text"), 120)).alias("part_no", "part"))
 
 
 @R.add("dt02_ages", "with m as (select max(fetched_at) m from raw_jobs), a as (select row_id, floor((epoch_us(m) - epoch_us(fetched_at)) / 60000000)::bigint x from raw_jobs, m where fetched_at is not null) select row_id, case when x < 1 then 'just now' when x < 60 then x || ' minute' || case when x = 1 then '' else 's' end || ' ago' when x < 1440 then x // 60 || ' hour' || case when x // 60 = 1 then '' else 's' end || ' ago' else x // 1440 || ' day' || case when x // 1440 = 1 then '' else 's' end || ' ago' end age from a")

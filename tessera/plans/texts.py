@@ -94,7 +94,7 @@ def _(t):
 
 @R.add("sx14_chunks")
 def _(t):
-    return t("documents").where("doc_kind = 'alert'").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("chunk_no", "chunk"))
+    return t("documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("chunk_no", "chunk"))
 
 
 @R.add("sx15_tokens", f"select row_id, len(list_filter(string_split(trim({_no_space.format('coalesce(title, chr(32))')}), ' '), lambda x: x <> ''))::int n from raw_jobs")

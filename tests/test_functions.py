@@ -137,3 +137,17 @@ def test_boards(spark, kind):
         assert row["categories"] == want[kind]
     if kind == "lever":
         assert row["published"] == "1970-01-01T00:00:00.000Z"
+
+
+def test_texts_of_every_kind_are_cut(spark, tmp_path):
+    from tessera.plans import inventory, scoring, texts
+
+    lines = [f"line {i} of https://site{i}.example/x " + "w" * (i % 80) for i in range(900)]
+    docs = [(1, "alert", "short"), (2, "digest", "\n".join(lines)), (3, "attachment", "word " * 300), (4, None, None)]
+    spark.createDataFrame(docs, "doc_id long, doc_kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in texts.QUERIES["sx14_chunks"](spark, str(tmp_path)).orderBy("doc_id", "chunk_no").collect()]
+    assert got == [(d, n, c) for d, _, s in docs for n, c in enumerate(model_chunks(s or ""))]
+    parts = [r["part"] for r in scoring.QUERIES["sx20_message_parts"](spark, str(tmp_path)).where("doc_id = 2").orderBy("part_no").collect()]
+    assert "\n".join(parts) == docs[1][2] and all(len(p) <= 120 for p in parts)
+    assert all(len(a) + 1 + len(b.split("\n")[0]) > 120 for a, b in zip(parts, parts[1:]))
+    assert inventory.QUERIES["sx24_all_named_domains"](spark, str(tmp_path)).count() == 900

@@ -7,45 +7,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quantity_text import CUE_FIELDS, Factors, quantities
+from ..functions.quantity_text import Factors, automaton, quantities
 
 RESULT = "quantity string, low long, high long"
 
 
-def _automaton():
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for cue in CUE_FIELDS:
-        a.add_word(cue, cue)
-    a.make_automaton()
-    return a
-
-
-def cue_hits(automaton, s: str) -> list[tuple[int, str]]:
-    """The longest cue at each place, at word starts only: (end, cue)."""
-    best: dict[int, tuple[int, str]] = {}
-    for last, cue in automaton.iter(s):
-        start = last + 1 - len(cue)
-        if start and s[start - 1].isalnum() or cue[-1].isalpha() and s[last + 1 : last + 2].isalnum():
-            continue
-        if last + 1 > best.get(start, (0, ""))[0]:
-            best[start] = (last + 1, cue)
-    ends = sorted(best)
-    kept, reach = [], -1
-    for start in ends:
-        if start >= reach:
-            kept.append(best[start])
-            reach = best[start][0]
-    return kept
-
-
 def extract_quantities(df: DataFrame, factors: DataFrame, id_col: str = "row_id", text_col: str = "content") -> DataFrame:
     """(id, quantity, low, high) of each text: pay in USD a year, experience in months, distance in metres, working time
     in minutes a week, in the common units of `factors` (quantity, unit, factor; a fixed small table).
 
-    Each statement is found by the words that open it; its unit string is segmented by dynamic programming over tries
-    with the priors of its quantity. Bare pay figures take currency, scale and period from where the record states them;
+    Figures are found by their units: the unit string is segmented by dynamic programming over tries of prefixes, roots
+    and exponents with the priors of each quantity, and must have the quantity's dimension. What the sentence speaks of
+    nearest to the figure decides whether it is the post's; units of working time say so by themselves. Bare pay figures take currency, scale and period from where the record states them;
     without any, they give no row. A single figure is both ends, fractions are rounded half up. Null, empty and blank
     texts give no row; of several statements of a quantity the first counts; repeated rows stay repeated; an empty table
     gives no rows. There is no shuffle.
@@ -54,14 +27,11 @@ def extract_quantities(df: DataFrame, factors: DataFrame, id_col: str = "row_id"
     key = df.schema[id_col]
 
     def run(batches):
-        known, automaton = Factors(table), _automaton()
+        known, topics = Factors(table), automaton()
         for pdf in batches:
             rows = []
             for i, text in zip(pdf[id_col], pdf["_text"]):
-                s = text.lower()
-                hits = cue_hits(automaton, s)
-                if hits:
-                    rows += [(i, *q) for q in quantities(s, hits, known)]
+                rows += [(i, *q) for q in quantities(text.lower(), topics, known)]
             yield pd.DataFrame(rows, columns=[id_col, "quantity", "low", "high"])
 
     schema = T.StructType([T.StructField(id_col, key.dataType), T.StructField("quantity", T.StringType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())])

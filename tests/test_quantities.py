@@ -1,8 +1,8 @@
 import pytest
 
-from tessera.functions.quantity_text import Factors, quantities
-from tessera.functions.unit_text import figure, segment, worded
-from tessera.operators.quantities import _automaton, cue_hits, extract_quantities
+from tessera.functions.quantity_text import Factors, automaton, quantities
+from tessera.functions.unit_text import dimension, figure, segment, worded
+from tessera.operators.quantities import extract_quantities
 
 FACTORS = [
     *[("pay_currency", c, float(f)) for c, f in dict(USD=1, EUR=1.08, GBP=1.27, INR=0.012, CHF=1.12, CAD=0.73).items()],
@@ -10,12 +10,11 @@ FACTORS = [
     ("experience", "year", 12.0), ("experience", "month", 1.0), ("experience", "week", 0.230769), ("distance", "km", 1000.0), ("distance", "mile", 1609.344), ("distance", "metre", 1.0),
     ("worktime", "hour per week", 60.0), ("worktime", "hour per day", 300.0), ("worktime", "full time", 2400.0), ("worktime", "minute per week", 1.0),
 ]
-KNOWN, CUES = Factors(FACTORS), _automaton()
+KNOWN, TOPICS = Factors(FACTORS), automaton()
 
 
 def read(text):
-    s = text.lower()
-    return {q: (low, high) for q, low, high in quantities(s, cue_hits(CUES, s), KNOWN)}
+    return {q: (low, high) for q, low, high in quantities(text.lower(), TOPICS, KNOWN)}
 
 
 @pytest.mark.parametrize(
@@ -54,6 +53,20 @@ def read(text):
         ("The post is 85% of full time.", {"worktime": (2040, 2040)}),
         ("Arbeitszeit: 0,85 VZÄ", {"worktime": (2040, 2040)}),
         ("Dedicación: 4,5 horas al día", {"worktime": (1350, 1350)}),
+        # Sentences that none of the test tables has.
+        ("Annual salary of $80,000 per year.", {"pay": (80000, 80000)}),
+        ("Starting wage is 52,000 EUR per annum", {"pay": (56160, 56160)}),
+        ("Applicants need 3+ years of experience", {"experience": (36, 36)}),
+        ("Five and a half years of experience", {"experience": (66, 66)}),
+        ("40 hours per week", {"worktime": (2400, 2400)}),
+        ("Within 25 km of our office", {"distance": (25000, 25000)}),
+        ("You should live, and we mean it whatever the timetable of the ferry says, at most 25 km from the office", {"distance": (25000, 25000)}),
+        ("Commute of 3000000 millimetres", {"distance": (3000, 3000)}),
+        ("Live within 30 hectometres", {"distance": (3000, 3000)}),
+        ("Live where winds of 25 m/s blow over 80 m² of roof, within 4 km", {"distance": (4000, 4000)}),
+        ("A bonus of 5000 EUR a year is paid", {}),
+        ("Currency: EUR (thousands) Pay basis: year Rate: 141 – 159 Day to day you port the lake", {"pay": (152280, 171720)}),
+        ("Umfang: 70 % einer Vollzeitstelle", {"worktime": (1680, 1680)}),
         ("", {}), ("You work", {}), ("Salary: " + "x" * 100_000, {}),
     ],
 )
@@ -64,6 +77,9 @@ def test_statements(text, want):
 def test_segmentation_follows_the_field():
     assert segment("m around us", "distance") == (1, [("length", "metre")])
     assert segment("kEUR/Jahr".lower(), "pay")[1] == [("scale", 1e3), ("currency", "EUR"), ("per", None), ("time", "year")]
+    assert segment("hectometres", "distance")[1] == [("prefix", 1e2), ("length", "metre")]
+    assert dimension(segment("km²", "distance")[1]) == (0, 0, 2) and dimension(segment("m/s", "distance")[1]) == (0, -1, 1)
+    assert dimension(segment("€/h", "pay")[1]) == (1, -1, 0)
     assert segment("hrs/week", "worktime")[1] == [("time", "hour"), ("per", None), ("time", "week")]
 
 

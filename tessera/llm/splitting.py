@@ -17,8 +17,11 @@ from .tokens import texts_of, vocabulary
 
 #: Signs that end a sentence, those that do so without a blank, and those that end a clause (fixed values).
 SENTENCE, WIDE, CLAUSE = ".!?…:।", "。！？", ",;、，；)"
-#: A cut is looked for this far from the midpoint, as a share of the segment.
-NEAR = 0.2
+#: A cut is looked for this far from the midpoint, as a share of the segment; and farther, if nothing nearer is better
+#: than a gap between words.
+NEAR, FARTHER = 0.2, (0.35, 0.45)
+#: A character has up to so many tokens of bytes: no limit may be lower.
+LEAST_LIMIT = 4
 
 RESULT = T.StructType([
     T.StructField("budget_name", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("piece_no", T.IntegerType()),
@@ -89,11 +92,16 @@ class Slice:
         middle, reach = (a + b) / 2, (b - a) * NEAR
         i, j = bisect_left(self.token, middle - reach), bisect_left(self.token, middle + reach)
         most = max(self.strength[i:j], default=0)
-        if most <= 1:  # nothing natural near the midpoint: look farther
-            edge = (b - a) // 16
-            i, j = bisect_left(self.token, a + edge + 1), bisect_left(self.token, b - edge)
-            if i >= j:
-                i, j = bisect_left(self.token, a + 1), bisect_left(self.token, b)
+        if most <= 2:  # nothing better than a gap between words near the midpoint: look farther
+            for share in FARTHER:
+                x, y = bisect_left(self.token, middle - share * (b - a)), bisect_left(self.token, middle + share * (b - a))
+                found = max(self.strength[x:y], default=0)
+                if found > 2 or found > most <= 1:
+                    i, j, most = x, y, found
+                if most > 2:
+                    break
+        if most <= 1:
+            i, j = bisect_left(self.token, a + 1), bisect_left(self.token, b)
             if i >= j:
                 return -1
             most = max(self.strength[i:j])
@@ -166,14 +174,17 @@ def pieces_of(encoder: Encoder, texts: list[str], budgets: list[tuple[str, int,
                 p[6] = []
                 if p[5] > limit:
                     over.append(q)
-            if not over:
-                break
+            again = False
             for q in reversed(over):  # encoded by itself, a cut word can take more tokens: less overlap, then smaller cores
                 p = found[q]
                 if p[4]:
+                    again = True
                     found[q] = _piece(s, p[0], p[7], p[8], max(0, p[4] - max(1, p[5] - limit)))
                 elif (k := s.cut(s.token[p[7]], s.token[p[8]])) > 0:
+                    again = True
                     found[q : q + 1] = [_piece(s, p[0], p[7], k, overlap), _piece(s, p[0], k, p[8], overlap)]
+            if not again:  # a piece that nothing can be taken from is left as it is
+                break
         number, previous = 0, -1
         for d, x, core, y, own, tokens, *_ in found:
             number = number + 1 if d == previous else 0
@@ -198,11 +209,13 @@ def split_texts(df: DataFrame, budgets: list[tuple[str, int, int]], id_col: str
     above the limit, is the size of `piece` encoded by itself. overlap_tokens counts tokens of the text's encoding; it
     is less than asked for only at a text's start, where a token doesn't begin with a whole character, or where
     more would break the limit. Texts within the limit, null and empty ones give no rows; repeated rows give repeated
-    pieces; an empty table gives no rows. A text without any boundary is cut between tokens. There is no shuffle.
+    pieces; an empty table gives no rows. A limit below the tokens of one character is an error. A text without any boundary is cut between tokens. There is no shuffle.
     """
     for name, limit, overlap in budgets:
         if not 0 <= overlap < limit:
             raise ValueError(f"{name}: the overlap must be below the limit")
+        if limit < LEAST_LIMIT:
+            raise ValueError(f"{name}: a character can have {LEAST_LIMIT} tokens, so no lower limit can be kept")
     vocab = vocabulary(df.sparkSession, tokenizer, folder)
 
     def run(batches):

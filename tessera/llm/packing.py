@@ -18,149 +18,241 @@ RESULT = "budget_name string, doc_id long, part_no int, n_tokens long, sequence_
 
 
 class Bins:
-    """Bins of one capacity, found by their free space."""
+    """Bins of one capacity; those with free space are found by it, and by the sizes and sums of two sizes they hold."""
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
+    def __init__(self, capacity: int, sizes: list[int]):
+        self.capacity, self.sizes = capacity, sizes
         self.items: list[list[int]] = []
         self.free: list[int] = []
-        self.by_free: dict[int, set[int]] = defaultdict(set)
+        self.single: list[int] = []  # bit t: an item of size t
+        self.double: list[int | None] = []  # bit t: two items of sizes that sum to t
+        self.by_free: dict[int, set[int]] = {}
+        self.union: dict[int, tuple[int, int]] = {}  # by free space: all bins' bits, while they hold
 
-    def add(self, free: int, items: list[int]) -> int:
+    def add(self, items: list[int], free: int) -> int:
         self.items.append(items)
         self.free.append(free)
-        self.by_free[free].add(len(self.free) - 1)
+        self.single.append(0)
+        self.double.append(None)
         return len(self.free) - 1
 
-    def set_free(self, b: int, free: int) -> None:
-        self.by_free[self.free[b]].discard(b)
-        self.free[b] = free
-        self.by_free[free].add(b)
+    def enter(self, b: int) -> None:
+        """Makes a bin with free space a partner."""
+        if self.items[b] and (f := self.free[b]):
+            bits = 0
+            for i in self.items[b]:
+                bits |= 1 << self.sizes[i]
+            self.single[b], self.double[b] = bits, None
+            self.by_free.setdefault(f, set()).add(b)
+            self.union.pop(f, None)
 
+    def leave(self, b: int) -> None:
+        f = self.free[b]
+        if (own := self.by_free.get(f)) and b in own:
+            own.discard(b)
+            self.union.pop(f, None)
+            if not own:
+                del self.by_free[f]
 
-def pack(sizes: np.ndarray, capacity: int, passes: int = 4) -> np.ndarray:
-    """The bin of each item (sizes from 1 to capacity).
+    def sums(self, b: int) -> int:
+        if self.double[b] is None:
+            seen = bits = 0
+            for i in self.items[b]:
+                bits |= seen << self.sizes[i]
+                seen |= 1 << self.sizes[i]
+            self.double[b] = bits
+        return self.double[b]
 
-    Best fit in falling order makes the start. Then a local search goes through the underfull bins from the emptiest:
-    an item moves to another underfull bin, is exchanged for one smaller item there, or for two, whenever the sum of
-    the squared fills grows; emptied bins are dropped. It ends when a pass improves nothing, or after `passes` passes.
-    """
-    order = np.argsort(-sizes, kind="stable")
-    bins = Bins(capacity)
-    occupied = 0  # bit f is set if some bin has f free
-    for i in order.tolist():
-        s = int(sizes[i])
+    def bits(self, f: int) -> tuple[int, int]:
+        if f not in self.union:
+            one = two = 0
+            for b in self.by_free[f]:
+                one |= self.single[b]
+                two |= self.sums(b)
+            self.union[f] = one, two
+        return self.union[f]
+
+    def partner(self, size: int, fill: int, pair: bool) -> tuple[int, int] | None:
+        """(bin, t): a bin that takes `size` and gives back t, of one item or of two, so that it gains most; the squared
+        fill of it and of a giver of this fill must grow together."""
+        best = None
+        for f in self.by_free:
+            if best and f <= best[0]:
+                continue
+            low = max(1, size - f)
+            here = self.bits(f)[pair] >> low
+            if not here:
+                continue
+            t = low + (here & -here).bit_length() - 1
+            d = size - t
+            if 0 < d <= f and self.capacity - f + d > fill and (best is None or d > best[0]):
+                best = d, f, t
+        if best is None:
+            return None
+        _, f, t = best
+        for b in self.by_free[f]:
+            if (self.sums(b) if pair else self.single[b]) >> t & 1:
+                return b, t
+        return None
+
+    def pick(self, b: int, t: int, pair: bool) -> list[int]:
+        """One or two items of a bin that sum to t."""
+        if not pair:
+            return [next(i for i in self.items[b] if self.sizes[i] == t)]
+        seen: dict[int, int] = {}
+        for i in self.items[b]:
+            if t - self.sizes[i] in seen:
+                return [seen[t - self.sizes[i]], i]
+            seen[self.sizes[i]] = i
+        return []
+
+    def exchange(self, a: int, give: list[int], b: int, back: list[int]) -> None:
+        """Items `give` of bin a, which is no partner now, for items `back` of bin b."""
+        self.leave(b)
+        for x, y, moved in ((a, b, give), (b, a, back)):
+            for i in moved:
+                self.items[x].remove(i)
+                self.items[y].append(i)
+                self.free[x] += self.sizes[i]
+                self.free[y] -= self.sizes[i]
+        self.enter(b)
+
+
+def fill_up(sizes: np.ndarray, capacity: int) -> Bins:
+    """The start: bin by bin, the largest item left, then, as long as any fits, the one or two items left that leave least
+    space."""
+    bins = Bins(capacity, sizes.tolist())
+    left: dict[int, list[int]] = defaultdict(list)
+    there = 0  # bit t is set if an item of size t is left
+    for i, s in enumerate(bins.sizes):
+        left[s].append(i)
+        there |= 1 << s
+
+    def take(s: int) -> int:
+        nonlocal there
+        i = left[s].pop()
+        if not left[s]:
+            there &= ~(1 << s)
+        return i
+
+    while there:
+        s = there.bit_length() - 1
+        items, gap = [take(s)], capacity - s
+        while fits := there & ((2 << gap) - 1):
+            best = [fits.bit_length() - 1]
+            rest = gap - best[0]
+            while rest and fits:
+                x = fits.bit_length() - 1
+                if 2 * x <= gap - rest:
+                    break
+                fits &= ~(1 << x)
+                y = there & ((2 << min(gap - x, x)) - 1)
+                if y >> x == 1 and len(left[x]) < 2:
+                    y &= ~(1 << x)
+                if y and gap - x - (z := y.bit_length() - 1) < rest:
+                    best, rest = [x, z], gap - x - z
+            items += [take(x) for x in best]
+            gap = rest
+        bins.add(items, gap)
+    return bins
+
+
+def best_fit(sizes: np.ndarray, capacity: int) -> int:
+    """The number of bins of best fit in falling order, to compare with."""
+    free: list[int] = [0] * (capacity + 1)
+    occupied = n = 0  # bit f is set if some bin has f free
+    for s in np.sort(sizes)[::-1].tolist():
         fit = occupied >> s
+        f = s + ((fit & -fit).bit_length() - 1) if fit else capacity
         if fit:
-            f = s + ((fit & -fit).bit_length() - 1)
-            b = min(bins.by_free[f])
-            bins.items[b].append(i)
-            bins.set_free(b, f - s)
-            if not bins.by_free[f]:
-                occupied &= ~(1 << f)
-            occupied |= 1 << (f - s)
+            free[f] -= 1
+            occupied &= ~(0 if free[f] else 1 << f)
         else:
-            bins.add(capacity - s, [i])
-            occupied |= 1 << (capacity - s)
-    for _ in range(passes):
-        if not _improve(bins, sizes):
-            break
-    where = np.zeros(len(sizes), np.int64)
-    k = 0
-    for items in bins.items:
-        if items:
-            where[items] = k
-            k += 1
-    return where
+            n += 1
+        free[f - s] += 1
+        occupied |= 1 << (f - s) if f > s else 0
+    return n
 
 
-def _improve(bins: Bins, sizes: np.ndarray) -> bool:
-    """One pass over underfull bins; True if the squared fill grew.
+def search(bins: Bins) -> int:
+    """Local search; gives the number of emptied bins.
 
-    Partners are all underfull bins. Sources are the emptiest of them, as many as all free space together could take
-    in: others can't become empty.
+    From the emptiest underfull bin on, items move to other underfull bins, are exchanged for one smaller item there, or
+    for two, or two of them for one, always so that the sum of squared fills grows, until the bin is empty or no exchange
+    is left. Partners are all underfull bins, whatever the difference in size. It ends when a pass over all underfull bins
+    finds no exchange, or when the free space of all bins together is less than one bin, so that none can become empty.
     """
-    cap = bins.capacity
-    under = sorted((b for b, items in enumerate(bins.items) if items and bins.free[b]), key=lambda b: (-bins.free[b], b))
-    if len(under) < 2:
-        return False
-    room = sum(bins.free[b] for b in under)
-    sources = under[: int(np.searchsorted(np.cumsum([cap - bins.free[b] for b in under]), room)) + 1]
-    # The items of underfull bins by size, for exchanges.
-    at_size: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    for b in under:
-        for i in bins.items[b]:
-            at_size[int(sizes[i])].add((b, i))
-    member = set(under)
-    better = False
-
-    def take(b: int, i: int) -> None:
-        bins.items[b].remove(i)
-        at_size[int(sizes[i])].discard((b, i))
-
-    def give(b: int, i: int) -> None:
-        bins.items[b].append(i)
-        at_size[int(sizes[i])].add((b, i))
-
-    for b in sources:
-        for i in sorted(bins.items[b], key=lambda i: -int(sizes[i])):
-            if i not in bins.items[b] or not bins.free[b]:
-                continue
-            s = int(sizes[i])
-            fill_b = cap - bins.free[b]
-            done = False
-            # Move: the receiver with least free space that takes the item; the fuller bin gains more than b loses.
-            for f in range(s, min(cap, 4 * s + 64)):
-                to = next((x for x in sorted(bins.by_free.get(f, ())) if x != b and x in member and bins.items[x]), None)
-                if to is not None and (cap - f) + s > fill_b:
-                    take(b, i)
-                    give(to, i)
-                    bins.set_free(to, f - s)
-                    bins.set_free(b, bins.free[b] + s)
-                    done = better = True
-                    break
-            if done:
-                continue
-            # One for one: i goes to a bin that gives back a smaller item j and has room for the difference.
-            for d in range(1, min(s, 64)):
-                for to, j in sorted(at_size.get(s - d, ()))[:8]:
-                    if to != b and bins.free[to] >= d and (cap - bins.free[to]) + d > fill_b:
-                        take(b, i), take(to, j), give(to, i), give(b, j)
-                        bins.set_free(to, bins.free[to] - d)
-                        bins.set_free(b, bins.free[b] + d)
-                        done = better = True
-                        break
-                if done:
-                    break
-            if done:
+    cap, emptied = bins.capacity, 0
+    for b in range(len(bins.items)):
+        bins.enter(b)
+    room = sum(f for b, f in enumerate(bins.free) if bins.items[b])
+    better = True
+    while better and room >= cap:
+        better = False
+        sources = sorted((b for own in bins.by_free.values() for b in own), key=lambda b: (-bins.free[b], b))
+        for b in sources:
+            if room < cap:
+                break
+            if not bins.free[b] or not bins.items[b]:
                 continue
-            # Two for one: i goes to a bin that gives back two items that are smaller together.
-            for x, y in _two_smaller(bins, sizes, member, b, s, fill_b):
-                to = x[0]
-                d = s - int(sizes[x[1]]) - int(sizes[y[1]])
-                take(b, i), take(to, x[1]), take(to, y[1]), give(to, i), give(b, x[1]), give(b, y[1])
-                bins.set_free(to, bins.free[to] - d)
-                bins.set_free(b, bins.free[b] + d)
+            bins.leave(b)
+            while bins.items[b] and _step(bins, b):
                 better = True
-                break
-    return better
+            if bins.items[b]:
+                bins.enter(b)
+            else:
+                room -= cap
+                emptied += 1
+    return emptied
 
 
-def _two_smaller(bins: Bins, sizes: np.ndarray, member: set[int], b: int, s: int, fill_b: int):
-    """A pair of items of one bin whose sum is a little below s, so that the bin becomes fuller and has the room."""
-    for f in range(1, 17):
-        for to in sorted(bins.by_free.get(f, ())):
-            if to == b or to not in member or len(bins.items[to]) < 2 or (bins.capacity - f) + 1 <= fill_b:
-                continue
-            seen: dict[int, int] = {}
-            for j in bins.items[to]:
-                t = int(sizes[j])
-                for d in range(1, f + 1):
-                    if s - d - t in seen:
-                        yield (to, seen[s - d - t]), (to, j)
-                        return
-                seen[t] = j
-            break
+def _step(bins: Bins, b: int) -> bool:
+    """One move or exchange out of bin b, which is no partner now; False if there is none."""
+    cap, sizes = bins.capacity, bins.sizes
+    fill = cap - bins.free[b]
+    own = sorted(bins.items[b], key=lambda i: -sizes[i])
+    tried = set()
+    for i in own:
+        s = sizes[i]
+        if s not in tried:
+            tried.add(s)
+            fits = [f for f in bins.by_free if f >= s]
+            if fits and cap - (f := min(fits)) + s > fill:
+                bins.exchange(b, [i], min(bins.by_free[f]), [])
+                return True
+    for pair in (False, True):
+        tried.clear()
+        for i in own:
+            s = sizes[i]
+            if s not in tried:
+                tried.add(s)
+                if found := bins.partner(s, fill, pair):
+                    bins.exchange(b, [i], found[0], bins.pick(found[0], found[1], pair))
+                    return True
+    tried.clear()
+    for n, i in enumerate(own):
+        for j in own[n + 1 :]:
+            s = sizes[i] + sizes[j]
+            if s not in tried and s <= cap:
+                tried.add(s)
+                if found := bins.partner(s, fill, False):
+                    bins.exchange(b, [i, j], found[0], bins.pick(*found, False))
+                    return True
+    return False
+
+
+def pack(sizes: np.ndarray, capacity: int, improve: bool = True) -> np.ndarray:
+    """The bin of each item (sizes from 1 to capacity): bins filled up one by one, then the local search."""
+    bins = fill_up(sizes, capacity)
+    if improve:
+        search(bins)
+    where = np.zeros(len(sizes), np.int64)
+    k = 0
+    for items in bins.items:
+        if items:
+            where[items] = k
+            k += 1
+    return where
 
 
 def fill_sequences(sized: DataFrame, capacities: dict[str, int], id_col: str = "doc_id", groups: int = 1) -> DataFrame:

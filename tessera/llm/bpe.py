@@ -72,20 +72,31 @@ def load_vocabulary(path: str) -> dict[str, np.ndarray]:
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     signs = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    left, right, made = (np.array([vocab[x] for x in c], np.int32) for c in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
     return {
         "bytes": np.array([vocab[signs[b]] for b in range(256)], np.int32),
-        "left": np.array([vocab[a] for a, _ in pairs], np.int32),
-        "right": np.array([vocab[b] for _, b in pairs], np.int32),
-        "made": np.array([vocab[a + b] for a, b in pairs], np.int32),
+        "left": left,
+        "right": right,
+        "made": made,
+        "ordered": np.array(ordered(left, right, made)),
         "width": np.array([len(t) for t, _ in sorted(vocab.items(), key=lambda x: x[1])], np.int32),
     }
 
 
+def ordered(left: np.ndarray, right: np.ndarray, made: np.ndarray) -> bool:
+    """Whether no token is made twice, and no merge has a part that a later merge makes: then a merge never makes a pair
+    of lower rank, and all places of the least rank may be merged at once."""
+    rank = {int(t): r for r, t in enumerate(made)}
+    return len(rank) == len(made) and all(rank.get(int(x), -1) < r for part in (left, right) for r, x in enumerate(part))
+
+
 class Encoder:
     """Encodes texts; the result for a text doesn't depend on what else is encoded."""
 
     def __init__(self, vocabulary: dict[str, np.ndarray]):
         self.byte_ids, self.made, self.width = vocabulary["bytes"], vocabulary["made"], vocabulary["width"]
+        #: Words of more bytes are merged by _long, if the merges allow it.
+        self.longest = 64 if bool(vocabulary["ordered"]) else None
         self.pairs = HashTable(18)
         self.pairs.put(self._pair(vocabulary["left"], vocabulary["right"]), np.arange(len(self.made)))
         self.words = HashTable(18)
@@ -133,12 +144,12 @@ class Encoder:
         n = np.fromiter(map(len, raw), np.int64, len(raw))
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(raw)
         width, low = 2, 0
-        while low < 64:
+        while low < (self.longest or n.max(initial=0)):
             rows = np.flatnonzero((n > low) & (n <= width))
             for part in range(0, len(rows), step := max(1, (1 << 20) // width)):
                 self._matrix(raw, rows[part : part + step], width, out)
             low, width = width, width * 2
-        self._long(raw, np.flatnonzero(n > 64), out)
+        self._long(raw, np.flatnonzero(n > low), out)
         return out
 
     def _matrix(self, raw: list[bytes], rows: np.ndarray, width: int, out: list[np.ndarray]) -> None:

@@ -84,9 +84,34 @@ def test_packing_keeps_every_item_and_capacity(sizes):
     assert len(fill) <= 11 / 9 * -(-sizes.sum() // 64) + 1 or len(fill) <= 1.25 * (sizes > 21).sum() + 2  # near the best
 
 
-def test_search_empties_bins_that_best_fit_leaves():
-    sizes = np.array([6, 6, 5, 5, 4, 4, 4, 3, 3]).repeat(40)
-    assert packing.pack(sizes, 10).max() <= packing.pack(sizes, 10, passes=0).max()
+def test_search_empties_bins_that_the_start_leaves():
+    rng = np.random.default_rng(5)
+    for capacity in (64, 512):
+        sizes = np.minimum(rng.geometric(2.2 / capacity, 4000), capacity - 1)
+        bins = packing.fill_up(sizes, capacity)
+        before = sum((capacity - f) ** 2 for f in bins.free)
+        start = len(bins.items)
+        emptied = packing.search(bins)
+        fills = [sum(sizes[i] for i in items) for items in bins.items]
+        assert sorted(i for items in bins.items for i in items) == list(range(len(sizes))) and max(fills) <= capacity
+        assert sum(x * x for x in fills) >= before and sum(not x for x in fills) == emptied
+        assert start - emptied <= packing.best_fit(sizes, capacity)
+    arrival = packing.Bins(10, [4, 6, 3, 7, 5, 5, 2, 8] * 50)
+    for i in range(400):  # one item a bin: moves alone empty half of them
+        arrival.add([i], 10 - arrival.sizes[i])
+    assert 400 - packing.search(arrival) == 200
+
+
+def test_search_has_no_cap_on_differences():
+    bins = packing.Bins(1000, [900, 400, 499, 500])
+    for items in ([0], [1, 2], [3]):
+        bins.add(items, 1000 - sum(bins.sizes[i] for i in items))
+    # 900 for 400 + 499 in a bin of 899 and 101 free: the giver keeps 899, and nothing grows
+    assert packing.search(bins) == 0
+    bins = packing.Bins(1000, [700, 100, 300, 300, 600])
+    for items in ([0], [1, 2, 3], [4]):
+        bins.add(items, 1000 - sum(bins.sizes[i] for i in items))
+    assert packing.search(bins) == 1
 
 
 def test_sequences(spark):
@@ -107,7 +132,7 @@ def test_sequences(spark):
 TEXTS = ["", "short", "x" * 3000, "漢字" * 900, "a b" * 900, "\n \n" * 700, "🔥🙂" * 500, "One sentence here. Another one, with a clause; and more.\n\n" * 60, "word " * 900, "don't 's " * 300]
 
 
-@pytest.mark.parametrize("limit, overlap", [(128, 16), (512, 64), (20, 0), (16, 15)])
+@pytest.mark.parametrize("limit, overlap", [(128, 16), (512, 64), (20, 0), (16, 15), (5, 0), (4, 0), (4, 3)])
 def test_pieces(encoder, reference, limit, overlap):
     rows = list(splitting.pieces_of(encoder, TEXTS, [("b", limit, overlap)]))
     sizes = [len(x) for x in reference([TEXTS[r[1]][r[3] : r[5]] for r in rows])]
@@ -135,5 +160,38 @@ def test_piece_column(spark):
     assert {r["doc_id"] for r in out} == {1} and len(out) % 2 == 0
     assert all(r["piece"] == TEXTS[7][r["char_start"] : r["char_end"]] for r in out)
     assert splitting.split_texts(df.limit(0), [("b", 128, 16)]).count() == 0
-    with pytest.raises(ValueError):
-        splitting.split_texts(df, [("b", 16, 16)])
+    for limit, overlap in ((16, 16), (2, 0)):
+        with pytest.raises(ValueError):
+            splitting.split_texts(df, [("b", limit, overlap)])
+
+
+def test_a_limit_below_a_character_ends(encoder):
+    rows = list(splitting.pieces_of(encoder, ["🔥🙂 x"], [("b", 2, 0)]))
+    assert "".join("🔥🙂 x"[r[4] : r[5]] for r in rows) == "🔥🙂 x"
+
+
+def test_cuts_go_farther_for_a_sentence(encoder):
+    text = "one two three four five six seven eight nine ten " * 2 + "end. " + "one two three four five six seven eight nine ten " * 4
+    rows = list(splitting.pieces_of(encoder, [text], [("b", 50, 0)]))
+    assert any(text[: r[5]].rstrip().endswith("end.") for r in rows)
+
+
+def test_merges_out_of_order_take_the_exact_path():
+    """A merge that makes a pair of lower rank: merging all places of one rank at once would be wrong."""
+    left, right, made = np.array([256, 97], np.int32), np.array([97, 98], np.int32), np.array([257, 256], np.int32)  # (ab) a, then a b
+    assert not bpe.ordered(left, right, made)
+    assert bpe.ordered(left[::-1], right[::-1], made[::-1])
+    merges = {(256, 97): (0, 257), (97, 98): (1, 256)}
+
+    def one_by_one(text):
+        ids = list(text.encode())
+        while True:
+            found = [(merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
+            if not found:
+                return ids
+            _, i = min(found)
+            ids[i : i + 2] = [merges[ids[i], ids[i + 1]][1]]
+
+    e = bpe.Encoder({"bytes": np.arange(256, dtype=np.int32), "left": left, "right": right, "made": made, "width": np.ones(258, np.int32), "ordered": np.array(False)})
+    for text in ("ab" * 50 + "a", "aab" * 40, "ab" * 20):
+        assert ids(e, [text]) == [one_by_one(text)]

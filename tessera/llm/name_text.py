@@ -238,7 +238,7 @@ def deletes(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
-def block_keys(words: list[str], joined: str, acronym: str | None) -> set[str]:
+def block_keys(words, joined: str, acronym: str | None) -> set[str]:
     keys = {f"a:{acronym}"} if acronym else set()
     for w in words:
         if len(w) >= 4:

@@ -32,7 +32,7 @@ def _form_keys(batches):
         rows = []
         for form in pdf["form"]:
             s = Spelling.of_form(form)
-            rows.append((form, _hash(block_keys(s.words, s.joined, s.acronym))))
+            rows.append((form, _hash(block_keys({*s.words, s.joined}, s.joined, s.acronym))))
         yield pd.DataFrame(rows, columns=["form", "keys"])
 
 

@@ -42,9 +42,14 @@ ZONES = {
     "z": 0, "utc": 0, "ut": 0, "gmt": 0, "wet": 0, "west": 60, "bst": 60, "cet": 60, "cest": 120, "mez": 60, "mesz": 120, "met": 60, "mest": 120,
     "eet": 120, "eest": 180, "msk": 180, "ist": 330, "jst": 540, "kst": 540, "hkt": 480, "sgt": 480, "awst": 480, "acst": 570, "acdt": 630,
     "aest": 600, "aedt": 660, "nzst": 720, "nzdt": 780, "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360,
-    "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600, "ast": -240, "adt": -180, "nst": -210, "ndt": -150, "brt": -180, "art": -180,
+    "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600, "ast": -240, "adt": -180, "nst": -210, "ndt": -150, "brt": -180, "brst": -120, "art": -180,
+    "msd": 240, "trt": 180, "gst": 240, "pkt": 300, "npt": 345, "ict": 420, "wib": 420, "wita": 480, "wit": 540, "myt": 480, "pht": 480, "sast": 120, "eat": 180, "cat": 120, "wat": 60,
+    "clt": -240, "clst": -180, "cot": -300, "pet": -300, "uyt": -180,
 }
 
+#: Zones whose abbreviation has stood for other offsets in other years (fixed values).
+HOMES = {"msk": "Europe/Moscow", "msd": "Europe/Moscow"}
+
 _month = "(?P<mon>" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")\.?"
 _dates = [
     r"(?P<y>\d{4})([-/.])(?P<m>\d{1,2})\2(?P<d>\d{1,2})",
@@ -91,19 +96,18 @@ def _title(part: str) -> str:
     return "_".join("-".join(w if w in ("of", "es") else w.capitalize() for w in x.split("-")) for x in part.split("_"))
 
 
-@functools.cache
-def own_abbreviations(tz_name: str) -> dict[str, int]:
-    """Abbreviations that the zone itself uses, with their minutes east of UTC."""
-    z = zone(tz_name)
-    out = {}
-    if z:
-        for month in (1, 7):
-            t = datetime(2024, month, 15, tzinfo=z)
-            if (n := t.tzname()) and n.isalpha():
-                out[n.lower()] = int(t.utcoffset().total_seconds() // 60)
-        if tz_name.startswith("Australia/"):  # written without the leading A there, too
-            out |= {k[1:]: v for k, v in out.items() if k.startswith("a")}
-    return out
+@functools.lru_cache(200_000)
+def own_abbreviation(abbr: str, tz_name: str, day: int) -> int | None:
+    """Minutes east of UTC of an abbreviation as the zone uses it on a day, or in that year's other season."""
+    z = zone(tz_name) if tz_name else None
+    if not z or not 366 < day < date.max.toordinal() - 366:
+        return None
+    for shift in (0, 182, -182, 91, -91):
+        t = datetime.fromordinal(day + shift).replace(hour=12, tzinfo=z)
+        n = (t.tzname() or "").lower()
+        if n.isalpha() and (n == abbr or tz_name.startswith("Australia/") and n == "a" + abbr):  # written without the leading A there, too
+            return int(t.utcoffset().total_seconds() // 60)
+    return None
 
 
 def _local(day: int, us: int, z: ZoneInfo | None) -> int | None:
@@ -143,14 +147,13 @@ def _day(m: re.Match, locale: str | None) -> int | None:
 def parse_instant(text: str | None, tz_name: str | None, locale: str | None) -> int | None:
     """Microseconds since 1970-01-01 UTC of the one definite instant that text names, else None.
 
-    None comes of null and empty texts, texts without a time of day, relative phrases, impossible dates and times, local
-    times that clocks skip or pass twice, and local times of sources without a zone. Digits beyond microseconds are cut.
+    None comes of null and empty texts, texts without a time of day, relative phrases, impossible dates and times (24:00 and
+    second 60 among them), local times that clocks skip or pass twice, and local times of sources without a zone. An
+    abbreviation has the offset that it had at the stated date. The text may be of any length. Digits beyond microseconds are cut.
     """
     if not text:
         return None
     s = " ".join(text.replace("−", "-").split()).lower()
-    if len(s) > 120:
-        return None
     if m := EPOCH_TEXT.match(s):
         sec, frac, ms, msf, us, ns = m.groups()
         if sec:
@@ -198,7 +201,11 @@ def parse_instant(text: str | None, tz_name: str | None, locale: str | None) ->
     elif m := NAMED.match(rest):
         return _local(day, us, known_zone(m["iana"]))
     elif m := ABBREVIATION.match(rest):
-        minutes = own_abbreviations(tz_name or "").get(m["abbr"], ZONES.get(m["abbr"]))
+        minutes = own_abbreviation(m["abbr"], tz_name or "", day)
+        if minutes is None:
+            minutes = own_abbreviation(m["abbr"], HOMES.get(m["abbr"], ""), day)
+        if minutes is None:
+            minutes = ZONES.get(m["abbr"])
         if minutes is None:
             return None
     else:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.instant_text import parse_instant
-from ..session import drop_at_exit, scratch_path
+from ..session import drop_at_exit, exists, scratch_path, written
 
 KEYS = ["raw", "tz_name", "locale"]
 DICTIONARY = "raw string, tz_name string, locale string, utc_us long"
@@ -24,20 +23,25 @@ def _parse(batches):
 def extend_dictionary(values: DataFrame, path: str) -> DataFrame:
     """Adds the values (raw, tz_name, locale) that the dictionary at path lacks, each parsed once; gives all of it.
 
-    Values that name no instant are kept, too, with null, so that no later run parses them again.
+    Values that name no instant are kept, too, with null, so that no later run parses them again. Each run appends files;
+    compact_dictionary makes them few again. Runs at one time may append a value twice, so readers take each value once.
     """
     spark = values.sparkSession
     new = values.select(*KEYS).distinct()
-    try:
+    if exists(spark, path):
         known = spark.read.schema(DICTIONARY).parquet(path)
         same = [new[k].eqNullSafe(known[k]) for k in KEYS]
         new = new.join(known, same[0] & same[1] & same[2], "left_anti")
-    except AnalysisException:  # no dictionary yet
-        pass
     new.mapInPandas(_parse, DICTIONARY).write.mode("append").parquet(path)
     return spark.read.schema(DICTIONARY).parquet(path)
 
 
+def compact_dictionary(spark: SparkSession, path: str) -> None:
+    """Rewrites the dictionary at path with each value once, in few files. No run may use it meanwhile."""
+    once = written(spark.read.schema(DICTIONARY).parquet(path).dropDuplicates(KEYS), "dictionary")
+    once.write.mode("overwrite").parquet(path)
+
+
 def normalise_instants(df: DataFrame, locales: DataFrame, fields: list[str], id_col: str = "row_id", source_col: str = "sourceurl", dictionary: str | None = None) -> DataFrame:
     """(id, field, utc_us): one row per row of df and field that names one definite instant.
 
@@ -59,6 +63,8 @@ def normalise_instants(df: DataFrame, locales: DataFrame, fields: list[str], id_
         .select("_id", "field", "raw", F.coalesce("tz_name", F.lit("")).alias("tz_name"), F.coalesce("locale", F.lit("")).alias("locale"))
     )
     parsed = extend_dictionary(long, path).where("utc_us is not null")
-    if not dictionary:
+    if dictionary:
+        parsed = parsed.dropDuplicates(KEYS)  # by the keys of the join: no shuffle more
+    else:
         drop_at_exit(df.sparkSession, path)
     return long.join(parsed, KEYS).select(F.col("_id").alias(id_col), "field", "utc_us")

@@ -49,6 +49,10 @@ NY, BER, IN, SYD = ("America/New_York", "en-US"), ("Europe/Berlin", "de-DE"), ("
         ("12-Feb-24 07:41 -0800", NY, at(2024, 2, 12, 15, 41)),
         ("Published: 2024-06-30 19:41 GMT-04:00", NY, at(2024, 6, 30, 23, 41)),
         ("2024-01-03 18:18:56", SYD, at(2024, 1, 3, 7, 18, 56)),
+        ("2012-07-01 10:00 MSK", NY, at(2012, 7, 1, 6)), ("2024-07-01 10:00 MSK", NY, at(2024, 7, 1, 7)), ("2010-07-01 10:00 MSD", NY, at(2010, 7, 1, 6)), ("2024-07-01 10:00 PHT", NY, at(2024, 7, 1, 2)),
+        ("2012-07-01 10:00 MSK", ("Europe/Moscow", "ru-RU"), at(2012, 7, 1, 6)), ("2024-07-05 06:50 EST", NY, at(2024, 7, 5, 11, 50)),
+        ("Published: " * 40 + "2024-06-30 19:41" + " " * 200 + "GMT-04:00 (" + "Eastern Daylight Time " * 30 + ")", NY, at(2024, 6, 30, 23, 41)),
+        ("2024-01-05T24:00:00Z", NY, None), ("2016-12-31T23:59:60Z", NY, None), ("x" * 200_000, NY, None),
         ("2024-02-06", NY, None), ("20240106", NY, None), ("25 Jan 2024", NY, None), ("", NY, None), (None, NY, None), ("yesterday", NY, None),
         ("2025-13-15T10:00:00Z", NY, None), ("2024-02-30T10:00:00Z", NY, None), ("2024-01-05T25:00:00Z", NY, None), ("13/2/2024 10:00", NY, None),
         ("2025-03-30 02:53:00", BER, None), ("2025-11-02T01:49:04", NY, None), ("2024-01-05 10:00", ("", ""), None), ("1/7/2024 05:05", ("America/New_York", ""), None),

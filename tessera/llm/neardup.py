@@ -5,28 +5,28 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
 from .chargrid import LETTER, NUMBER, classes, join, mix, run_starts, slices, span_hashes
 
-#: Bands and minima of each, for grouping only: at the least similarity of 0.6 a pair shares a band in 98.4 of 100 cases, at
-#: 0.65 in 99.8, at 0.7 in 99.99.
-BANDS, ROWS = 51, 5
+#: Minima that name a set's group: sets of similarity 0.9 have them in common in 59 of 100 cases, of 0.3 in 2 of 1,000.
+MINIMA = 5
 #: Members of a group that are opened at once; larger groups are opened in several blocks, each for every query.
 BLOCK = 1024
 #: Rows of a class of copies that are paired at once; larger classes are paired in several blocks.
 COPIES = 512
-#: Bits of a set's parities, SLOTS of its triples' sample counts, and the classes sampled for these.
-PARITIES, SLOTS, SAMPLE = 512, 1 << 22, 40_000
-#: Rows of the table for each part of the triples.
-PART = 10_000
+#: Bits of a set's parities; SLOTS of its triples' sample counts, and the classes sampled for these; 64-bit COLUMNS of the
+#: token-group matrix.
+PARITIES, SLOTS, SAMPLE, COLUMNS = 512, 1 << 22, 40_000, 32
+#: Rows of the table for each part of the triples, and sets whose triples go to the parts together.
+PART, PACK = 25_000, 2048
+#: Classes that a task remembers to leave out copies.
+SEEN = 1_000_000
 #: Pairs of rows that are looked at together in one task.
 AT_ONCE = 1 << 20
-#: Bits of 255 that sketches of like members agree in (_abroad).
-AGREE = 178
-SETS = "row_id long, print long, triples binary"
+SETS = "row_id long, print long, grp long, triples binary"
 
 
 def triple_sets(texts: list[str], least: int):
@@ -56,6 +56,18 @@ def triple_sets(texts: list[str], least: int):
             yield a + i, values[at[i] : at[i + 1]]
 
 
+def group_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of MINIMA minima of each set under as many permutations: the name of its group."""
+    multiply = (mix(np.arange(MINIMA)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    flip = (mix(np.arange(MINIMA) + 7919) >> np.uint64(32)).astype(np.uint32)
+    flat = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    out = np.zeros(len(sets), np.uint64)
+    for k in range(MINIMA):
+        out = mix(out ^ np.minimum.reduceat((flat ^ flip[k]) * multiply[k], starts).astype(np.uint64))
+    return out.view(np.int64)
+
+
 def _sets(least: int):
     def run(batches):
         for batch in batches:
@@ -63,18 +75,24 @@ def _sets(least: int):
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for a, b in slices(lengths, 1 << 21):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-                keys = ids.slice(a, b - a).to_pylist()
-                rows = [(keys[i], int(np.add.reduce(mix(s)).view(np.int64)), s.tobytes()) for i, s in triple_sets(texts, least)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["row_id", "print", "triples"])
+                found = list(triple_sets(texts, least))
+                if found:
+                    sets = [x for _, x in found]
+                    prints = [int(np.add.reduce(mix(x)).view(np.int64)) for x in sets]
+                    own = ids.slice(a, b - a).take(pa.array([i for i, _ in found]))
+                    columns = [own, pa.array(prints, pa.int64()), pa.array(group_of(sets)), pa.array([x.tobytes() for x in sets], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row_id", "print", "grp", "triples"])
 
     return run
 
 
 def _once(batches):
-    """The first row of each class within a task: copies are left out before anything is shuffled."""
+    """The first row of each class within a task: copies are left out before anything is shuffled. What has been seen is
+    forgotten at SEEN classes; later stages leave out copies anyway."""
     seen: set[int] = set()
     for batch in batches:
+        if len(seen) > SEEN:
+            seen.clear()
         keep = []
         for i, x in enumerate(batch.column(0).to_pylist()):
             if x not in seen:
@@ -84,31 +102,6 @@ def _once(batches):
             yield batch.take(pa.array(keep))
 
 
-def _bands(batches):
-    """(rep, bands): a hash of each ROWS of the BANDS x ROWS minima of a set under as many permutations."""
-    multiply = (mix(np.arange(BANDS * ROWS)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    flip = (mix(np.arange(BANDS * ROWS) + 7919) >> np.uint64(32)).astype(np.uint32)
-    salt = mix(np.arange(BANDS))
-    for batch in _once(batches):
-        raw = batch.column(1).to_pylist()
-        for lo in range(0, len(raw), 256):
-            part = raw[lo : lo + 256]
-            flat = np.frombuffer(b"".join(part), np.uint32)
-            starts = np.cumsum([0, *(len(x) // 4 for x in part[:-1])])
-            least = np.empty((BANDS * ROWS, len(part)), np.uint32)
-            work = np.empty_like(flat)
-            for k in range(BANDS * ROWS):
-                np.bitwise_xor(flat, flip[k], out=work)
-                np.multiply(work, multiply[k], out=work)
-                least[k] = np.minimum.reduceat(work, starts)
-            bands = np.repeat(salt[:, None], len(part), 1)
-            for r in range(ROWS):
-                bands = mix(bands ^ least[r::ROWS].astype(np.uint64))
-            ends = pa.array(np.arange(len(part) + 1) * BANDS, pa.int32())
-            columns = [batch.column(0).slice(lo, len(part)), pa.ListArray.from_arrays(ends, pa.array(bands.T.reshape(-1).view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "bands"])
-
-
 def _counts(batches):
     """(slot, n): how many sets of a task hold triples of each of SLOTS ranges."""
     total = np.zeros(SLOTS, np.int64)
@@ -122,74 +115,85 @@ def _counts(batches):
 
 
 def _prefixes(least: float, common: np.ndarray, parts: int):
-    """-> (part, rep, size, parity, triples, places): a set's rarest triples, those of one part in a row, with their places
-    in its order, and the parities of its triples in PARITIES slots.
+    """-> rows of PARTS: for each part of the triples, of PACK sets at once, those that have a rare triple of the part, with
+    their sizes and parities, and these triples with their places in the set's order.
 
     The order is by `common`, then by hash, the same for all sets: any order is exact, a good one makes it fast. At a
     similarity of `least` sets share `least` x the size of either, so the first triple that they share leaves that many
     from its place on."""
 
+    def pack(reps: list[int], sets: list[np.ndarray]):
+        size = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        own = np.repeat(np.arange(len(sets)), size)
+        slot = (flat * np.uint32(0x9E3779B1)) >> np.uint32(32 - (PARITIES - 1).bit_length())
+        odd = np.bincount(own * PARITIES + slot, minlength=len(sets) * PARITIES) & 1
+        parity = np.packbits(odd.astype(np.uint8).reshape(len(sets), PARITIES), axis=1)
+        order = np.lexsort((flat, common[flat // np.uint32((1 << 32) // SLOTS)], own))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        rare = place < np.repeat(size - np.ceil(least * size - 1e-9).astype(np.int64) + 1, size)
+        flat, own, place = flat[order][rare], own[rare], np.minimum(place[rare], 65535).astype(np.uint16)  # a lower place only loosens the bound
+        part = (mix(flat) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((own, part))
+        flat, own, place, part = flat[order], own[order], place[order], part[order]
+        reps_, size = np.array(reps), size.astype(np.int32)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+        rows = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            who, n = np.unique(own[a:b], return_counts=True)
+            rows.append((int(part[a]), reps_[who].tobytes(), size[who].tobytes(), n.astype(np.uint16).tobytes(), parity[who].tobytes(), flat[a:b].tobytes(), place[a:b].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], names=PART_NAMES)
+
     def run(batches):
+        reps, sets = [], []
         for batch in _once(batches):
-            rows = []
             for rep, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = np.frombuffer(raw, np.uint32)
-                slot = (s * np.uint32(0x9E3779B1)) >> np.uint32(32 - (PARITIES - 1).bit_length())
-                parity = np.packbits((np.bincount(slot, minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
-                order = np.argsort((common[s // np.uint32((1 << 32) // SLOTS)].astype(np.uint64) << np.uint64(32)) | s)
-                rare = s[order[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1]]
-                part = (mix(rare) % np.uint64(parts)).astype(np.int64)
-                places = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[places], prepend=-1, append=parts))
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    at = places[a:b]
-                    rows.append((int(part[at[0]]), rep, len(s), parity, rare[at].tobytes(), np.minimum(at, 65535).astype(np.uint16).tobytes()))  # a lower place only loosens the bound
-                if len(rows) >= 1 << 14:
-                    yield _prefix_rows(rows)
-                    rows = []
-            if rows:
-                yield _prefix_rows(rows)
+                reps.append(rep)
+                sets.append(np.frombuffer(raw, np.uint32))
+                if len(reps) == PACK:
+                    yield pack(reps, sets)
+                    reps, sets = [], []
+        if reps:
+            yield pack(reps, sets)
 
     return run
 
 
-def _prefix_rows(rows) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["part", "rep", "size", "parity", "triples", "places"])
+PART_NAMES = ["part", "reps", "sizes", "counts", "parities", "triples", "places"]
+PARTS = "part int, " + ", ".join(f"{x} binary" for x in PART_NAMES[1:])
 
 
 def _meet(least: float):
-    """Batches sorted by part of _prefixes -> (a, b): all pairs of sets that share a rare triple and may be similar by two
-    bounds, neither of which can lose a pair: what is left of each set from the shared triple on, and the parities, which
-    differ in no more slots than the sets do in triples."""
+    """Rows of one part -> (a, b): all pairs of sets that share a rare triple and may be similar by two bounds, neither of
+    which can lose a pair: what is left of each set from the shared triple on, and the parities, which differ in no more
+    slots than the sets do in triples."""
 
     def run(batches):
-        here, kept = None, []
+        parts: dict[int, list] = {}
         for batch in batches:
-            part = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if part[a] != here:
-                    if kept:
-                        yield from _meet_part(kept, least)
-                    here, kept = part[a], []
-                kept.append([batch.column(k).slice(a, b - a) for k in range(1, 6)])
-        if kept:
-            yield from _meet_part(kept, least)
+            for row in range(batch.num_rows):
+                parts.setdefault(batch.column(0)[row].as_py(), []).append([batch.column(k)[row].as_py() for k in range(1, 7)])
+        while parts:
+            yield from _meet_part(parts.popitem()[1], least)
 
     return run
 
 
-def _meet_part(kept: list, least: float):
-    rep, size = (np.concatenate([x[k].to_numpy() for x in kept]) for k in (0, 1))
-    rep, own = np.unique(rep, return_index=True)  # copies from other tasks
-    size = size[own].astype(np.int64)
-    parity, triples, places = (pa.concat_arrays([x[k] for x in kept]).take(pa.array(own)) for k in (2, 3, 4))
-    who = np.repeat(np.arange(len(rep)), pc.binary_length(triples).to_numpy() // 4)
-    parity = np.frombuffer(parity.buffers()[2], np.uint64, len(rep) * PARITIES // 64).reshape(len(rep), -1)
-    triple = np.frombuffer(triples.buffers()[2], np.uint32, len(who)).astype(np.int64)
-    rest = size[who] - np.frombuffer(places.buffers()[2], np.uint16, len(who))
-    keyed = (triple << 31) | size[who]
+def _meet_part(rows: list, least: float):
+    joined = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)
+    rep, size, count = joined(0, np.int64), joined(1, np.int32).astype(np.int64), joined(2, np.uint16).astype(np.int64)
+    parity = joined(3, np.uint64).reshape(len(rep), -1)
+    triples, places = joined(4, np.uint32), joined(5, np.uint16)
+    rows.clear()
+    distinct, first = np.unique(rep, return_index=True)
+    if len(distinct) < len(rep):  # copies from other tasks
+        once = np.zeros(len(rep), bool)
+        once[first] = True
+        kept = np.repeat(once, count)
+        rep, size, parity, triples, places, count = rep[once], size[once], parity[once], triples[kept], places[kept], count[once]
+    who = np.repeat(np.arange(len(rep)), count)
+    rest = size[who] - places
+    keyed = (triples.astype(np.int64) << 31) | size[who]
     order = np.argsort(keyed, kind="stable")
     keyed, who, rest = keyed[order], who[order], rest[order]
     share = least / (1 + least)  # of both sizes
@@ -224,44 +228,19 @@ def _met(rep: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rep[pairs >> 32]), pa.array(rep[pairs & 0xFFFFFFFF])], names=["a", "b"])
 
 
-def _abroad(batches):
-    """Batches sorted by key of (key, rep, grp, sketch) -> (rep, grp, other): a member and a higher group of which it
-    meets a member with a like sketch in one band. A lossy look at buckets; similar_classes takes _meet, which is exact."""
-
-    def pairs(rows: list[tuple[int, int, bytes]]) -> set[tuple[int, int, int]]:
-        out = set()
-        if len(rows) <= 24:
-            bits = [int.from_bytes(x[2]) for x in rows]
-            for i, (rep, grp, _) in enumerate(rows):
-                for j, (_, other, _) in enumerate(rows):
-                    if grp < other and BANDS * ROWS - (bits[i] ^ bits[j]).bit_count() >= AGREE:
-                        out.add((rep, grp, other))
-            return out
-        rows = sorted(rows, key=lambda x: x[1])  # only rows of higher groups are compared, however large a group is
-        signs = np.unpackbits(np.frombuffer(b"".join(x[2] for x in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, : BANDS * ROWS] * np.float32(2) - 1
-        grp = np.array([x[1] for x in rows])
-        for lo in range(0, len(rows), 512):
-            for at in range(int(np.searchsorted(grp, grp[lo], "right")), len(rows), 4096):
-                like = signs[lo : lo + 512] @ signs[at : at + 4096].T >= 2 * AGREE - BANDS * ROWS
-                i, j = np.nonzero(like & (grp[lo : lo + 512, None] < grp[None, at : at + 4096]))
-                out |= {(rows[lo + x][0], rows[lo + x][1], rows[at + y][1]) for x, y in zip(i.tolist(), j.tolist())}
-        return out
-
-    def table(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["rep", "grp", "other"])
-
-    here, rows = None, []
-    for batch in batches:
-        out: set[tuple[int, int, int]] = set()
-        for key, rep, grp, sketch in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != here:
-                out |= pairs(rows) if len(rows) > 1 else set()
-                here, rows = key, []
-            rows.append((rep, grp, sketch))
-        if out:
-            yield table(out)
-    if len(rows) > 1 and (last := pairs(rows)):
-        yield table(last)
+def _matrix_rows(batches):
+    """(rep, size, m0, ...): the columns of the token-group matrix that a set's triples fall in, one bit each."""
+    for batch in _once(batches):
+        raw = batch.column(1).to_pylist()
+        for lo in range(0, len(raw), 1024):
+            part = raw[lo : lo + 1024]
+            flat = np.frombuffer(b"".join(part), np.uint32)
+            size = np.array([len(x) // 4 for x in part])
+            bits = np.zeros((len(part), COLUMNS * 64), np.uint8)
+            bits[np.repeat(np.arange(len(part)), size), (flat * np.uint32(0x85EBCA6B)) >> np.uint32(32 - (COLUMNS * 64 - 1).bit_length())] = 1
+            words = np.packbits(bits, axis=1).view(np.int64)
+            columns = [batch.column(0).slice(lo, len(part)), pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(COLUMNS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "size", *(f"m{k}" for k in range(COLUMNS))])
 
 
 class Group:
@@ -348,48 +327,49 @@ def similar_classes(df: DataFrame, id_col: str, text: F.Column, least: float, le
     """(pairs, membership): pairs (rep_a < rep_b, shared) of classes of equal sets whose similarity is at least `least`,
     and the class (row_id, rep) of each row with at least `least_triples` triples. A class is named by a 64-bit print of
     its set."""
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("row_id"), text.alias("text")).where("row_id is not null")
     sets = written(rows.mapInArrow(_sets(least_triples), SETS), "sets")
     membership = sets.select("row_id", F.col("print").alias("rep")).distinct()
+    groups = sets.select(F.col("print").alias("rep"), "grp").distinct()
 
-    # Each class joins the group whose leader it meets in most bands.
-    key = Window.partitionBy("key")
-    banded = written(sets.select("print", "triples").mapInArrow(_bands, "rep long, bands array<long>"), "banded")
-    met = banded.select("rep", F.explode("bands").alias("key"))
-    met = met.select("rep", "key", F.min("rep").over(key).alias("leader"), F.max("rep").over(key).alias("last")).where("leader < last").select("rep", "key", "leader")
-    met = written(met, "met")
-    votes = met.groupBy("rep", "leader").agg(F.count("*").alias("n"))
-    grouped = votes.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("grp"))
-    alone = membership.select("rep").distinct().join(grouped, "rep", "left")  # who meets nobody in a band is a group, too
-    groups = written(alone.select("rep", F.coalesce("grp", "rep").alias("grp")), "groups")
-
-    # A query meets the groups of all members with which it shares one of its rarest triples and that may be similar; a
-    # pair across groups is looked for from one side.
-    spark = df.sparkSession
+    # Which classes may be similar: those that share one of their rarest triples, within two bounds.
     n = sets.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // PART)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, n // PART, 1)
     share = min(1.0, SAMPLE / max(1, n))
     sample = sets.where(F.pmod(F.xxhash64("print"), F.lit(1 << 20)) < round(share * (1 << 20)))
     counts = sample.select("print", "triples").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     common = np.zeros(SLOTS, np.uint16)
     common[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 65535)
-    rare = sets.select("print", "triples").mapInArrow(_prefixes(least, common, parts), "part int, rep long, size int, parity binary, triples binary, places binary")
-    near = written(rare.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_meet(least), "a long, b long"), "near").distinct()
+    rare = sets.select("print", "triples").mapInArrow(_prefixes(least, common, parts), PARTS)
+    near = written(rare.repartitionById(parts, "part").mapInArrow(_meet(least), "a long, b long"), "near")
+
+    # A query asks the groups of these classes; a pair across groups is looked for from one side.
     a, b = (groups.select(F.col("rep").alias(x), F.col("grp").alias(f"grp_{x}")) for x in "ab")
-    across = near.join(a, "a").join(b, "b").where("grp_a <> grp_b")
+    across = near.distinct().join(a, "a").join(b, "b").where("grp_a <> grp_b")
     first = F.col("grp_a") < F.col("grp_b")
-    abroad = across.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("rep"), F.least("grp_a", "grp_b").alias("grp"), F.greatest("grp_a", "grp_b").alias("other")).distinct()
+    abroad = across.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("rep"), F.least("grp_a", "grp_b").alias("own"), F.greatest("grp_a", "grp_b").alias("grp")).distinct()
     abroad = written(abroad, "abroad")
 
     size = groups.groupBy("grp").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    asked = abroad.select(F.col("other").alias("grp")).distinct().withColumn("asked", F.lit(True))
-    size = size.join(asked, "grp", "left").where("n > 1 or asked").select("grp", "blocks")
+    asked = abroad.select("grp").distinct().withColumn("asked", F.lit(True))
+    size = size.join(asked, "grp", "left").where("n > 1 or asked").select("grp", "blocks", "asked")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    home = groups.join(size, "grp").withColumn("home", block)
-    members = home.select("grp", F.col("home").alias("block"), F.lit(0).alias("role"), "rep", F.col("grp").alias("own"))
-    inside = home.where("blocks > 1").select("grp", all_blocks.alias("block"), F.lit(1).alias("role"), "rep", F.col("grp").alias("own"), "home").where("block != home").drop("home")
-    outside = abroad.select(F.col("other").alias("grp"), "rep", F.col("grp").alias("own")).join(size, "grp").select("grp", all_blocks.alias("block"), F.lit(1).alias("role"), "rep", "own")
+    home = written(groups.join(size, "grp").withColumn("block", block), "members")
+
+    # The token-group matrix: the union of each asked block's triples; a query whose overlap with it can't reach `least` of
+    # its own size stays outside, before any set is moved.
+    names = [f"m{k}" for k in range(COLUMNS)]
+    matrix_rows = sets.select("print", "triples").mapInArrow(_matrix_rows, "rep long, size long, " + ", ".join(f"{x} long" for x in names))
+    union = home.where("asked").join(matrix_rows, "rep").groupBy("grp", "block").agg(*[F.bit_or(x).alias(f"u{k}") for k, x in enumerate(names)])
+    queries = abroad.join(home.select("grp", "blocks").distinct(), "grp").select("grp", all_blocks.alias("block"), "rep", "own")
+    missing = sum((F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(f"u{k}")))) for k, x in enumerate(names)), F.lit(0))
+    met = queries.join(union, ["grp", "block"]).join(matrix_rows, "rep").where(F.col("size") - missing >= F.ceil(F.col("size") * least - 1e-9))
+
+    members = home.select("grp", "block", F.lit(0).alias("role"), "rep", F.col("grp").alias("own"))
+    inside = home.where("blocks > 1").select("grp", all_blocks.alias("block"), F.lit(1).alias("role"), "rep", F.col("grp").alias("own"), F.col("block").alias("home")).where("block != home").drop("home")
+    outside = met.select("grp", "block", F.lit(1).alias("role"), "rep", "own")
     tokens = sets.select(F.col("print").alias("rep"), "triples").mapInArrow(_once, "rep long, triples binary")
     work = members.unionByName(inside).unionByName(outside).join(tokens, "rep")
     work = work.select("grp", "block", "role", "rep", "own", "triples").repartition("grp", "block").sortWithinPartitions("grp", "block", "role", "rep")

@@ -36,8 +36,7 @@ def test_equals_brute_force(spark):
     rows = corpus() + [(1000, None, None), (1001, "", ""), (1002, "a b c", "d")]
     want = brute(rows)
     got = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(rows, "row_id long, title string, content string")).collect()))
-    assert not set(got) - set(want)
-    assert len(set(want) & set(got)) >= 0.98 * len(want) and len(got) == len(set(got))
+    assert got == want
 
 
 def test_large_groups_and_classes_open_in_blocks(spark, monkeypatch):
@@ -63,32 +62,6 @@ def test_edges(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_mixed_buckets_compare_groups_alike_at_any_size():
-    import numpy as np
-    import pyarrow as pa
-
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 256, (3, 32), dtype=np.uint8)
-    rows = []
-    for k in range(90):
-        bits = base[k % 3].copy()
-        bits[rng.integers(32)] ^= 1 << rng.integers(8)
-        rows.append((7, k, k % 5, bits.tobytes()))
-
-    def run(size):
-        out = set()
-        for lo in range(0, len(rows), size):  # a bucket of its own key each
-            part = [(lo, *r[1:]) for r in rows[lo : lo + size]]
-            batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=["key", "rep", "grp", "sketch"])
-            for b in neardup._abroad([batch]):
-                out |= set(zip(*(c.to_pylist() for c in b.columns)))
-        return out
-
-    bits = [int.from_bytes(r[3]) for r in rows]
-    want = lambda size: {(a[1], a[2], b[2]) for i, a in enumerate(rows) for j, b in enumerate(rows) if i // size == j // size and a[2] < b[2] and 255 - ((bits[i] ^ bits[j]) >> 1).bit_count() >= neardup.AGREE}
-    assert run(90) == want(90) and run(20) == want(20)
-
-
 def test_pairs_at_the_limit_are_all_found(spark):
     rng = random.Random(11)
     rows = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from .chargrid import LETTER, NUMBER, SPACE, classes, join, lowered, mix, run_starts, span_hashes
@@ -11,7 +13,7 @@ CONTRAST_BITS, WORD_BITS = 17, 13
 WORD_DIM, HIDDEN = 16, 24
 BULLETS = [ord(c) for c in "✓•*-–—#·▪►"]
 MARKS = [ord(c) for c in "·›>|/»"]
-N_PATH = 26
+N_PATH = 27
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -28,6 +30,17 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return cps, ends, lo, span_hashes(lowered()[cps], lo, hi)
 
 
+#: What lines are counted without: bullets before, a colon or full stop behind, figures.
+EDGES, DIGITS = re.compile(r"^[\s✓•*–—#·▪►>-]+|[\s:.]+$"), re.compile(r"\d+")
+
+
+def line_keys(texts: list[str]) -> np.ndarray:
+    """A hash of each line as lines are counted: in lower case, without EDGES, figures alike."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(DIGITS.sub("0", EDGES.sub("", x.lower()))) for x in texts), np.uint64, len(texts))
+
+
 class Lines:
     """The lines of a few pages: which are not blank, their words, and what is seen of each line's form (its path)."""
 
@@ -71,6 +84,8 @@ class Lines:
         previous, following = np.append(False, full[:-1]), np.append(full[1:], False)
         order = np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         size = np.repeat(self.sizes, self.sizes)
+        longest = np.zeros(len(self.sizes))
+        np.maximum.at(longest, self.page, length)
         titled = [(t or "").strip().lower() for t in titles]
         same = np.zeros((n, 3), np.float32)
         seen: set[tuple[int, str]] = set()
@@ -88,7 +103,8 @@ class Lines:
             np.minimum(self._sum(np.isin(cps, MARKS), ends), 6) / 3, self._sum(kind == NUMBER, ends) / length, self._sum(upper, ends) / length,
             np.minimum(words, 30) / 15, words == 1, words == 0, self._sum(np.isin(cps, [ord(c) for c in "$€£₹"]), ends) > 0, self._sum(cps == 169, ends) > 0,
             same[:, 0], same[:, 1], same[:, 2], ~previous[keep], ~following[keep], order / np.maximum(size, 1), np.minimum(order, 20) / 20,
-            np.minimum(size - 1 - order, 20) / 20, total / np.maximum(count, 1), most / 3, np.minimum(count, 10) / 10, (length > 55) & (length < 82), self._sum(kind == SPACE, ends) / length,
+            np.minimum(size - 1 - order, 20) / 20, total / np.maximum(count, 1), most / 3, np.minimum(count, 10) / 10, self._sum(kind == SPACE, ends) / length,
+            length / np.maximum(longest, 1)[self.page], (kind[ends[:-1]] == LETTER) & (lowered()[start] == start),
         ]
         for k, c in enumerate(columns):
             out[:, k] = c
@@ -102,17 +118,29 @@ def contrast_table(scraped: np.ndarray, other: np.ndarray, n_scraped: int, n_oth
     return np.where(scraped + other >= least, ratio, np.nan).astype(np.float32)
 
 
-def weak_labels(lines: Lines) -> np.ndarray:
+def weak_labels(lines: Lines, own: np.ndarray, other: np.ndarray, titles: np.ndarray, n_pages: int, n_other: int) -> np.ndarray:
     """1 for lines that surely belong to the posting, 0 for lines that surely don't, -1 for the rest.
 
-    Records that aren't scraped hold postings without a page around them, so words far more frequent in scraped records
-    belong to the page. Lines between are labelled if the sure lines on both sides agree."""
+    own and other say how many of the n_pages pages, and of the n_other records that hold a posting alone, have a line,
+    titles how many titles these pages have. A line of the page around a posting stands on pages of many titles and hardly
+    in a record of the other kind; a posting's stands
+    in as large a share of both, or, being long, on hardly any other page. Without records of the other kind, what many
+    pages repeat is the page's. Lines between are labelled if the sure lines on both sides agree."""
     f = lines.path
-    mean, most, count = f[:, 21], f[:, 22] * 3, f[:, 23] * 10
+    words = np.diff(lines.first_word)
     out = np.full(len(f), -1, np.int8)
-    out[(count >= 1) & (mean < 0.3) & (most < 0.75)] = 1
-    out[(count >= 4) & (mean < 0.25) & (most < 1.5)] = 1
-    out[(most > 1.6) & (mean > np.where(count <= 4, 0.45, 0.7)) & (out < 0)] = 0
+    if n_other:
+        expected = own * (n_other / max(1, n_pages))
+        out[(other >= np.maximum(1, 0.3 * expected)) & (words >= 4)] = 1
+        out[(titles >= 10) & (expected >= 5) & (other <= 0.1 * expected)] = 0
+    else:
+        out[(titles >= 10) & (own >= 0.01 * n_pages)] = 0
+    out[(out == 0) & (f[:, 26] > 0)] = -1  # a line that begins small goes on from the one before
+    out[(own <= 2) & (words >= 8) & (out < 0)] = 1
+    # What lines alone don't tell their words may: those far more frequent in pages than in other records.
+    mean, most, count = f[:, 21], f[:, 22] * 3, f[:, 23] * 10
+    out[(out < 0) & (most > 1.6) & (mean > np.where(count <= 4, 0.45, 0.7))] = 0
+    out[(out < 0) & ((count >= 4) & (mean < 0.25) & (most < 1.5) | (count >= 1) & (mean < 0.3) & (most < 0.75))] = 1
     out[(f[:, 12] > 0) | (f[:, 5] >= 0.9)] = 0
     titles = np.bincount(lines.page[f[:, 13] > 0], minlength=int(lines.page.max()) + 1 if len(f) else 0)
     own = f[:, 13] > 0
@@ -120,7 +148,7 @@ def weak_labels(lines: Lines) -> np.ndarray:
     out[(f[:, 14] > 0) & (f[:, 5] > 0)] = 0
     # Headings that navigation uses, too: a run of them after a line of the page, and before another or the posting's own
     # heading.
-    short = ((count <= 3) & (f[:, 2] == 0) & (f[:, 4] == 0) & ~own & (out != 0)).tolist()
+    short = ((words <= 3) & (f[:, 2] == 0) & (f[:, 4] == 0) & ~own & (out != 0)).tolist()
     page, i = lines.page.tolist(), 0
     while i < len(f):
         j = i + 1

@@ -45,6 +45,27 @@ def test_held_out_accuracy(spark):
     assert both / sum(len(truth(c, t)) for _, t, c, *_ in pages) > 0.95
 
 
+def test_pages_alone_are_labelled_by_what_they_repeat(spark):
+    rng = np.random.default_rng(6)
+    nouns = ["".join(rng.choice(list("bdfgklmnprstvz"), 6)) for _ in range(300)]
+    data = []
+    for k in range(150):
+        body = ["You keep the " + " ".join(rng.choice(nouns, 7)) + " healthy." for _ in range(rng.integers(4, 8))]
+        head, foot = ([x[i] for i in rng.permutation(len(x))[:3]] for x in ([*HEAD[:4], "Search all openings"], FOOT))
+        data.append((None if k % 5 == 0 else k, f"Post {k}", "\n".join([*head, *body, *foot]), "scraper"))
+    df = spark.createDataFrame(data, "row_id long, title string, content string, sourcetype string")
+    got = main_lines(df, F.col("sourcetype") == "scraper").collect()
+    own = sum(t.count("You keep") for _, _, t, _ in data)
+    assert sum(4 <= r["line_no"] for r in got) >= 0.95 * own and len(got) <= 1.05 * own
+
+
+def test_a_kept_model_labels_alike(spark, tmp_path):
+    df = spark.createDataFrame(rows(), "row_id long, title string, content string, sourcetype string, line_no string")
+    path = str(tmp_path / "labeller")
+    first = sorted(map(tuple, main_lines(df, F.col("sourcetype") == "scraper", model=path).collect()))
+    assert first == sorted(map(tuple, main_lines(df, F.col("sourcetype") == "scraper", model=path).collect())) and first
+
+
 def test_edges(spark):
     schema = "row_id long, title string, content string, sourcetype string"
     df = spark.createDataFrame([(1, None, "a\n\n b ", "scraper"), (1, None, "a\n\n b ", "scraper"), (2, None, None, "scraper"), (3, "t", " \n", "scraper"), (4, "t", "x", None)], schema)
@@ -80,16 +101,22 @@ def test_gradients():
 def test_weak_labels_are_met_on_pages_not_trained_on(spark):
     import pandas as pd
 
-    from tessera.llm.pages import contrast
+    from tessera.llm.pages import contrast, repeats
 
     df = spark.read.parquet("/root/testdata/sf0.01/raw_jobs.parquet")
-    table, n = contrast(df, "content", F.col("sourcetype") == "scraper")
+    table, n, n_other = contrast(df, "content", F.col("sourcetype") == "scraper")
     pages = df.where("sourcetype = 'scraper' and trim(content) <> ''").select("title", "content").orderBy("row_id").toPandas()
     assert n == len(pages)
     half = len(pages) // 2
     make = lambda p: labeller.Lines(p.content.tolist(), p.title.where(pd.notna(p.title), None).tolist(), table)
     first, second = make(pages[:half]), make(pages[half:])
-    model = labeller.train(first, labeller.weak_labels(first))
-    want = labeller.weak_labels(second)
+
+    def labels(lines):
+        keys, at = np.unique(labeller.line_keys(lines.text), return_inverse=True)
+        own, other, titles = repeats(df, "title", "content", F.col("sourcetype") == "scraper", keys)
+        return labeller.weak_labels(lines, own[at], other[at], titles[at], n, n_other)
+
+    model = labeller.train(first, labels(first))
+    want = labels(second)
     sure = want >= 0
     assert ((labeller.scores(model, second) >= 0.5) == want)[sure].mean() > 0.98

@@ -11,13 +11,45 @@ REMOTE = r"(?<![a-z0-9_])(?:fully\s+remote|100%\s+remote|remote[-\s]?first|work\
 NO_REMOTE = r"(?<![a-z0-9_])(?:no\s+remote|remote\s+not)(?![a-z0-9_])"
 ON_SITE = r"(?<![a-z0-9_])(?:on[-\s]?site|in[-\s]?office|in[-\s]?person|no\s+remote)(?![a-z0-9_])"
 #: Levels and their words, the first that matches counts (fixed values).
-LEVELS = (("lead", "lead|principal|staff|head|director|vp|architect"), ("senior", r"senior|sr\.?|experienced"), ("mid", "mid|mid-level|intermediate|sde\\s?2"), ("junior", "junior|jr\\.?|entry|graduate|intern|trainee"))
+LEVELS = (
+    ("lead", r"vp|vice president|director|c[tse]o|head of engineering|chief"), ("senior", r"staff|principal|lead|senior|sr|expert|architect"),
+    ("mid", r"mid[- ]?level|intermediate|associate|sde[-\s]?2|ii|level\s*2"), ("junior", r"junior|jr|entry[- ]?level|graduate|trainee|intern|sde[-\s]?1|i|fresh(?:er)?|0[- ]?(?:to|-)?\s*[12]\s*year"),
+)
+#: Years of experience: a range, else a single figure (fixed values).
+YEAR_RANGE, YEAR_SINGLE = r"(?i)([1-9]\d?)\s*(?:[-–to]+)\s*([1-9]\d?)\s+years?", r"(?i)(?:at\s+least\s+|minimum\s+|min\.?\s+)?([1-9]\d?)\+?\s+years?"
+#: Techniques and the words for them, in the order in which they are given (fixed values).
+TECHNIQUES = {
+    "JavaScript": "javascript|js|es6|ecmascript", "TypeScript": "typescript|ts", "Python": "python", "Go": "golang|go", "Rust": "rust", "Java": "java", "Ruby": "ruby", "PHP": "php",
+    "React": r"react\.?js|reactjs|react", "Next.js": r"next\.?js", "Vue": r"vue\.?js", "Angular": "angular", "Node.js": r"node\.?js", "NestJS": r"nest\.?js", "Express": r"express\.?js", "GraphQL": "graphql", "tRPC": "trpc",
+    "PostgreSQL": "postgresql|postgres|psql", "MongoDB": "mongodb|mongoose", "MySQL": "mysql", "Redis": "redis", "Prisma": "prisma", "AWS": "aws|amazon web services", "GCP": "gcp|google cloud", "Azure": "azure",
+    "Docker": "docker", "Kubernetes": "kubernetes|k8s", "Terraform": "terraform", "Jest": "jest", "Cypress": "cypress", "GitHub Actions": "github actions", "TailwindCSS": "tailwind|tailwindcss",
+}
+#: Sponsorship offered, and refused (fixed values).
+SPONSORS = r"visa sponsorship|h[- ]?1b|work authorization provided|we sponsor|sponsoring visas|sponsorship available"
+NO_SPONSOR = r"no visa|cannot sponsor|not able to sponsor|unable to sponsor|must be authorized|us citizen only|citizen or permanent resident"
+#: Industries, the first that matches counts (fixed values).
+INDUSTRIES = {
+    "ai_ml": "machine learning|deep learning|llm|large language model|nlp|computer vision|mlops|ai engineer|artificial intelligence", "web3": "blockchain|web3|defi|nft|smart contract|solidity|ethereum|crypto",
+    "fintech": "fintech|payments|banking|lending|insurtech|trading|financial technology", "healthtech": "healthtech|health tech|medtech|telemedicine|ehr|fhir|clinical|patient data",
+    "edtech": "edtech|ed-tech|e-learning|learning management|lms|online education", "devtools": "developer tools|devtools|sdk|api platform|cli|open.?source|oss",
+    "ecommerce": "ecommerce|e-commerce|shopify|marketplace|retail tech|checkout", "saas": "saas|b2b software|enterprise software|platform",
+    "infra": "infrastructure|platform engineering|cloud native|devops|site reliability|sre", "security": "cybersecurity|infosec|appsec|zero trust|soc analyst|penetration testing",
+}
+#: Wishes that mean a junior or a middle level (fixed values).
+WANTS_JUNIOR, WANTS_MID = r"junior|entry|fresher|intern|sde\s*1|0[-–\s]?[12]\s*y(?:ea)?r", r"mid|associate|intermediate|sde\s*2|[23][-–\s]?[45]\s*y(?:ea)?r"
+#: A figure of pay, and one in lakhs (fixed values).
+LAKHS = r"(?i)([\d.]+)\s*[-–to]*\s*([\d.]+)?\s*(?:lpa|lakhs?\s+per\s+annum)"
+MONEY = r"(?i)([$€£]?)\s*([\d,]+(?:\.\d+)?)(k?)(?:\s*[-–to]+\s*[$€£]?\s*([\d,]+(?:\.\d+)?)(k?))?\s*(usd|eur|gbp|per\s+year|/yr|p\.?a\.?|annually|/hr|per\s+hour|/mo|/month|per\s+month|/wk|/week|per\s+week)?"
+
+
+def alone(text: Column, pattern: str) -> Column:
+    """Whether the pattern stands in a lower-cased text with no letter, digit or underscore of ASCII beside it."""
+    return text.rlike(rf"(?<![a-z0-9_])(?:{pattern})(?![a-z0-9_])")
 
 
 def experience_years(text: Column) -> Column:
     """struct(min, max): years from a range or a single figure; null if there is none, max null for a single figure."""
-    pair = r"(?i)([1-9]\d?)\s*(?:[-–to]+)\s*([1-9]\d?)\s+years?"
-    single = r"(?i)(?:at\s+least\s+|minimum\s+|min\.?\s+)?([1-9]\d?)\+?\s+years?"
+    pair, single = YEAR_RANGE, YEAR_SINGLE
     low, high, one = F.regexp_extract(text, pair, 1), F.regexp_extract(text, pair, 2), F.regexp_extract(text, single, 1)
     number = lambda x: F.when(x != "", x).try_cast("int")
     return F.when(low != "", F.struct(number(low).alias("min"), number(high).alias("max"))).when(one != "", F.struct(number(one).alias("min"), F.lit(None).cast("int").alias("max")))
@@ -37,10 +69,72 @@ def seniority(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     out = F.lit("unknown")
     for name, pattern in reversed(LEVELS):
-        out = F.when(t.rlike(rf"(?<![a-z0-9_])(?:{pattern})(?![a-z0-9_])"), name).otherwise(out)
+        out = F.when(alone(t, pattern), name).otherwise(out)
     return out
 
 
+def seniority_fit(level: Column, wanted: list[str]) -> Column:
+    """match, mismatch or neutral: a posting's level against the wished ones, which are read when the plan is made."""
+    import re
+
+    junior, mid = (any(re.search(p, w, re.I) for w in wanted) for p in (WANTS_JUNIOR, WANTS_MID))
+    of = {"lead": "mismatch", "junior": "match" if junior else "neutral" if mid else "mismatch", "mid": "match" if junior or mid else "neutral", "senior": "mismatch" if junior or mid else "neutral"}
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[level], F.lit("neutral"))
+
+
+def experience_points(years: Column, wanted: list[str], least: int = 3, lost: int = -6, won: int = 4) -> Column:
+    """Points for experience_years: `lost` if the post asks for more than a year beyond the wished most, `won` if all of its
+    range is within it, else 0. The wished most is `least` or a larger number of years among the wishes."""
+    import re
+
+    most = max([least, *(int(m[1]) for w in wanted if (m := re.search(r"(\d+)\+?\s*(?:yr|year)", w, re.I)))])
+    return F.when(years.isNull(), 0).when(years["min"] > most + 1, lost).when(F.coalesce(years["max"], years["min"]) <= most, won).otherwise(0)
+
+
+def techniques(text: Column) -> Column:
+    """The names of TECHNIQUES that a text speaks of, in their order."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_compact(F.array(*[F.when(alone(t, p), name) for name, p in TECHNIQUES.items()]))
+
+
+def offers_sponsorship(text: Column) -> Column:
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return alone(t, SPONSORS) & ~alone(t, NO_SPONSOR)
+
+
+def industry(text: Column) -> Column:
+    t = F.lower(F.coalesce(text, F.lit("")))
+    out = F.lit("other")
+    for name, pattern in reversed(INDUSTRIES.items()):
+        out = F.when(alone(t, pattern), name).otherwise(out)
+    return out
+
+
+def salary_usd(text: Column) -> Column:
+    """struct(low, high, currency): yearly pay in USD by the first figure of a text; null without one, or where it makes no
+    yearly pay of 10,000 to 1,500,000. A period that isn't stated is guessed from the amount; lakhs count 1,200."""
+    n = lambda p, i: F.regexp_replace(F.regexp_extract(text, p, i), ",", "").try_cast("double")
+    lakh_low, lakh_high = n(LAKHS, 1), n(LAKHS, 2)
+    round_ = lambda x: F.floor(x + 0.5).cast("long")
+    by_lakhs = F.struct(round_(lakh_low * 1200).alias("low"), round_(F.coalesce(lakh_high, lakh_low) * 1200).alias("high"), F.lit("INR").alias("currency"))
+    sign, k1, k2, period = (F.lower(F.regexp_extract(text, MONEY, i)) for i in (1, 3, 5, 6))
+    low = n(MONEY, 2) * F.when(k1 != "", 1000).otherwise(1)
+    high = F.coalesce(n(MONEY, 4) * F.when(k2 != "", 1000).otherwise(1), low)
+    times = F.when(period.contains("hr") | period.contains("hour"), 2000).when(period.contains("mo"), 12).when(period.contains("wk") | period.contains("week"), 50)
+    times = times.when((high > 0) & (high < 300), 2000).when((high >= 300) & (high < 4000), 50).when((high >= 4000) & (high <= 15000), 12).otherwise(1)
+    currency = F.when(sign != "", sign).otherwise("$")
+    rate = F.when(currency == "€", 1.08).when(currency == "£", 1.27).otherwise(1.0)
+    money = F.struct(round_(low * times * rate).alias("low"), round_(high * times * rate).alias("high"), currency.alias("currency"))
+    return F.when(text.rlike(LAKHS), by_lakhs).when((high * times >= 10000) & (low * times <= 1500000), money)
+
+
+def feature_tokens(skills: Column, arrangement: Column, level: Column, paid: Column) -> Column:
+    """What is learnt from: skill:, remote: and level: with their values, and salary:present."""
+    tag = lambda name, x: F.when(x.isNotNull() & (x != "unknown"), F.concat(F.lit(f"{name}:"), x))
+    more = F.array_compact(F.array(tag("remote", arrangement), tag("level", level), F.when(paid, "salary:present")))
+    return F.concat(F.transform(F.coalesce(skills, F.array().cast("array<string>")), lambda s: F.concat(F.lit("skill:"), F.lower(s))), more)
+
+
 def keyword_pattern(keyword: str) -> str:
     """A keyword as a whole: its neighbours are no letters or digits, nor signs such as it begins or ends with itself."""
     import re

@@ -51,17 +51,22 @@ def decode_entities(x: Column) -> Column:
     return x
 
 
+#: What normal_company and normal_title take away (fixed values).
+LEGAL_END = r"(?i)\s*(?<![A-Za-z0-9_])(inc\.?|ltd\.?|llc\.?|corp\.?|gmbh|s\.?a\.?|b\.?v\.?)\s*[,.|]*\s*$"
+PICTURES, ROUND_NOTE, SQUARE_NOTE = r"[\x{1F300}-\x{1FFFF}]", r"(?i)\s*\((?:m/w/d|remote|all\s+levels?|anywhere|f/m/d|all\s+genders?)\)", r"(?i)\s*\[(?:remote|contract|full[- ]?time|part[- ]?time)\]"
+
+
 def normal_company(x: Column) -> Column:
     """Without the legal form and the punctuation at the end."""
-    s = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?i)\s*(?<![A-Za-z0-9_])(inc\.?|ltd\.?|llc\.?|corp\.?|gmbh|s\.?a\.?|b\.?v\.?)\s*[,.|]*\s*$", "")
+    s = F.regexp_replace(F.coalesce(x, F.lit("")), LEGAL_END, "")
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"[,.|]+$", ""), WS + "{2,}", " "))
 
 
 def normal_title(x: Column) -> Column:
     """Without pictures, and without notes in brackets on gender, place or contract."""
-    s = F.regexp_replace(F.coalesce(x, F.lit("")), r"[\x{1F300}-\x{1FFFF}]", "")
-    s = F.regexp_replace(s, r"(?i)\s*\((?:m/w/d|remote|all\s+levels?|anywhere|f/m/d|all\s+genders?)\)", "")
-    s = F.regexp_replace(s, r"(?i)\s*\[(?:remote|contract|full[- ]?time|part[- ]?time)\]", "")
+    s = F.coalesce(x, F.lit(""))
+    for pattern in (PICTURES, ROUND_NOTE, SQUARE_NOTE):
+        s = F.regexp_replace(s, pattern, "")
     return F.trim(F.regexp_replace(s, WS + "{2,}", " "))
 
 
@@ -106,6 +111,31 @@ def fnv1a32(x: Column) -> Column:
     return F.aggregate(utf16_units(x), F.lit(2166136261).cast("bigint"), step)
 
 
+@F.pandas_udf(T.LongType())
+def fnv1a32_of_many(texts: pd.Series) -> pd.Series:
+    """fnv1a32 of long texts: those of a batch advance by one unit in each numpy step; null stays null."""
+    raw = [np.frombuffer(("" if t is None else t).encode("utf-16-le", "surrogatepass"), np.uint16) for t in texts]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    order = np.argsort(-size, kind="stable")
+    units = np.zeros((int(size.max(initial=0)), len(raw)), np.uint32)
+    for row, i in enumerate(order):
+        units[: size[i], row] = raw[i]
+    h, falling = np.full(len(raw), 2166136261, np.uint32), -size[order]
+    for k in range(len(units)):
+        n = int(np.searchsorted(falling, -k, "left"))
+        h[:n] = (h[:n] ^ units[k, :n]) * np.uint32(16777619)
+    out = np.empty(len(raw), np.int64)
+    out[order] = h
+    return pd.Series(out).where(texts.notna().to_numpy(), None)
+
+
+def word_hash(x: Column) -> Column:
+    """A 32-bit hash of the first 50 words of more than two characters, each of the first ten taken three times."""
+    kept = F.slice(F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9_]+"), lambda w: F.length(w) > 2), 1, 50)
+    joined = F.array_join(F.transform(kept, lambda w, i: F.repeat(w, F.when(i < 10, 3).otherwise(1).cast("int"))), "")
+    return F.when(F.coalesce(x, F.lit("")) == "", F.lit(0).cast("bigint")).otherwise(fnv1a32_of_many(joined))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -148,29 +178,27 @@ def host_label(url: Column) -> Column:
 
 
 def chunks(x: Column, most: int = 200, overlap: int = 40) -> Column:
-    """Pieces of at most `most` characters that end between words where they can and overlap by `overlap`; like the
-    producers, a last overlap forms a piece of its own."""
+    """Pieces of at most `most` characters that end between words where they can, each begun `overlap` characters before
+    the one before it ended, so that the last overlap of a longer text is a piece of its own; white space collapsed."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: _pieces(s, most, overlap))
+        return texts.map(lambda s: [p for a, b in windows(s, most, overlap) if (p := s[a:b].strip(" "))])
 
     return cut(collapse(F.coalesce(x, F.lit(""))))
 
 
-def _pieces(s: str, most: int, overlap: int) -> list[str]:
-    n, i, out = len(s), 0, []
-    if n <= most:
-        return [s] if s else []
-    while i < n:
-        end = n
-        if i + most < n:
-            space = s.rfind(" ", i, i + most + 1)
-            end = space if space > i + overlap else i + most
-        if piece := s[i:end].strip(" "):
-            out.append(piece)
-        i = end if end - overlap <= i else end - overlap
-    return out
+def windows(s: str, most: int, overlap: int):
+    """Yields (start, end) of the pieces of chunks()."""
+    if len(s) <= most:
+        yield 0, len(s)
+        return
+    start = 0
+    while start < len(s):
+        blank = s.rfind(" ", start + overlap + 1, start + most + 1)
+        end = min(len(s), start + most) if start + most >= len(s) or blank < 0 else blank
+        yield start, end
+        start = end - overlap if end - overlap > start else end
 
 
 def escape_signs(x: Column) -> Column:

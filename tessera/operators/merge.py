@@ -43,8 +43,9 @@ def versions(changes: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def evict(target: DataFrame, most: int, candidates: str, order: list) -> DataFrame:
-    """target without so many candidates, worst first by `order`, as it has rows above `most`."""
-    ranked = target.where(candidates).withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
-    over = target.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("_over"))
-    gone = ranked.join(F.broadcast(over), F.col("_rank") <= F.col("_over")).drop("_rank", "_over")  # one row
-    return target.join(gone.select(target.columns[0]), target.columns[0], "left_anti")
+    """target without so many candidates, worst first by `order`, as it has rows above `most`. The order ends with a key, so
+    that ties are none. The number is small beside the table: it is counted first, and that many are found by an ordered
+    limit, which every task applies to its own rows before they meet."""
+    over = max(0, target.count() - most)
+    gone = target.where(candidates).orderBy(*order).limit(over).select(target.columns[0])
+    return target.join(gone, target.columns[0], "left_anti")

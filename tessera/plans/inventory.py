@@ -10,6 +10,7 @@ from ..operators import merge, series
 from ..operators.dedup import first_wins
 from ..sources import feeds
 from .registry import Registry
+from .texts import _units
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -29,9 +30,9 @@ def _(t):
     return t("source_registry").select("url", "state").join(good, "url", "left").select("url", state.alias("state"))
 
 
-@R.add("snk12_shortened_reports", "select doc_id, case when length(text) > 290 then substr(text, 1, 270) || '…' else text end report from documents where doc_kind = 'daily_report'")
+@R.add("snk12_shortened_reports", "select doc_id, case when length(text) > 290 then substr(text, 1, 270) || '…' else text end report from documents")
 def _(t):
-    return t("documents").where("doc_kind = 'daily_report'").select("doc_id", F.when(F.length("text") > 290, F.concat(F.substring("text", 1, 270), F.lit("…"))).otherwise(F.col("text")).alias("report"))
+    return t("documents").select("doc_id", F.when(F.length("text") > 290, F.concat(F.substring("text", 1, 270), F.lit("…"))).otherwise(F.col("text")).alias("report"))
 
 
 @R.add("snk14_parked", "select url, least(n, 3) attempts, n > 3 given_up from (select url, count(*) n from feed_stats where not success and url is not null group by url)")
@@ -48,10 +49,10 @@ def _(t):
     return last.select("url", F.when(F.col("run") >= 5, "skip").when(F.col("run") >= 3, "degraded").otherwise("healthy").alias("health"))
 
 
-@R.add("flt07_skipped_hosts", "select url from source_registry where domain is null or (length(split_part(domain, '.', 1)) >= 4 and split_part(domain, '.', 1) not in ('jobs', 'mail', 'blog', 'brakelle'))")
+@R.add("flt07_skipped_hosts", "select url from source_registry where domain is null or (length(split_part(domain, '.', 1)) >= 4 and split_part(domain, '.', 1) not in ('jobs', 'mail', 'blog', 'www'))")
 def _(t):
     label = F.split_part("domain", F.lit("."), F.lit(1))
-    return t("source_registry").where(F.col("domain").isNull() | (F.length(label) >= 4) & ~label.isin("jobs", "mail", "blog", "brakelle")).select("url")
+    return t("source_registry").where(F.col("domain").isNull() | (F.length(label) >= 4) & ~label.isin("jobs", "mail", "blog", "www")).select("url")
 
 
 @R.add("flt10_payload_kinds", "select case when regexp_matches(text, '(?i)<(rss|feed)[\\s>]') then 'feed' when regexp_matches(text, '^\\s*[\\[{]\\s*[\\[{\"]') then 'json' else 'other' end kind, count(*) n from documents where text is not null group by 1")
@@ -62,9 +63,13 @@ def _(t):
 
 @R.add("jn10_beyond_cursor", "with r as (select sourceurl, id, row_id, row_number() over (partition by sourceurl order by row_id desc) n from raw_jobs where id is not null and sourceurl is not null), seen as (select distinct sourceurl, id from r where n > 20) select row_id from r where n <= 20 and not exists (select 1 from seen s where s.sourceurl = r.sourceurl and s.id = r.id)")
 def _(t):
-    w = Window.partitionBy("sourceurl").orderBy(F.desc("row_id"))
-    r = t("raw_jobs").where("id is not null and sourceurl is not null").select("sourceurl", "id", "row_id", F.row_number().over(w).alias("n"))
-    return r.where("n <= 20").join(r.where("n > 20").select("sourceurl", "id").distinct(), ["sourceurl", "id"], "left_anti").select("row_id")
+    r = t("raw_jobs").where("id is not null and sourceurl is not null").select("sourceurl", "id", "row_id")
+    # The rank is limited in every task before rows of a source meet; what is older than the last of them is joined by keys.
+    new = series.top_per_key(r, ["sourceurl"], 20, [F.desc("row_id")])
+    cursor = new.groupBy("sourceurl").agg(F.min("row_id").alias("cursor"))
+    ids = new.select("sourceurl", "id").distinct()
+    seen = r.join(ids, ["sourceurl", "id"], "left_semi").join(cursor, "sourceurl").where("row_id < cursor").select("sourceurl", "id").distinct()
+    return new.join(seen, ["sourceurl", "id"], "left_anti").select("row_id")
 
 
 @R.add("jn12_unknown_sources", "select distinct sourceurl url from raw_jobs where sourceurl is not null and sourceurl not in (select url from source_registry where enabled)")
@@ -124,22 +129,15 @@ def _(t):
     return t("source_registry").where("domain is not null").select("url", text.name_of_slug(F.split_part("domain", F.lit("."), F.lit(1))).alias("name"))
 
 
-@R.add("sx24_named_domains", "select doc_id, unnest(list_slice(list_distinct(d), 1, 1000)) as domain from (select doc_id, regexp_extract_all(lower(text), '(?:https?://(?:www\\.)?)?([a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.example)\\b', 1) d from documents where doc_kind = 'alert')")
-def _(t):
-    return t("documents").where("doc_kind = 'alert'").select("doc_id", F.explode(text.named_domains(F.col("text"), 1000)).alias("domain")).where("domain like '%.example'")
-
-
 @R.add("sx24_all_named_domains", "select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '(?:https?://(?:www\\.)?)?([a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.example)\\b', 1))) as domain from documents")
 def _(t):
     return t("documents").select("doc_id", F.explode(text.named_domains(F.col("text"), 2**31 - 1)).alias("domain")).where("domain like '%.example'")
 
 
-@R.add("sx27_link_counts", "select doc_id, len(regexp_extract_all(text, '<link>'))::int links, len(regexp_extract_all(text, '/job/'))::int job_links from documents where doc_kind = 'feed_xml'")
-def _(t):
-    return t("documents").where("doc_kind = 'feed_xml'").select("doc_id", F.regexp_count("text", F.lit("<link>")).alias("links"), F.regexp_count("text", F.lit("/job/")).alias("job_links"))
+_hash31 = "list_reduce(list_prepend(0::bigint, list_transform({0}, lambda u: u::bigint)), lambda h, c: (h * 31 + c) & 4294967295)"
 
 
-@R.add("sx30_hash31")
+@R.add("sx30_hash31", f"select entity_id, lower(to_base(abs(case when h >= 2147483648 then h - 4294967296 else h end), 36)) hash from (select entity_id, {_hash31.format(_units.format('name'))} h from known_names)")
 def _(t):
     return t("known_names").select("entity_id", text.times31(F.col("name")).alias("hash"))
 

@@ -91,25 +91,24 @@ def _(t):
     return first_wins(t("raw_jobs").select("row_id", key.alias("key")), ["key"], [F.col("row_id")]).select("row_id")
 
 
-@R.add("dd01_layered")
+@R.add("dd01_layered", """with recursive x as (select row_number() over (order by row_id) n, row_id, coalesce(nullif(id, ''), '') a, coalesce(nullif(content_hash, ''), '') c from raw_jobs),
+f as (select 0::bigint n, []::varchar[] ids, []::varchar[] hashes, null::bigint row_id, null::varchar dropped_by
+  union all select x.n, case when why is null and a <> '' then list_append(ids, a) else ids end, case when why is null and c <> '' then list_append(hashes, c) else hashes end, x.row_id, why
+  from (select x.*, f.ids, f.hashes, case when a <> '' and list_contains(f.ids, a) then 'identity' when c <> '' and list_contains(f.hashes, c) then 'content' end why from f join x on x.n = f.n + 1) x)
+select row_id, dropped_by from f where n > 0""")
 def _(t):
     out = layered_dedup(t("raw_jobs").select("row_id", F.when(F.col("id") != "", F.col("id")).alias("identity"), F.when(F.col("content_hash") != "", F.col("content_hash")).alias("content")), ["identity", "content"], "row_id")
     return out.select("row_id", "dropped_by")
 
 
-@R.add("dd03_cluster_earliest", "select content_hash, row_id, cluster_size from (select content_hash, row_id, count(*) over (partition by content_hash) cluster_size, row_number() over (partition by content_hash order by fetched_at nulls last, row_id) n from raw_jobs where content_hash is not null) where n = 1 and cluster_size > 1")
-def _(t):
-    w = Window.partitionBy("content_hash")
-    x = t("raw_jobs").where("content_hash is not null").select("content_hash", "row_id", "fetched_at", F.count("*").over(w).alias("cluster_size"), F.row_number().over(w.orderBy(F.col("fetched_at").asc_nulls_last(), "row_id")).alias("n"))
-    return x.where("n = 1 and cluster_size > 1").select("content_hash", "row_id", "cluster_size")
-
-
 @R.add("dd11_seen_before", "select row_id, case when url_seen then 'url' when content_seen then 'content' end reason from (select row_id, url is not null and exists (select 1 from raw_jobs x where x.url = r.url and x.row_id < r.row_id) url_seen, content_hash is not null and exists (select 1 from raw_jobs x where x.content_hash = r.content_hash and x.row_id < r.row_id) content_seen from raw_jobs r) where url_seen or content_seen")
 def _(t):
     jobs = t("raw_jobs").select("row_id", "url", "content_hash")
-    first = lambda k: F.col(k).isNotNull() & (F.min("row_id").over(Window.partitionBy(k)) < F.col("row_id"))
-    x = jobs.select("row_id", first("url").alias("u"), first("content_hash").alias("c")).where("u or c")
-    return x.select("row_id", F.when(F.col("u"), "url").otherwise("content").alias("reason"))
+    # The first row of each key is found by partial aggregation and joined back, which adaptive execution can split; only
+    # keys of several rows are joined.
+    first = lambda k: jobs.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("row_id").alias(f"first_{k}"), F.count("*").alias("n")).where("n > 1").drop("n")
+    x = jobs.join(first("url"), "url", "left").join(first("content_hash"), "content_hash", "left").where("first_url < row_id or first_content_hash < row_id")
+    return x.select("row_id", F.when(F.col("first_url") < F.col("row_id"), "url").otherwise("content").alias("reason"))
 
 
 # -- aggregates --------------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators.match import match_terms
 from ..operators.score import Rules, score
 from .registry import Registry
-from .texts import clean_sql
+from .texts import _firm, clean_sql
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -94,12 +94,13 @@ def _(t):
     return t("raw_jobs").select("row_id", text.escape_signs(F.col("title")).alias("title"))
 
 
-@R.add("sx19_slugs", "select entity_id, unnest(list_filter(list_distinct([regexp_replace(n, '[^a-z0-9]+', '', 'g'), h, split_part(h, '-', 1)]), lambda s: s <> '')) slug from (select *, regexp_replace(regexp_replace(n, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') h from (select entity_id, lower(name) n from known_names where kind = 'person'))")
+@R.add("sx19_slugs", f"select entity_id, unnest(list_filter(list_distinct([regexp_replace(n, '[^a-z0-9]+', '', 'g'), h, split_part(h, '-', 1)]), lambda s: s <> '')) slug from (select *, regexp_replace(regexp_replace(n, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') h from (select entity_id, lower({_firm.format('name')}) n from known_names))")
 def _(t):
-    return t("known_names").where("kind = 'person'").select("entity_id", F.explode(text.slug_variants(F.col("name"))).alias("slug"))
+    return t("known_names").select("entity_id", F.explode(text.slug_variants(F.col("name"))).alias("slug"))
 
 
-@R.add("sx20_message_parts")
+@R.add("sx20_message_parts", """select doc_id, unnest(range(0, len(parts)))::int as part_no, unnest(parts) part from (select doc_id, list_reduce(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: [x]),
+lambda acc, x: case when length(acc[-1]) + 1 + length(x[1]) <= 120 then list_append(list_slice(acc, 1, len(acc) - 1), acc[-1] || chr(10) || x[1]) else list_append(acc, x[1]) end) parts from documents)""")
 def _(t):
     return t("documents").select("doc_id", F.posexplode(text.message_parts(F.col("text"), 120)).alias("part_no", "part"))
 

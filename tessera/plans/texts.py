@@ -64,13 +64,32 @@ def _(t):
     return t("known_names").select("name", text.fnv1a32(F.col("name")).alias("hash"))
 
 
-@R.add("dd08_hamming", "with h as (select name, cast('0x' || substr(md5(name), 1, 8) as bigint) h, substr(md5(name), 1, 2) k from known_names where kind = 'org') select a.name a, b.name b, bit_count(xor(a.h, b.h))::int d from h a join h b on a.k = b.k and a.name < b.name where bit_count(xor(a.h, b.h)) <= 5")
+_word_hash = "case when {0} = '' then 0 when len({1}) = 0 then 2166136261 else list_reduce(list_prepend(2166136261::ubigint, list_transform(string_split(array_to_string(list_transform({1}, lambda w, i: repeat(w, case when i <= 10 then 3 else 1 end)), ''), ''), lambda c: ord(c)::ubigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)::bigint end"
+_kept = "list_slice(list_filter(string_split_regex(lower({0}), '[^a-z0-9_]+'), lambda w: length(w) > 2), 1, 50)"
+_hashed = f"select row_id, fetched_at, {_word_hash.format('s', 'ws')} h from (select *, {_kept.format('s')} ws from (select row_id, fetched_at, concat_ws(' ', coalesce(title, ''), coalesce(company, ''), coalesce(contentsnippet, '')) s from raw_jobs))"
+
+
+def _word_hashed(t):
+    both = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "company", "contentsnippet")])
+    return t("raw_jobs").select("row_id", "fetched_at", text.word_hash(both).alias("h"))
+
+
+@R.add("dd07_word_hash", f"select row_id, h from ({_hashed})")
+def _(t):
+    return _word_hashed(t).select("row_id", "h")
+
+
+@R.add("dd03_cluster_earliest", f"select h, row_id, cluster_size from (select h, row_id, count(*) over (partition by h) cluster_size, row_number() over (partition by h order by fetched_at nulls last, row_id) n from ({_hashed})) where n = 1 and cluster_size > 1")
+def _(t):
+    first = F.min(F.struct(F.col("fetched_at").isNull().alias("no"), "fetched_at", "row_id")).alias("m")  # combined before the shuffle
+    return _word_hashed(t).groupBy("h").agg(first, F.count("*").alias("cluster_size")).where("cluster_size > 1").select("h", "m.row_id", "cluster_size")
+
+
+@R.add("dd08_hamming", "with h as (select entity_id, cast('0x' || substr(md5(name), 1, 8) as bigint) h from known_names where kind = 'org') select a.entity_id as query, b.entity_id as other, bit_count(xor(a.h, b.h))::int d from h a, h b where a.entity_id % 20 = 0 and a.entity_id <> b.entity_id")
 def _(t):
-    n = t("known_names").where("kind = 'org'").select("name", F.md5("name").alias("m"))
-    h = n.select("name", F.conv(F.substring("m", 1, 8), 16, 10).cast("bigint").alias("h"), F.substring("m", 1, 2).alias("k"))
-    a, b = h.withColumnRenamed("name", "a"), h.select(F.col("name").alias("b"), F.col("h").alias("g"), "k")
-    d = text.hamming(F.col("h"), F.col("g"))
-    return a.join(b, "k").where("a < b").select("a", "b", d.alias("d")).where("d <= 5")
+    h = t("known_names").where("kind = 'org'").select("entity_id", F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("bigint").alias("h"))
+    q = h.where("entity_id % 20 = 0").select(F.col("entity_id").alias("query"), F.col("h").alias("g"))  # the stated query set of a table of fixed size
+    return q.join(h, F.col("query") != F.col("entity_id")).select("query", F.col("entity_id").alias("other"), text.hamming(F.col("g"), F.col("h")).alias("d"))
 
 
 @R.add("dd09_near_hashes", "with h as (select name, cast('0x' || substr(md5(name), 1, 8) as bigint) h from known_names where kind = 'org') select a.name a, b.name b, bit_count(xor(a.h, b.h))::int d from h a join h b on a.name < b.name where bit_count(xor(a.h, b.h)) <= 5")
@@ -92,7 +111,14 @@ def _(t):
     return n.withColumnRenamed("entity_id", "x").join(b, "head").where("x < y").select("x", "y", F.round(text.dice(F.col("name"), F.col("other")), 6).alias("dice"))
 
 
-@R.add("sx14_chunks")
+_cut = "case when {i} + 200 >= length(s) then length(s) when regexp_matches({w}, '(?s)^.{{41}}.* ') then {i} + length(regexp_extract({w}, '(?s)^(.{{41}}.*) ', 1)) else {i} + 200 end"
+
+
+@R.add("sx14_chunks", f"""with recursive d as (select row_number() over () k, doc_id, trim({_no_space.format("coalesce(text, '')")}) s from documents),
+r as (select k, 0 n, 0 i, case when length(s) <= 200 then length(s) else {_cut.format(i='0', w='substr(s, 1, 201)')} end e from d where s <> ''
+  union all select k, n + 1, x, {_cut.format(i='x', w='substr(s, x + 1, 201)')} from (select r.k, n, s, case when e - 40 > i then e - 40 else e end x from r join d on r.k = d.k where length(s) > 200) where x < length(s)),
+p as (select r.k, doc_id, n, trim(substr(s, i + 1, e - i), ' ') as chunk from r join d on r.k = d.k)
+select doc_id, (row_number() over (partition by k order by n) - 1)::int as chunk_no, chunk from p where chunk <> ''""")
 def _(t):
     return t("documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("chunk_no", "chunk"))
 
@@ -142,23 +168,30 @@ def _(t):
     return t("raw_jobs").groupBy(extract.work_arrangement(F.col("content")).alias("arrangement")).agg(F.count("*").alias("n"))
 
 
-@R.add("sc05_seniority", "select case when regexp_matches(c, '(^|[^a-z0-9_])(lead|principal|staff|head|director|vp|architect)($|[^a-z0-9_])') then 'lead' when regexp_matches(c, '(^|[^a-z0-9_])(senior|sr\\.?|experienced)($|[^a-z0-9_])') then 'senior' when regexp_matches(c, '(^|[^a-z0-9_])(mid|mid-level|intermediate|sde\\s?2)($|[^a-z0-9_])') then 'mid' when regexp_matches(c, '(^|[^a-z0-9_])(junior|jr\\.?|entry|graduate|intern|trainee)($|[^a-z0-9_])') then 'junior' else 'unknown' end seniority, count(*) n from (select lower(coalesce(title, '')) c from raw_jobs) group by 1")
+def alone_sql(pattern: str, column: str) -> str:
+    """extract.alone() in SQL."""
+    return f"regexp_matches({column}, '(^|[^a-z0-9_])({pattern})($|[^a-z0-9_])')"
+
+
+_level = "case " + " ".join(f"when {alone_sql(p, 'c')} then '{n}'" for n, p in extract.LEVELS) + " else 'unknown' end"
+
+
+@R.add("sc05_seniority", f"select {_level} seniority, count(*) n from (select lower(concat_ws(' ', coalesce(title, ''), coalesce(content, ''))) c from raw_jobs) group by 1")
 def _(t):
-    return t("raw_jobs").groupBy(extract.seniority(F.col("title")).alias("seniority")).agg(F.count("*").alias("n"))
+    both = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    return t("raw_jobs").groupBy(extract.seniority(both).alias("seniority")).agg(F.count("*").alias("n"))
 
 
-@R.add("sc08_tf_idf", "with x as (select row_id, list_filter(string_split(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), ' '), lambda w: w <> '') ws from raw_jobs where title is not null and not regexp_matches(title, '[\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}\\x{FEFF}]')), n as (select count(*) n, count(*) filter (list_contains(ws, 'data')) df from x where len(ws) > 0) select row_id, round(len(list_filter(ws, lambda w: w = 'data')) / len(ws) * (ln((greatest(n, 1) + 1) / (df + 1)) + 1), 6) score from x, n where list_contains(ws, 'data')")
+@R.add("sc08_tf_idf", f"with x as (select row_id, list_filter(string_split(trim({_no_space.format('lower(title)')}), ' '), lambda w: w <> '') ws from raw_jobs where title is not null), n as (select count(*) n, count(*) filter (list_contains(ws, 'data')) df from x where len(ws) > 0) select row_id, round(len(list_filter(ws, lambda w: w = 'data')) / len(ws) * (ln((greatest(n, 1) + 1) / (df + 1)) + 1), 6) score from x, n where list_contains(ws, 'data')")
 def _(t):
-    x = t("raw_jobs").where(F.col("title").isNotNull() & ~F.col("title").rlike(r"[\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}\x{FEFF}]")).select("row_id", text.words(F.lower("title")).alias("ws"))
-    totals = x.where(F.size("ws") > 0).agg(F.count("*").alias("n"), F.count_if(F.array_contains("ws", "data")).alias("df"))
+    x = t("raw_jobs").where("title is not null").select("row_id", text.words(F.lower("title")).alias("ws"))
+    totals = x.where(F.size("ws") > 0).agg(F.count("*").alias("n"), F.count_if(F.array_contains("ws", "data")).alias("df"))  # one row
     return x.where(F.array_contains("ws", "data")).join(F.broadcast(totals)).select("row_id", F.round(extract.tf_idf(F.col("ws"), "data", F.col("n"), F.col("df")), 6).alias("score"))
 
 
-@R.add("sc20_skills", "select label, count(*) n from (select unnest(list_filter(['kafka', 'docker', 'graphql'], lambda k: contains(lower(coalesce(content, '')), k))) label from raw_jobs) group by label")
+@R.add("sc20_skills", "select label, count(*) n from (select unnest(list_filter([" + ", ".join(f"case when {alone_sql(p, 'c')} then '{n}' end" for n, p in extract.TECHNIQUES.items()) + "], lambda x: x is not null)) as label from (select lower(coalesce(content, '')) c from raw_jobs)) group by label")
 def _(t):
-    c = F.lower(F.coalesce("content", F.lit("")))
-    found = F.filter(F.array(*[F.lit(k) for k in ("kafka", "docker", "graphql")]), lambda k: F.contains(c, k))
-    return t("raw_jobs").select(F.explode(found).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return t("raw_jobs").select(F.explode(extract.techniques(F.col("content"))).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @R.add("vc01_cosine_to_first", "with q as (select embedding e from embeddings where vec_id = 0) select vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * q.e[i]::double)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q.e, lambda x: x::double * x::double)))), 6) sim from embeddings, q")

@@ -21,6 +21,8 @@ def build_session(app: str = "tessera", cores: str | None = None, **conf: str) -
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.files.maxPartitionBytes": "32m",
     }
+    if "spark.checkpoint.dir" not in conf:
+        defaults["spark.checkpoint.dir"] = "file://" + tempfile.mkdtemp(prefix=f"{app}-")  # one machine: its own folder is the shared one
     for k, v in (defaults | conf).items():
         b = b.config(k, v)
     spark = b.getOrCreate()

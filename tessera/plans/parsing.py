@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import boards, feeds
@@ -64,68 +63,3 @@ def _(t):
 def _(t):
     n = lambda p: F.when(F.regexp_extract("text", p, 1) != "", F.regexp_extract("text", p, 1)).cast("bigint")
     return t("documents").where("doc_kind = 'daily_report'").where(F.col("text").rlike(r"=== Run report \d+")).select("doc_id", n(r"=== Run report (\d+)").alias("run"), n(r"raw jobs\s+(\d+)").alias("raw_jobs"))
-
-
-#: Small pages and payloads whose rows are stated in the SQL beside them (fixed values).
-PAGES = [
-    (1, "https://firm.example/careers", '<a href="/jobs/1">Data Engineer</a> <a href="/about">About our firm</a> <a href="https://other.example/jobs/2?x=1">QA <b>Lead</b></a> <a href="/jobs/1">Data Engineer again</a> <a href="/jobs/3">QA</a>'),
-    (2, "https://ld.example/", '<script type="application/ld+json">{"@type":"JobPosting","title":"One","hiringOrganization":{"name":"Firm"},"url":"https://ld.example/1","description":"<p>Hi</p>"}</script><script type="application/ld+json">{broken</script>'),
-    (3, "https://ld.example/", '<script type="application/ld+json">{"@graph":[{"@type":"Thing"},{"@type":"JobPosting","name":"Two","jobLocationType":"TELECOMMUTE"}]}</script><script type="application/ld+json">{"@type":"ItemList","itemListElement":[{"item":{"@type":"JobPosting","title":"Three"}}]}</script>'),
-    (4, "https://ld.example/", '<script type="application/ld+json">[{"@type":"JobPosting","title":"Four"}]</script>'),
-    (5, None, None),
-]
-URLS = [
-    ("https://boards.greenhouse.io/acme/jobs/1", "greenhouse", "acme"), ("https://jobs.lever.co/acme", "lever", "acme"), ("https://jobs.ashbyhq.com/acme/x", "ashby", "acme"), ("https://acme.ashbyhq.com/", "ashby", "acme"),
-    ("https://api.ashbyhq.com/v1", None, None), ("https://apply.workable.com/acme/j/1", "workable", "acme"), ("https://apply.workable.com/api/v3", None, None), ("https://jobs.breezy.hr/acme/p", "breezy", "acme"),
-    ("https://acme.breezy.hr/", "breezy", "acme"), ("https://careers.smartrecruiters.com/acme", "smartrecruiters", "acme"), ("https://acme.recruitee.com/o/x", "recruitee", "acme"), ("https://app.rippling.com/jobs/acme", "rippling", "acme"),
-    ("https://acme.pinpointhq.com/", "pinpoint", "acme"), ("https://acme.teamtailor.com/jobs", "teamtailor", "acme"), ("https://app.dover.com/jobs/acme", "dover", "acme"), ("https://acme.freshteam.com/jobs", "freshteam", "acme"),
-    ("https://jobs.jobvite.com/acme/jobs", "jobvite", "acme"), ("https://acme.wd5.myworkdayjobs.com/site", "workday", "acme"), ("https://www.example.com/careers", None, None), ("no address", None, None),
-]
-
-
-def _pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAGES, "page_id long, url string, html string")
-
-
-def src21_job_links(spark: SparkSession, d: str) -> DataFrame:
-    return feeds.job_links(_pages(spark), "html", ["page_id"]).select("page_id", "url", "label")
-
-
-def src20_structured(spark: SparkSession, d: str) -> DataFrame:
-    return feeds.structured_postings(_pages(spark), "html", ["page_id"]).select("page_id", "title", "company", "content", "location")
-
-
-def sx25_boards(spark: SparkSession, d: str) -> DataFrame:
-    b = boards.board_of(F.col("url"))
-    return spark.createDataFrame([(u,) for u, *_ in URLS], "url string").select("url", b["kind"].alias("kind"), b["slug"].alias("slug"))
-
-
-def src29_certificates(spark: SparkSession, d: str) -> DataFrame:
-    log = '[{"common_name":"*.shop.firm.example","name_value":"a.firm.example\\nwww.other.example"},{"common_name":"firm.example","name_value":null}]'
-    return feeds.certificate_domains(spark.createDataFrame([(1, log), (2, None), (3, "[]"), (4, "no json")], "doc_id long, text string"), "text", ["doc_id"])
-
-
-def src27_sitemap(spark: SparkSession, d: str) -> DataFrame:
-    xml = "<urlset><url><loc> https://www.firm.example/a?x=1&amp;y=2 </loc></url><url><loc>https://jobs.other.example/b</loc></url></urlset>"
-    return feeds.sitemap_locations(spark.createDataFrame([(1, xml), (2, "")], "doc_id long, text string"), "text", ["doc_id"])
-
-
-def src28_archive_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = feeds.header_rows(spark.createDataFrame([(1, '[["url","time"],["https://a.example/","2024"],["https://b.example/","2025"]]'), (2, "[]"), (3, None)], "doc_id long, text string"), "text", ["doc_id"])
-    return rows.select("doc_id", "line_no", F.col("fields")[0].alias("url"), F.col("fields")[1].alias("time"))
-
-
-def _values(rows: list[tuple], columns: str) -> str:
-    q = lambda v: "null" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"select * from (values {', '.join('(' + ', '.join(map(q, r)) + ')' for r in rows)}) x({columns})"
-
-
-QUERIES |= {"src21_job_links": src21_job_links, "src20_structured_postings": src20_structured, "sx25_boards": sx25_boards, "src29_certificates": src29_certificates, "src27_sitemap": src27_sitemap, "src28_archive_rows": src28_archive_rows}
-SQL |= {
-    "src21_job_links": _values([(1, "/jobs/1", "Data Engineer"), (1, "https://other.example/jobs/2?x=1", "QA Lead")], "page_id, url, label"),
-    "src20_structured_postings": _values([(2, "One", "Firm", "Hi", None), (3, "Two", None, "", "Remote"), (3, "Three", None, "", None), (4, "Four", None, "", None)], "page_id, title, company, content, location"),
-    "sx25_boards": _values(URLS, "url, kind, slug"),
-    "src29_certificates": _values([(1, "firm.example"), (1, "other.example")], "doc_id, domain"),
-    "src27_sitemap": _values([(1, "https://www.firm.example/a?x=1&y=2", "firm.example"), (1, "https://jobs.other.example/b", "jobs.other.example")], "doc_id, url, domain"),
-    "src28_archive_rows": _values([(1, 0, "https://a.example/", "2024"), (1, 1, "https://b.example/", "2025")], "doc_id, line_no, url, time"),
-}

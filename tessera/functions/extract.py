@@ -113,19 +113,34 @@ def industry(text: Column) -> Column:
 def salary_usd(text: Column) -> Column:
     """struct(low, high, currency): yearly pay in USD by the first figure of a text; null without one, or where it makes no
     yearly pay of 10,000 to 1,500,000. A period that isn't stated is guessed from the amount; lakhs count 1,200."""
-    n = lambda p, i: F.regexp_replace(F.regexp_extract(text, p, i), ",", "").try_cast("double")
-    lakh_low, lakh_high = n(LAKHS, 1), n(LAKHS, 2)
+    part = lambda p, i: F.regexp_extract(text, p, i)
+    n = lambda x: F.regexp_replace(x, ",", "").try_cast("double")
     round_ = lambda x: F.floor(x + 0.5).cast("long")
-    by_lakhs = F.struct(round_(lakh_low * 1200).alias("low"), round_(F.coalesce(lakh_high, lakh_low) * 1200).alias("high"), F.lit("INR").alias("currency"))
-    sign, k1, k2, period = (F.lower(F.regexp_extract(text, MONEY, i)) for i in (1, 3, 5, 6))
-    low = n(MONEY, 2) * F.when(k1 != "", 1000).otherwise(1)
-    high = F.coalesce(n(MONEY, 4) * F.when(k2 != "", 1000).otherwise(1), low)
-    times = F.when(period.contains("hr") | period.contains("hour"), 2000).when(period.contains("mo"), 12).when(period.contains("wk") | period.contains("week"), 50)
-    times = times.when((high > 0) & (high < 300), 2000).when((high >= 300) & (high < 4000), 50).when((high >= 4000) & (high <= 15000), 12).otherwise(1)
-    currency = F.when(sign != "", sign).otherwise("$")
-    rate = F.when(currency == "€", 1.08).when(currency == "£", 1.27).otherwise(1.0)
-    money = F.struct(round_(low * times * rate).alias("low"), round_(high * times * rate).alias("high"), currency.alias("currency"))
-    return F.when(text.rlike(LAKHS), by_lakhs).when((high * times >= 10000) & (low * times <= 1500000), money)
+    read = F.struct(*[F.lower(part(MONEY, i)).alias(k) for i, k in enumerate(("sign", "low", "k1", "high", "k2", "period"), 1)], part(LAKHS, 1).alias("l1"), part(LAKHS, 2).alias("l2"))
+
+    def amounts(g: Column) -> Column:
+        low = n(g["low"]) * F.when(g["k1"] != "", 1000).otherwise(1)
+        high = F.coalesce(n(g["high"]) * F.when(g["k2"] != "", 1000).otherwise(1), low)
+        currency = F.when(g["sign"] != "", g["sign"]).otherwise("$")
+        rate = F.when(currency == "€", 1.08).when(currency == "£", 1.27).otherwise(1.0)
+        return F.struct(low.alias("low"), high.alias("high"), currency.alias("currency"), rate.alias("rate"), g["period"].alias("period"), n(g["l1"]).alias("l1"), n(g["l2"]).alias("l2"))
+
+    def yearly(m: Column) -> Column:
+        stated = F.when(m["period"].contains("hr") | m["period"].contains("hour"), 2000).when(m["period"].contains("mo"), 12).when(m["period"].contains("wk") | m["period"].contains("week"), 50)
+        times = stated.when((m["high"] > 0) & (m["high"] < 300), 2000).when((m["high"] >= 300) & (m["high"] < 4000), 50).when((m["high"] >= 4000) & (m["high"] <= 15000), 12).otherwise(1)
+        return F.struct(m.alias("m"), times.alias("times"))
+
+    def pay(y: Column) -> Column:
+        m, times = y["m"], y["times"]
+        by_lakhs = F.struct(round_(m["l1"] * 1200).alias("low"), round_(F.coalesce(m["l2"], m["l1"]) * 1200).alias("high"), F.lit("INR").alias("currency"))
+        money = F.struct(round_(m["low"] * times * m["rate"]).alias("low"), round_(m["high"] * times * m["rate"]).alias("high"), m["currency"].alias("currency"))
+        return F.when(m["l1"].isNotNull(), by_lakhs).when((m["high"] * times >= 10000) & (m["low"] * times <= 1500000), money)
+
+    # Each step is taken once for the next, as the element of an array of one.
+    steps = F.array(read)
+    for f in (amounts, yearly, pay):
+        steps = F.transform(steps, f)
+    return F.when(text.isNotNull(), steps[0])
 
 
 def feature_tokens(skills: Column, arrangement: Column, level: Column, paid: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import collapse
+
 INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
 
 
@@ -63,13 +65,13 @@ def keyword_matches(text: Column, keyword: str, synonyms: tuple[str, ...] = (),
         import re
 
         whole = re.compile("|".join(rf"(?<![A-Za-z0-9_]){re.escape(w)}(?![A-Za-z0-9_])" for w in exact), re.I)
-        return pd.Series([isinstance(x, str) and (bool(whole.search(x)) or _like(x.lower().split(), parts, keyword, target, least, single_words)) for x in texts])
+        return pd.Series([isinstance(x, str) and (bool(whole.search(x)) or _like([w for w in x.split(" ") if w], parts, keyword, target, least, single_words)) for x in texts])
 
-    return run(text)
+    return run(collapse(F.lower(text)))
 
 
 def _grams(s: str) -> dict[str, int]:
-    s = "".join(s.split())
+    s = s.replace(" ", "")
     out: dict[str, int] = {}
     for i in range(len(s) - 1):
         out[s[i : i + 2]] = out.get(s[i : i + 2], 0) + 1
@@ -77,8 +79,8 @@ def _grams(s: str) -> dict[str, int]:
 
 
 def _dice(s: str, keyword: str, target: dict[str, int]) -> float:
-    s = "".join(s.split())
-    if s == "".join(keyword.split()):
+    s = s.replace(" ", "")
+    if s == keyword.replace(" ", ""):
         return 1.0
     own = _grams(s)
     n = sum(own.values()) + sum(target.values())

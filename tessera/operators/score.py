@@ -9,7 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clamp, round_half_up, sanitize
+from ..functions import extract
+from ..functions.text import clamp, collapse, round_half_up, sanitize
 from .match import match_terms
 
 
@@ -30,7 +31,12 @@ class Rules:
     cap_without_must: float = 50
     semantic_from: float = 0.4
     semantic_weight: float = 25
-    labels: tuple[tuple[float, str], ...] = ((88, "excellent"), (72, "strong"), (55, "moderate"), (38, "weak"), (0, "poor"))
+    #: Wished levels and years; points for a level that fits or doesn't, for years, for stated pay, and at most for terms.
+    wishes: tuple[str, ...] = ()
+    level_points: tuple[float, float] = (5, -8)
+    year_points: tuple[float, float] = (4, -6)
+    pay_points: float = 10
+    term_points: float = 15
 
     def widened(self, terms: tuple[str, ...]) -> list[str]:
         """Terms with their synonyms."""
@@ -47,7 +53,7 @@ def _hits(found: Column, terms: list[str]) -> Column:
 
 
 def score(df: DataFrame, rules: Rules, title: str, body: str, keep: list[str], similarity: str | None = None) -> DataFrame:
-    """keep, score (0..100), label, excluded, skills and the parts of the score, one row per row of df.
+    """keep, score (0..100), excluded, skills and the parts of the score, one row per row of df.
 
     Both texts are read once by an automaton; all else is native. Excluded rows score 0. Base points come of roles in
     the title, shares of must, should and nice terms, and places; then combinations, penalties and similarity (if it
@@ -94,7 +100,48 @@ def score(df: DataFrame, rules: Rules, title: str, body: str, keep: list[str], s
     capped = F.when(no_must, F.least(total, F.lit(r.cap_without_must))).otherwise(total)
     final = F.when(F.col("excluded"), 0).otherwise(capped).cast("long")
     scored = parts.withColumn("score", final)
-    label = F.lit(r.labels[-1][1])
-    for least, name in reversed(r.labels):
-        label = F.when(F.col("score") >= least, name).otherwise(label)
-    return scored.select(*keep, "score", label.alias("label"), "excluded", F.col("_in_text").alias("skills"), "title_points", "skill_points", "tech_points", "place_points", "bonus_points", "semantic_points")
+    return scored.select(*keep, "score", "excluded", F.col("_in_text").alias("skills"), "title_points", "skill_points", "tech_points", "place_points", "bonus_points", "semantic_points")
+
+
+def term_statistics(df: DataFrame, rules: Rules, title: str, body: str) -> DataFrame:
+    """One row: the number of texts (`documents`), and for each must term that of the texts with it or a synonym among their
+    tokens (f0, f1, ...)."""
+    tokens = df.select(_tokens(title, body).alias("_w"))
+    has = [F.count_if(F.arrays_overlap("_w", _words(rules, t))).alias(f"f{i}") for i, t in enumerate(rules.must)]
+    return tokens.agg(F.count("*").alias("documents"), *has)
+
+
+def _words(rules: Rules, term: str) -> Column:
+    return F.array(*[F.lit(w) for w in rules.widened((term,))])
+
+
+def _is_one_of(words: list[str]):
+    return lambda w: w.isin(*words)
+
+
+def _tokens(title: str, body: str) -> Column:
+    text = F.concat_ws(" ", sanitize(F.col(title)), sanitize(F.col(body)))
+    return F.filter(F.split(collapse(F.lower(text)), " "), lambda w: w != "")
+
+
+def further_points(df: DataFrame, rules: Rules, title: str, body: str, keep: list[str], statistics: DataFrame | None = None) -> DataFrame:
+    """keep and points beside score(): for the density of must terms (term_points), years of experience (year_points), level
+    (level_points) and stated pay (pay_points), and their sum (further). Null texts count as empty.
+
+    statistics is the one row of term_statistics, of df itself by default; it alone is sent to all tasks."""
+    r = rules
+    stats = term_statistics(df, rules, title, body) if statistics is None else statistics
+    text = F.concat_ws(" ", sanitize(F.col(title)), sanitize(F.col(body)))
+    x = df.select(*keep, text.alias("_x"), _tokens(title, body).alias("_w")).join(F.broadcast(stats))
+    signal = F.lit(0.0)
+    for i, term in enumerate(r.must):
+        count = F.size(F.filter("_w", _is_one_of(r.widened((term,)))))
+        signal = signal + F.coalesce(F.try_divide(count, F.size("_w")), F.lit(0.0)) * (F.ln((F.greatest("documents", F.lit(1)) + 1) / (F.col(f"f{i}") + 1)) + 1)
+    fit = extract.seniority_fit(extract.seniority(F.col("_x")), list(r.wishes))
+    years = extract.experience_points(extract.experience_years(F.col("_x")), list(r.wishes), lost=r.year_points[1], won=r.year_points[0])
+    parts = x.select(
+        *keep, round_half_up(F.least(F.lit(1.0), signal * 10) * r.term_points).cast("long").alias("term_points"), years.cast("long").alias("year_points"),
+        F.when(fit == "match", r.level_points[0]).when(fit == "mismatch", r.level_points[1]).otherwise(0).cast("long").alias("level_points"),
+        F.when(extract.salary_usd(F.col("_x")).isNotNull(), r.pay_points).otherwise(0).cast("long").alias("pay_points"),
+    )
+    return parts.withColumn("further", F.col("term_points") + F.col("year_points") + F.col("level_points") + F.col("pay_points"))

@@ -35,20 +35,6 @@ def _(t):
     return t("documents").select("doc_id", F.when(F.length("text") > 290, F.concat(F.substring("text", 1, 270), F.lit("…"))).otherwise(F.col("text")).alias("report"))
 
 
-@R.add("snk14_parked", "select url, least(n, 3) attempts, n > 3 given_up from (select url, count(*) n from feed_stats where not success and url is not null group by url)")
-def _(t):
-    g = t("feed_stats").where(~F.col("success") & F.col("url").isNotNull()).groupBy("url").agg(F.count("*").alias("n"))
-    return g.select("url", F.least(F.col("n"), F.lit(3).cast("long")).alias("attempts"), (F.col("n") > 3).alias("given_up"))
-
-
-@R.add("flt04_source_states", "with x as (select url, stat_id, ran_at, coalesce(success, false) ok from feed_stats where url is not null), i as (select *, sum(ok::int) over (partition by url order by ran_at, stat_id rows unbounded preceding) g, row_number() over (partition by url order by ran_at desc, stat_id desc) last from x), r as (select url, last, sum(1 - ok::int) over (partition by url, g order by ran_at, stat_id rows unbounded preceding) run from i) select url, case when run >= 5 then 'skip' when run >= 3 then 'degraded' else 'healthy' end health from r where last = 1")
-def _(t):
-    order = [F.col("ran_at"), F.col("stat_id")]
-    runs = series.failure_runs(t("feed_stats").where("url is not null"), ["url"], order, F.col("success"))
-    last = first_wins(runs, ["url"], [F.desc("ran_at"), F.desc("stat_id")])
-    return last.select("url", F.when(F.col("run") >= 5, "skip").when(F.col("run") >= 3, "degraded").otherwise("healthy").alias("health"))
-
-
 @R.add("flt07_skipped_hosts", "select url from source_registry where domain is null or (length(split_part(domain, '.', 1)) >= 4 and split_part(domain, '.', 1) not in ('jobs', 'mail', 'blog', 'www'))")
 def _(t):
     label = F.split_part("domain", F.lit("."), F.lit(1))

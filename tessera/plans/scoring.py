@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators.match import match_terms
-from ..operators.score import Rules, score
+from ..functions import extract, text
+from ..operators.match import keyword_matches, match_terms
+from ..operators.score import Rules, further_points, score
 from .registry import Registry
-from .texts import _firm, clean_sql
+from .texts import _firm, _no_space, alone_sql, clean_sql
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -17,7 +17,7 @@ QUERIES, SQL = R.queries, R.sql
 RULES = Rules(
     roles=("data engineer", "backend engineer", "platform engineer", "site reliability engineer"), must=("python", "kafka", "spark", "docker", "postgres"),
     should=("kubernetes", "scala", "airflow", "terraform", "aws", "gcp"), nice=("rust", "go", "flink", "redis", "graphql"), places=("remote", "remote-friendly"),
-    exclude=("php",), synonyms={"postgres": ("postgresql",), "go": ("golang",)}, combinations=((("kafka", "spark"), 8), (("docker", "kubernetes"), 6)), penalties=((("haskell", "elixir"), -15),),
+    exclude=("php",), synonyms={"postgres": ("postgresql",), "go": ("golang",)}, combinations=((("kafka", "spark"), 8), (("docker", "kubernetes"), 6)), penalties=((("haskell", "elixir"), -15),), wishes=("mid-level", "4 years"),
 )
 
 
@@ -26,7 +26,7 @@ def _scored(t):
 
 
 def _score_sql(r: Rules) -> str:
-    """The score of each record (row_id, score, label, excluded and its parts) in SQL."""
+    """The score of each record (row_id, score, excluded and its parts) in SQL."""
 
     def hit(term: str, column: str) -> str:
         before, after = ("a-z0-9_+.\\-" if end in "+.-" else "a-z0-9_" for end in (term[0], term[-1]))
@@ -38,7 +38,6 @@ def _score_sql(r: Rules) -> str:
     w = r.weights
     bonus = " + ".join([f"case when {all_of(c)} then {p} else 0 end" for c, p in r.combinations] + [f"case when must = 0 and {hits(c, 'x')} > 0 then {p} else 0 end" for c, p in r.penalties])
     steps = "case roles " + " ".join(f"when {i} then {x}" for i, x in enumerate(r.title_steps[:-1])) + f" else {r.title_steps[-1]} end"
-    labels = "case " + " ".join(f"when score >= {n} then '{name}'" for n, name in r.labels) + " end"
     return f"""
 with c as (select row_id, lower({clean_sql("title")}) t, lower(concat_ws(' ', {clean_sql("title")}, {clean_sql("content")})) x from raw_jobs),
 h as (select *, {hits(r.widened(r.must), "x")} must, {hits(r.widened(r.should), "x")} should, {hits(r.widened(r.nice), "x")} nice, {hits(r.widened(r.roles), "t")} roles,
@@ -49,7 +48,7 @@ p as (select *, floor({w["title"]} * {steps} + 0.5)::bigint title_points,
 b as (select *, title_points + skill_points + tech_points + place_points base from p),
 s as (select *, (case when excluded then 0 else least(case when must = 0 then {r.cap_without_must} else 100 end, greatest(0, least(100, bonus_points + case
   when must + should + nice + roles = 0 then floor(base * 0.1 + 0.5) when must = 0 then base when must + should < {r.least_primary} then floor(base * greatest(0.5, (must + should) / {r.least_primary}) + 0.5) else base end))) end)::bigint score from b)
-select row_id, score, {labels} as label, excluded, title_points, skill_points, tech_points, place_points, bonus_points, 0::bigint semantic_points from s"""
+select row_id, score, excluded, title_points, skill_points, tech_points, place_points, bonus_points, 0::bigint semantic_points from s"""
 
 
 @R.add("sc09_scores", _score_sql(RULES))
@@ -57,22 +56,108 @@ def _(t):
     return _scored(t).drop("sourceurl", "fetched_at", "skills")
 
 
-@R.add("sc12_labels", f"select label, count(*) n, round(avg(score), 6) mean from ({_score_sql(RULES)}) group by label")
+_years = "case when x_lo is null then 0 when x_lo > 4 + 1 then -6 when coalesce(x_hi, x_lo) <= 4 then 4 else 0 end"
+
+
+def _further_sql(r: Rules) -> str:
+    """further_points() in SQL."""
+    text = f"concat_ws(' ', {clean_sql('title')}, {clean_sql('content')})"
+    words = lambda t: "[" + ", ".join(repr(w) for w in r.widened((t,))) + "]"
+    count = lambda t: f"len(list_filter(ws, lambda w: list_contains({words(t)}, w)))"
+    df = ", ".join(f"count(*) filter ({count(t)} > 0) f{i}" for i, t in enumerate(r.must))
+    signal = " + ".join(f"coalesce({count(t)} / nullif(len(ws), 0), 0) * (ln((greatest(n, 1) + 1) / (f{i} + 1)) + 1)" for i, t in enumerate(r.must))
+    level = "case " + " ".join(f"when {alone_sql(p, 'lower(x)')} then '{n}'" for n, p in extract.LEVELS) + " else 'unknown' end"
+    pair, single, lakhs, money = (p.replace("(?i)", "") for p in (extract.YEAR_RANGE, extract.YEAR_SINGLE, extract.LAKHS, extract.MONEY))
+    return f"""
+with t as (select row_id, {text} x, list_filter(string_split({_no_space.format(f"lower({text})")}, ' '), lambda w: w <> '') ws from raw_jobs), s as (select count(*) n, {df} from t),
+e as (select t.*, s.*, regexp_extract(x, '{pair}', ['lo', 'hi'], 'i') p, regexp_extract(x, '{single}', 1, 'i') one, regexp_extract(x, '{money}', ['a', 'b', 'c', 'd', 'e', 'f'], 'i') m, regexp_matches(x, '{lakhs}', 'i') lakh from t, s),
+y as (select *, case when p.lo <> '' then try_cast(p.lo as int) when one <> '' then try_cast(one as int) end x_lo, case when p.lo <> '' then try_cast(p.hi as int) end x_hi, try_cast(replace(m.b, ',', '') as double) * case when m.c <> '' then 1000 else 1 end low, lower(m.f) per from e),
+z as (select *, coalesce(try_cast(replace(m.d, ',', '') as double) * case when m.e <> '' then 1000 else 1 end, low) high from y),
+w as (select *, case when contains(per, 'hr') or contains(per, 'hour') then 2000 when contains(per, 'mo') then 12 when contains(per, 'wk') or contains(per, 'week') then 50 when high > 0 and high < 300 then 2000 when high >= 300 and high < 4000 then 50 when high >= 4000 and high <= 15000 then 12 else 1 end times from z),
+v as (select row_id, floor(least(1.0, ({signal}) * 10) * {r.term_points} + 0.5)::bigint term_points, ({_years})::bigint year_points,
+ (case {level} when 'lead' then -8 when 'junior' then 0 when 'mid' then 5 when 'senior' then -8 else 0 end)::bigint level_points, (case when lakh or high * times >= 10000 and low * times <= 1500000 then {r.pay_points} else 0 end)::bigint pay_points from w)
+select *, term_points + year_points + level_points + pay_points further from v"""
+
+
+@R.add("sc09_further_points", _further_sql(RULES))
+def _(t):
+    return further_points(t("raw_jobs"), RULES, "title", "content", ["row_id"])
+
+
+@R.add("sc14_relevant", f"select row_id, total from (select row_id, case when s.excluded then 0 else least(100, greatest(0, s.score + f.further)) end::bigint total from ({_score_sql(RULES)}) s join ({_further_sql(RULES)}) f using (row_id)) where total >= 65")
+def _(t):
+    s, f = _scored(t).select("row_id", "score", "excluded"), further_points(t("raw_jobs"), RULES, "title", "content", ["row_id"]).select("row_id", "further")
+    total = F.when(F.col("excluded"), 0).otherwise(text.clamp(F.col("score") + F.col("further"), 0, 100)).cast("long")
+    return s.join(f, "row_id").select("row_id", total.alias("total")).where("total >= 65")
+
+
+@R.add("sc02_salaries", f"""with e as (select row_id, content x, regexp_extract(content, '{extract.MONEY.replace("(?i)", "")}', ['a', 'b', 'c', 'd', 'e', 'f'], 'i') m, regexp_extract(content, '{extract.LAKHS.replace("(?i)", "")}', ['lo', 'hi'], 'i') l from raw_jobs where content is not null),
+y as (select *, try_cast(replace(m.b, ',', '') as double) * case when m.c <> '' then 1000 else 1 end low, lower(m.f) per, case when m.a <> '' then m.a else '$' end currency from e), z as (select *, coalesce(try_cast(replace(m.d, ',', '') as double) * case when m.e <> '' then 1000 else 1 end, low) high from y),
+w as (select *, case when contains(per, 'hr') or contains(per, 'hour') then 2000 when contains(per, 'mo') then 12 when contains(per, 'wk') or contains(per, 'week') then 50 when high > 0 and high < 300 then 2000 when high >= 300 and high < 4000 then 50 when high >= 4000 and high <= 15000 then 12 else 1 end times, case currency when '€' then 1.08::double when '£' then 1.27::double else 1.0::double end rate from z)
+select row_id, case when l.lo <> '' then floor(try_cast(l.lo as double) * 1200 + 0.5) else floor(low * times * rate + 0.5) end::bigint low, case when l.lo <> '' then floor(coalesce(try_cast(l.hi as double), try_cast(l.lo as double)) * 1200 + 0.5) else floor(high * times * rate + 0.5) end::bigint high, case when l.lo <> '' then 'INR' else currency end currency from w where l.lo <> '' or high * times >= 10000 and low * times <= 1500000""")
+def _(t):
+    x = t("raw_jobs").select("row_id", extract.salary_usd(F.col("content")).alias("s")).where("s is not null")
+    return x.select("row_id", F.col("s.low").alias("low"), F.col("s.high").alias("high"), F.col("s.currency").alias("currency"))
+
+
+_level_of = "case " + " ".join(f"when {alone_sql(p, 'l')} then '{n}'" for n, p in extract.LEVELS) + " else 'unknown' end"
+
+
+@R.add("sc06_level_fit", f"select fit, count(*) n from (select case {_level_of} when 'lead' then 'mismatch' when 'junior' then 'match' when 'mid' then 'match' when 'senior' then 'mismatch' else 'neutral' end fit from (select lower(coalesce(title, '')) l from raw_jobs)) group by fit")
+def _(t):
+    return t("raw_jobs").groupBy(extract.seniority_fit(extract.seniority(F.col("title")), ["Entry level", "0-2 years"]).alias("fit")).agg(F.count("*").alias("n"))
+
+
+@R.add("sc21_sponsorship", f"select offers, count(*) n from (select {alone_sql(extract.SPONSORS, 'l')} and not {alone_sql(extract.NO_SPONSOR, 'l')} offers from (select lower(coalesce(text, '')) l from documents)) group by offers")
+def _(t):
+    return t("documents").groupBy(extract.offers_sponsorship(F.col("text")).alias("offers")).agg(F.count("*").alias("n"))
+
+
+_industry = "case " + " ".join(f"when {alone_sql(p, 'l')} then '{n}'" for n, p in extract.INDUSTRIES.items()) + " else 'other' end"
+
+
+@R.add("sc22_industries", f"select industry, count(*) n from (select {_industry} industry from (select lower(concat_ws(' ', coalesce(title, ''), coalesce(content, ''))) l from raw_jobs)) group by industry")
+def _(t):
+    return t("raw_jobs").groupBy(extract.industry(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))).alias("industry")).agg(F.count("*").alias("n"))
+
+
+@R.add("sc18_features", f"select row_id, list_concat(list_transform(list_filter(coalesce(categories, []), lambda x: x is not null), lambda x: 'skill:' || lower(x)), list_filter([case when level <> 'unknown' then 'level:' || level end, case when pay then 'salary:present' end], lambda x: x is not null)) tokens from (select row_id, categories, {_level_of} as level, contains(coalesce(content, ''), '$') pay from (select *, lower(coalesce(title, '')) l from raw_jobs))")
+def _(t):
+    skills = F.filter("categories", lambda x: x.isNotNull())
+    tokens = extract.feature_tokens(skills, F.lit(None).cast("string"), extract.seniority(F.col("title")), F.contains(F.coalesce("content", F.lit("")), F.lit("$")))
+    return t("raw_jobs").select("row_id", tokens.alias("tokens"))
+
+
+def _fuzzy_sql(keyword: str, exact: list[str], single: bool) -> str:
+    """keyword_matches() of titles in SQL."""
+    words = keyword.split()
+    k, bare = len(words), "".join(words)
+    target = [bare[i : i + 2] for i in range(len(bare) - 1)]
+    counts = ", ".join(f"least(len(list_filter(gs, lambda g: g = '{g}')), {target.count(g)})" for g in dict.fromkeys(target))
+    whole = " or ".join(f"regexp_matches(title, '(?i)(^|[^A-Za-z0-9_]){w}($|[^A-Za-z0-9_])')" for w in exact)
+    tokens = f"list_filter(string_split({_no_space.format('lower(title)')}, ' '), lambda w: w <> '')"
+    sizes = [1, k] if single else [k]
+    union = " union all ".join(f"select row_id, array_to_string(list_slice(ts, i, i + {n} - 1), '') b from (select row_id, ts, unnest(range(1, len(ts) - {n} + 2)) i from t)" for n in dict.fromkeys(sizes))
+    return f"""with t as (select row_id, {tokens} ts from raw_jobs where title is not null), w as ({union}), g as (select row_id, b, list_transform(range(1, length(b)), lambda i: substr(b, i::int, 2)) gs from w),
+l as (select distinct row_id from g where b = '{bare}' or len(gs) > 0 and 2.0 * list_sum([{counts}]) / (len(gs) + {len(target)}) >= 0.7)
+select row_id from raw_jobs where title is not null and ({whole}) union select row_id from l"""
+
+
+@R.add("sx09_fuzzy", _fuzzy_sql("platform engineer", ["platform engineer", "infrastructure engineer"], True))
 def _(t):
-    return _scored(t).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
+    return t("raw_jobs").where(keyword_matches(F.col("title"), "platform engineer", ("infrastructure engineer",), 0.7)).select("row_id")
 
 
-@R.add("sc15_quick", "select row_id, least(100, case when t then 15 else 0 end + 10 * n)::bigint quick from (select row_id, regexp_matches(lower(coalesce(title, '')), '(^|[^a-z0-9_])(data|platform)($|[^a-z0-9_])') t, regexp_matches(c, '(^|[^a-z0-9_])kafka($|[^a-z0-9_])')::int + regexp_matches(c, '(^|[^a-z0-9_])spark($|[^a-z0-9_])')::int n from (select *, lower(coalesce(content, '')) c from raw_jobs))")
+@R.add("sx10_fuzzy_phrases", _fuzzy_sql("data scientist", ["data scientist"], False))
 def _(t):
-    title, body = match_terms(F.col("title"), ["data", "platform"]), match_terms(F.col("content"), ["kafka", "spark"])
-    points = F.when(F.size(title) > 0, 15).otherwise(0) + 10 * F.size(body)
-    return t("raw_jobs").select("row_id", F.least(F.lit(100), points).cast("long").alias("quick"))
+    return t("raw_jobs").where(keyword_matches(F.col("title"), "data scientist", (), 0.7, single_words=False)).select("row_id")
 
 
-@R.add("sc17_source_feedback", f"select sourceurl, count(*) n, max(score) best, least(5, greatest(-5, floor(avg(score) - 20 + 0.5))) delta from ({_score_sql(RULES)}) join (select row_id, sourceurl from raw_jobs) using (row_id) group by sourceurl")
+@R.add("sx12_categories", "select row_id, list_filter(list_filter(coalesce(categories, []), lambda x: x is not null), lambda x: contains(lower(coalesce(title, '')), lower(x))) named from raw_jobs where len(categories) > 0")
 def _(t):
-    s = _scored(t).groupBy("sourceurl").agg(F.avg("score").alias("mean"), F.count("*").alias("n"), F.max("score").alias("best"))
-    return s.select("sourceurl", "n", "best", text.clamp(text.round_half_up(F.col("mean") - 20), -5, 5).alias("delta"))
+    low = F.lower(F.coalesce("title", F.lit("")))
+    named = F.filter(F.filter("categories", lambda x: x.isNotNull()), lambda x: F.contains(low, F.lower(x)))
+    return t("raw_jobs").where("size(categories) > 0").select("row_id", named.alias("named"))
 
 
 @R.add("jn13_large_dictionary", "select k term, count(*) n from (select distinct row_id, k from (select row_id, lower(coalesce(content, '')) c from raw_jobs) join (select distinct lower(split_part(name, ' ', 1)) k from known_names where kind = 'org' and length(split_part(name, ' ', 1)) > 1) on contains(c, k) and regexp_matches(c, '(^|[^a-z0-9_])' || k || '($|[^a-z0-9_])')) group by k")

@@ -49,3 +49,26 @@ def fan_out(scores: DataFrame, score: str, profiles: DataFrame, threshold: str,
     steps = wanted.select("_least").distinct()
     reached = scores.select("*", F.explode(F.sequence(F.lit(0), F.floor(score).cast("int"))).alias("_least")).join(steps, "_least", "left_semi")
     return reached.join(wanted, "_least").drop("_least")
+
+
+def steered(df: DataFrame, batch: str, score: str, start: int = 50, low: int = 30, high: int = 70, step: int = 2, most: int = 8, least: int = 1) -> DataFrame:
+    """(batch, threshold): the threshold after each batch, in order: up a step if more than `most` of its scores reach the
+    one before, down if fewer than `least` do, always from low to high.
+
+    Every threshold that can occur is counted for every batch at once; what is folded in order is one short row a batch, so
+    it grows with the number of batches alone."""
+    steps = list(range(low, high + 1, step))
+    if start not in steps:
+        raise ValueError("the start must be a whole number of steps from the lowest threshold")
+    counts = df.where(F.col(batch).isNotNull()).groupBy(batch).agg(F.array(*[F.count_if(F.col(score) >= s) for s in steps]).alias("n"))
+    row = counts.agg(F.array_sort(F.collect_list(F.struct(F.col(batch).alias("b"), "n"))).alias("all"))
+    first = F.array(F.struct(F.lit(None).cast(df.schema[batch].dataType).alias("b"), F.lit(steps.index(start)).alias("at")))
+
+    def move(done: Column, x: Column) -> Column:
+        at = F.element_at(done, -1)["at"]
+        n = F.element_at(x["n"], at + 1)
+        to = F.when(n > most, F.least(at + 1, F.lit(len(steps) - 1))).when(n < least, F.greatest(at - 1, F.lit(0))).otherwise(at)
+        return F.concat(done, F.array(F.struct(x["b"].alias("b"), to.cast("int").alias("at"))))
+
+    path = row.select(F.explode(F.slice(F.aggregate("all", first, move), 2, 2**31 - 2)).alias("s"))
+    return path.select(F.col("s.b").alias(batch), (F.col("s.at") * step + low).alias("threshold"))

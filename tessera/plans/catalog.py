@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> text).
-MODULES = ("instants", "quantities", "relational", "texts", "parsing", "landed", "streams", "scoring", "inventory")
+MODULES = ("instants", "quantities", "relational", "texts", "parsing", "landed", "streams", "scoring", "inventory", "further")
 FLAGSHIP = "sc09_scores"
 
 

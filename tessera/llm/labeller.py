@@ -272,10 +272,12 @@ def train(lines: Lines, labels: np.ndarray, epochs: int = 8, least_steps: int =
             at = batches[b]
             there = (at >= 0).astype(np.float32)
             own = at[at >= 0]
-            sub_words = np.concatenate([np.arange(lines.first_word[i], lines.first_word[i + 1]) for i in own]) if len(own) else np.zeros(0, np.int64)
-            owner = np.repeat(np.arange(len(own)), lines.first_word[own + 1] - lines.first_word[own])
-            vec = np.zeros((len(own), WORD_DIM), np.float32)
-            np.add.at(vec, owner, m["words"][lines.buckets[sub_words]])
+            many = lines.first_word[own + 1] - lines.first_word[own]
+            ends = np.append(0, np.cumsum(many))
+            buckets = lines.buckets[np.repeat(lines.first_word[own] - ends[:-1], many) + np.arange(ends[-1])]
+            run = np.zeros((len(buckets) + 1, WORD_DIM))
+            np.cumsum(m["words"][buckets], axis=0, out=run[1:])
+            vec = (run[ends[1:]] - run[ends[:-1]]).astype(np.float32)
             x = np.zeros((*at.shape, N_PATH + WORD_DIM), np.float32)
             x[at >= 0] = np.concatenate([lines.path[own], vec / n_words[own][:, None]], axis=1)
             drop = (rng.random((*at.shape, 1)) > 0.25).astype(np.float32)  # so that it can't lean on the contrast alone
@@ -290,9 +292,12 @@ def train(lines: Lines, labels: np.ndarray, epochs: int = 8, least_steps: int =
             dh = dz @ m["out"].T
             g["wf"], g["cf"], dx1 = _lstm_back(dh[:, :, :HIDDEN], x, m["wf"], kf)
             g["wb"], g["cb"], dx2 = _lstm_back(dh[:, :, HIDDEN : 2 * HIDDEN], x, m["wb"], kb)
-            dvec = ((dx1 + dx2 + dh[:, :, 2 * HIDDEN :])[at >= 0][:, N_PATH:] / n_words[own][:, None])[owner]
+            dvec = np.repeat((dx1 + dx2 + dh[:, :, 2 * HIDDEN :])[at >= 0][:, N_PATH:] / n_words[own][:, None], many, axis=0)
             g["words"] = np.zeros_like(m["words"])
-            np.add.at(g["words"], lines.buckets[sub_words], dvec)
+            if len(buckets):
+                order = np.argsort(buckets, kind="stable")
+                first_of = np.flatnonzero(np.diff(buckets[order], prepend=-1))
+                g["words"][buckets[order][first_of]] = np.add.reduceat(dvec[order], first_of, axis=0)
             step += 1
             for k, d in g.items():
                 first[k] += 0.1 * (d - first[k])

@@ -42,7 +42,8 @@ def _frequencies(batches):
 
 
 def _marked(df: DataFrame, text_col: str, is_page: F.Column, *more: F.Column) -> DataFrame:
-    return df.select(F.col(text_col).alias("_text"), F.coalesce(is_page, F.lit(False)).cast("long").alias("_page"), *more).where(F.trim("_text") != "")
+    rows = df.select(F.col(text_col).alias("_text"), F.coalesce(is_page, F.lit(False)).cast("long").alias("_page"), *more).where(F.trim("_text") != "")
+    return rows.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)  # each task gives a table of counts, so few tasks
 
 
 def contrast(df: DataFrame, text_col: str, is_page: F.Column) -> tuple[np.ndarray, int, int]:

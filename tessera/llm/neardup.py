@@ -20,6 +20,9 @@ COPIES = 512
 #: Bits of a set's parities; SLOTS of its triples' sample counts, and the classes sampled for these; 64-bit COLUMNS of the
 #: token-group matrix.
 PARITIES, SLOTS, SAMPLE, COLUMNS = 512, 1 << 22, 40_000, 32
+#: Bits, as a power of 2, of the sketches that tell which sets are needed: 4 MB. Many more classes than this has bits are
+#: needed nearly all.
+SKETCH = 25
 #: Rows of the table for each part of the triples, and sets whose triples go to the parts together.
 PART, PACK = 25_000, 2048
 #: Classes that a task remembers to leave out copies.
@@ -132,7 +135,7 @@ def _prefixes(least: float, common: np.ndarray, parts: int):
         order = np.lexsort((flat, common[flat // np.uint32((1 << 32) // SLOTS)], own))
         place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         rare = place < np.repeat(size - np.ceil(least * size - 1e-9).astype(np.int64) + 1, size)
-        flat, own, place = flat[order][rare], own[rare], np.minimum(place[rare], 65535).astype(np.uint16)  # a lower place only loosens the bound
+        flat, own, place = flat[order][rare], own[rare], np.minimum(place[rare], 255).astype(np.uint8)  # a lower place only loosens the bound
         part = (mix(flat) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((own, part))
         flat, own, place, part = flat[order], own[order], place[order], part[order]
@@ -183,7 +186,7 @@ def _meet_part(rows: list, least: float):
     joined = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)
     rep, size, count = joined(0, np.int64), joined(1, np.int32).astype(np.int64), joined(2, np.uint16).astype(np.int64)
     parity = joined(3, np.uint64).reshape(len(rep), -1)
-    triples, places = joined(4, np.uint32), joined(5, np.uint16)
+    triples, places = joined(4, np.uint32), joined(5, np.uint8)
     rows.clear()
     distinct, first = np.unique(rep, return_index=True)
     if len(distinct) < len(rep):  # copies from other tasks
@@ -228,6 +231,31 @@ def _met(rep: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rep[pairs >> 32]), pa.array(rep[pairs & 0xFFFFFFFF])], names=["a", "b"])
 
 
+def sketch(reps: DataFrame) -> np.ndarray:
+    """A bit for each of 2 ** SKETCH hashes of the classes named by rep: of fixed size, whatever their number."""
+    at = F.pmod(F.xxhash64("rep"), F.lit(1 << SKETCH))
+    bit = F.expr("shiftleft(1L, cast(_at % 64 as int))")
+    words = reps.select(at.alias("_at")).select(F.floor(F.col("_at") / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (SKETCH - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _needed(sets: DataFrame, known) -> DataFrame:
+    """print, triples of the classes that the sketch (a broadcast) has, and of few others."""
+    slot = F.pmod(F.xxhash64("print"), F.lit(1 << SKETCH)).alias("slot")
+
+    def run(batches):
+        bits = known.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            keep = np.flatnonzero((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], names=["print", "triples"])
+
+    return sets.select("print", "triples", slot).mapInArrow(run, "print long, triples binary")
+
+
 def _matrix_rows(batches):
     """(rep, size, m0, ...): the columns of the token-group matrix that a set's triples fall in, one bit each."""
     for batch in _once(batches):
@@ -335,7 +363,7 @@ def similar_classes(df: DataFrame, id_col: str, text: F.Column, least: float, le
 
     # Which classes may be similar: those that share one of their rarest triples, within two bounds.
     n = sets.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, n // PART, 1)
+    parts = max(min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), n // PART, 1)
     share = min(1.0, SAMPLE / max(1, n))
     sample = sets.where(F.pmod(F.xxhash64("print"), F.lit(1 << 20)) < round(share * (1 << 20)))
     counts = sample.select("print", "triples").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
@@ -357,11 +385,14 @@ def similar_classes(df: DataFrame, id_col: str, text: F.Column, least: float, le
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     home = written(groups.join(size, "grp").withColumn("block", block), "members")
+    asking = written(abroad.select("rep").distinct(), "asking")
+    share_asked = spark.sparkContext.broadcast(sketch(home.where("asked").select("rep").unionByName(asking)))
+    share_all = spark.sparkContext.broadcast(sketch(home.select("rep").unionByName(asking)))
 
     # The token-group matrix: the union of each asked block's triples; a query whose overlap with it can't reach `least` of
     # its own size stays outside, before any set is moved.
     names = [f"m{k}" for k in range(COLUMNS)]
-    matrix_rows = sets.select("print", "triples").mapInArrow(_matrix_rows, "rep long, size long, " + ", ".join(f"{x} long" for x in names))
+    matrix_rows = _needed(sets, share_asked).mapInArrow(_matrix_rows, "rep long, size long, " + ", ".join(f"{x} long" for x in names))
     union = home.where("asked").join(matrix_rows, "rep").groupBy("grp", "block").agg(*[F.bit_or(x).alias(f"u{k}") for k, x in enumerate(names)])
     queries = abroad.join(home.select("grp", "blocks").distinct(), "grp").select("grp", all_blocks.alias("block"), "rep", "own")
     missing = sum((F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(f"u{k}")))) for k, x in enumerate(names)), F.lit(0))
@@ -370,7 +401,7 @@ def similar_classes(df: DataFrame, id_col: str, text: F.Column, least: float, le
     members = home.select("grp", "block", F.lit(0).alias("role"), "rep", F.col("grp").alias("own"))
     inside = home.where("blocks > 1").select("grp", all_blocks.alias("block"), F.lit(1).alias("role"), "rep", F.col("grp").alias("own"), F.col("block").alias("home")).where("block != home").drop("home")
     outside = met.select("grp", "block", F.lit(1).alias("role"), "rep", "own")
-    tokens = sets.select(F.col("print").alias("rep"), "triples").mapInArrow(_once, "rep long, triples binary")
+    tokens = _needed(sets, share_all).withColumnRenamed("print", "rep").mapInArrow(_once, "rep long, triples binary")
     work = members.unionByName(inside).unionByName(outside).join(tokens, "rep")
     work = work.select("grp", "block", "role", "rep", "own", "triples").repartition("grp", "block").sortWithinPartitions("grp", "block", "role", "rep")
     return work.mapInArrow(_open_groups(least), "rep_a long, rep_b long, shared long"), membership

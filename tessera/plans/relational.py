@@ -42,12 +42,6 @@ def _(t):
     return jobs.join(t("sent_alerts").withColumnRenamed("job_id", "id"), "id", "left").groupBy("id").agg(F.count("profile_id").alias("n_alerts"), F.countDistinct("profile_id").alias("n_profiles"))
 
 
-@R.add("jn05_fan_out", "select s.url, p.profile_id, cast(floor(s.priority_score) as bigint) score from source_registry s join profiles p on floor(s.priority_score) >= greatest(coalesce(p.notification_threshold, 55), 55) where s.priority_score is not null")
-def _(t):
-    scored = t("source_registry").where("priority_score is not null").select("url", F.floor("priority_score").alias("score"))
-    return series.fan_out(scored, "score", t("profiles").select("profile_id", "notification_threshold"), "notification_threshold", 55).select("url", "profile_id", "score")
-
-
 @R.add("jn06_not_yet_alerted", "select distinct s.job_id, q.profile_id from sent_alerts s join profiles p on s.profile_id = p.profile_id join profiles q on p.user_id = q.user_id where not exists (select 1 from sent_alerts x where x.job_id = s.job_id and x.profile_id = q.profile_id)")
 def _(t):
     p = t("profiles")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import extract, text
 from ..operators.match import keyword_matches, match_terms
 from ..operators.score import Rules, further_points, score
+from ..operators.series import fan_out
 from .registry import Registry
 from .texts import _firm, _no_space, alone_sql, clean_sql
 
@@ -91,6 +92,11 @@ def _(t):
     return s.join(f, "row_id").select("row_id", total.alias("total")).where("total >= 65")
 
 
+@R.add("jn05_fan_out", f"select s.row_id, p.profile_id, s.score from ({_score_sql(RULES)}) s join profiles p on s.score >= greatest(coalesce(p.notification_threshold, 55), 55)")
+def _(t):
+    return fan_out(_scored(t).select("row_id", "score"), "score", t("profiles").select("profile_id", "notification_threshold"), "notification_threshold", 55).select("row_id", "profile_id", "score")
+
+
 @R.add("sc02_salaries", f"""with e as (select row_id, content x, regexp_extract(content, '{extract.MONEY.replace("(?i)", "")}', ['a', 'b', 'c', 'd', 'e', 'f'], 'i') m, regexp_extract(content, '{extract.LAKHS.replace("(?i)", "")}', ['lo', 'hi'], 'i') l from raw_jobs where content is not null),
 y as (select *, try_cast(replace(m.b, ',', '') as double) * case when m.c <> '' then 1000 else 1 end low, lower(m.f) per, case when m.a <> '' then m.a else '$' end currency from e), z as (select *, coalesce(try_cast(replace(m.d, ',', '') as double) * case when m.e <> '' then 1000 else 1 end, low) high from y),
 w as (select *, case when contains(per, 'hr') or contains(per, 'hour') then 2000 when contains(per, 'mo') then 12 when contains(per, 'wk') or contains(per, 'week') then 50 when high > 0 and high < 300 then 2000 when high >= 300 and high < 4000 then 50 when high >= 4000 and high <= 15000 then 12 else 1 end times, case currency when '€' then 1.08::double when '£' then 1.27::double else 1.0::double end rate from z)

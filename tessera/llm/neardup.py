@@ -28,7 +28,7 @@ PART, PACK = 25_000, 2048
 #: Classes that a task remembers to leave out copies.
 SEEN = 1_000_000
 #: Pairs of rows that are looked at together in one task.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 SETS = "row_id long, print long, grp long, triples binary"
 
 
@@ -194,11 +194,13 @@ def _meet_part(rows: list, least: float):
         once[first] = True
         kept = np.repeat(once, count)
         rep, size, parity, triples, places, count = rep[once], size[once], parity[once], triples[kept], places[kept], count[once]
-    who = np.repeat(np.arange(len(rep)), count)
-    rest = size[who] - places
+    who = np.repeat(np.arange(len(rep), dtype=np.int32), count)
+    rest = (size[who] - places).astype(np.int32)
     keyed = (triples.astype(np.int64) << 31) | size[who]
-    order = np.argsort(keyed, kind="stable")
+    del triples, places
+    order = np.argsort(keyed)
     keyed, who, rest = keyed[order], who[order], rest[order]
+    del order
     share = least / (1 + least)  # of both sizes
     # The smaller set of a pair is asked for sets up to the size that what is left of it allows.
     most = np.minimum((rest / share + 1e-6).astype(np.int64) - size[who], (1 << 31) - 1)
@@ -214,11 +216,11 @@ def _meet_part(rows: list, least: float):
         both = size[who[i]] + size[who[j]]
         ok = np.flatnonzero(rest[j] >= share * both - 1e-6)
         a, b = who[i[ok]], who[j[ok]]
-        differ = np.zeros(len(a), np.int64)
+        differ = np.zeros(len(a), np.int32)
         for k in range(parity.shape[1]):
             differ += np.bitwise_count(parity[a, k] ^ parity[b, k])
-        ok = differ <= (1 - 2 * share) * both[ok] + 1e-6
-        found.append(np.unique((np.minimum(a[ok], b[ok]) << 32) | np.maximum(a[ok], b[ok])))
+        ok = differ <= (1 - 2 * share) * both[ok] + 1e-6  # of the pairs left
+        found.append(np.unique((np.minimum(a[ok], b[ok]).astype(np.int64) << 32) | np.maximum(a[ok], b[ok])))
         if sum(map(len, found)) > 4 * AT_ONCE:
             yield _met(rep, np.unique(np.concatenate(found)))
             found = []

@@ -387,14 +387,12 @@ def similar_classes(df: DataFrame, id_col: str, text: F.Column, least: float, le
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     home = written(groups.join(size, "grp").withColumn("block", block), "members")
-    asking = written(abroad.select("rep").distinct(), "asking")
-    share_asked = spark.sparkContext.broadcast(sketch(home.where("asked").select("rep").unionByName(asking)))
-    share_all = spark.sparkContext.broadcast(sketch(home.select("rep").unionByName(asking)))
+    known = spark.sparkContext.broadcast(sketch(home.select("rep").unionByName(abroad.select("rep"))))
 
     # The token-group matrix: the union of each asked block's triples; a query whose overlap with it can't reach `least` of
     # its own size stays outside, before any set is moved.
     names = [f"m{k}" for k in range(COLUMNS)]
-    matrix_rows = _needed(sets, share_asked).mapInArrow(_matrix_rows, "rep long, size long, " + ", ".join(f"{x} long" for x in names))
+    matrix_rows = _needed(sets, known).mapInArrow(_matrix_rows, "rep long, size long, " + ", ".join(f"{x} long" for x in names))
     union = home.where("asked").join(matrix_rows, "rep").groupBy("grp", "block").agg(*[F.bit_or(x).alias(f"u{k}") for k, x in enumerate(names)])
     queries = abroad.join(home.select("grp", "blocks").distinct(), "grp").select("grp", all_blocks.alias("block"), "rep", "own")
     missing = sum((F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(f"u{k}")))) for k, x in enumerate(names)), F.lit(0))
@@ -403,7 +401,7 @@ def similar_classes(df: DataFrame, id_col: str, text: F.Column, least: float, le
     members = home.select("grp", "block", F.lit(0).alias("role"), "rep", F.col("grp").alias("own"))
     inside = home.where("blocks > 1").select("grp", all_blocks.alias("block"), F.lit(1).alias("role"), "rep", F.col("grp").alias("own"), F.col("block").alias("home")).where("block != home").drop("home")
     outside = met.select("grp", "block", F.lit(1).alias("role"), "rep", "own")
-    tokens = _needed(sets, share_all).withColumnRenamed("print", "rep").mapInArrow(_once, "rep long, triples binary")
+    tokens = _needed(sets, known).withColumnRenamed("print", "rep").mapInArrow(_once, "rep long, triples binary")
     work = members.unionByName(inside).unionByName(outside).join(tokens, "rep")
     work = work.select("grp", "block", "role", "rep", "own", "triples").repartition("grp", "block").sortWithinPartitions("grp", "block", "role", "rep")
     return work.mapInArrow(_open_groups(least), "rep_a long, rep_b long, shared long"), membership

@@ -29,8 +29,10 @@ class Rules:
     penalties: tuple[tuple[tuple[str, ...], float], ...] = ()
     least_primary: int = 1
     cap_without_must: float = 50
+    #: Similarity counts from semantic_from on: weight x how far it is between semantic_base and 1.
     semantic_from: float = 0.4
     semantic_weight: float = 25
+    semantic_base: float = 0.0
     #: Wished levels and years; points for a level that fits or doesn't, for years, for stated pay, and at most for terms.
     wishes: tuple[str, ...] = ()
     level_points: tuple[float, float] = (5, -8)
@@ -85,7 +87,7 @@ def score(df: DataFrame, rules: Rules, title: str, body: str, keep: list[str], s
         round_half_up(share("_nice", r.nice) * w["tech"]).alias("tech_points"),
         F.when(F.col("_place"), w["place"]).otherwise(0).cast("long").alias("place_points"),
         (added + lost).cast("long").alias("bonus_points"),
-        F.when(F.col("_sim") > r.semantic_from, round_half_up(F.col("_sim") * r.semantic_weight)).otherwise(0).cast("long").alias("semantic_points"),
+        F.when(F.col("_sim") > r.semantic_from, round_half_up((F.col("_sim") - r.semantic_base) / (1 - r.semantic_base) * r.semantic_weight)).otherwise(0).cast("long").alias("semantic_points"),
     )
     base = F.col("title_points") + F.col("skill_points") + F.col("tech_points") + F.col("place_points")
     primary = F.col("_must") + F.col("_should")

@@ -111,6 +111,15 @@ def _(t):
     return feeds.job_links(_links(t).where("sourceurl is not null"), "html", ["row_id"], "sourceurl").select("row_id", "url", "label")
 
 
+@R.add("src19_short_links", "select row_id, 'https://jobs.board.example/acme/j/o' || row_id as url from raw_jobs")
+def _(t):
+    """Postings of boards that have no payload, by their short links."""
+    n = c("row_id").cast("string")
+    html = F.concat(lit('<a href="/acme/j/o'), n, lit('">The post itself</a> <a href="/acme/about">About the firm</a> <a href="/acme/j/o'), n, lit('">Apply to the post</a>'))
+    pages = t("raw_jobs").select("row_id", html.alias("html"), lit("https://jobs.board.example/acme").alias("base"))
+    return feeds.job_links(pages, "html", ["row_id"], "base", r"/j/[^/?#]+").select("row_id", "url")
+
+
 @R.add("src12_page_postings", f"with x as ({_links_sql}) select row_id, case when length(t) between 5 and 200 then t else 'The same again' end as title from x where row_id % 3 = 0 union all select row_id, 'QA Lead' from x where row_id % 3 = 0 union all select row_id, {_full.format('title')} from raw_jobs where row_id % 3 <> 0 and not coalesce(contains(lower(concat_ws(' ', title, company, contentsnippet, link)), '</script'), false)")
 def _(t):
     pages = _links(t).where("sourceurl is not null and row_id % 3 = 0").unionByName(_page(t).where("row_id % 3 <> 0"))

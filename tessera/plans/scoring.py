@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,13 @@ def _scored(t):
     return score(t("raw_jobs"), RULES, "title", "content", ["row_id", "sourceurl", "fetched_at"])
 
 
-def _score_sql(r: Rules) -> str:
+#: The older score: similarity counts above 0.6, and the cap without must terms is higher (fixed values).
+OLDER = replace(RULES, cap_without_must=55, semantic_from=0.6, semantic_weight=20, semantic_base=0.6)
+
+
+def _score_sql(r: Rules, similarity: str = "0") -> str:
     """The score of each record (row_id, score, excluded and its parts) in SQL."""
+    semantic = f"(case when {similarity} > {r.semantic_from} then floor(({similarity} - {r.semantic_base}) / (1 - {r.semantic_base}) * {r.semantic_weight} + 0.5) else 0 end)::bigint"
 
     def hit(term: str, column: str) -> str:
         before, after = ("a-z0-9_+.\\-" if end in "+.-" else "a-z0-9_" for end in (term[0], term[-1]))
@@ -45,11 +52,11 @@ h as (select *, {hits(r.widened(r.must), "x")} must, {hits(r.widened(r.should),
   {hits(r.widened(r.places), "x")} > 0 place, {hits(r.widened(r.exclude), "x")} > 0 excluded from c),
 p as (select *, floor({w["title"]} * {steps} + 0.5)::bigint title_points,
   least({w["skills"]}, floor((must / {len(r.must)} * 0.7 + should / {len(r.should)} * 0.3) * {w["skills"]} + 0.5))::bigint skill_points,
-  floor(nice / {len(r.nice)} * {w["tech"]} + 0.5)::bigint tech_points, (case when place then {w["place"]} else 0 end)::bigint place_points, ({bonus})::bigint bonus_points from h),
+  floor(nice / {len(r.nice)} * {w["tech"]} + 0.5)::bigint tech_points, (case when place then {w["place"]} else 0 end)::bigint place_points, ({bonus})::bigint bonus_points, {semantic} semantic_points from h),
 b as (select *, title_points + skill_points + tech_points + place_points base from p),
-s as (select *, (case when excluded then 0 else least(case when must = 0 then {r.cap_without_must} else 100 end, greatest(0, least(100, bonus_points + case
+s as (select *, (case when excluded then 0 else least(case when must = 0 then {r.cap_without_must} else 100 end, greatest(0, least(100, bonus_points + semantic_points + case
   when must + should + nice + roles = 0 then floor(base * 0.1 + 0.5) when must = 0 then base when must + should < {r.least_primary} then floor(base * greatest(0.5, (must + should) / {r.least_primary}) + 0.5) else base end))) end)::bigint score from b)
-select row_id, score, excluded, title_points, skill_points, tech_points, place_points, bonus_points, 0::bigint semantic_points from s"""
+select row_id, score, excluded, title_points, skill_points, tech_points, place_points, bonus_points, semantic_points from s"""
 
 
 @R.add("sc09_scores", _score_sql(RULES))
@@ -80,6 +87,12 @@ v as (select row_id, floor(least(1.0, ({signal}) * 10) * {r.term_points} + 0.5):
 select *, term_points + year_points + level_points + pay_points further from v"""
 
 
+@R.add("sc10_older_scores", _score_sql(OLDER, "(row_id % 101)::double / 100"))
+def _(t):
+    with_similarity = t("raw_jobs").withColumn("similarity", (F.col("row_id") % 101).cast("double") / 100)
+    return score(with_similarity, OLDER, "title", "content", ["row_id"], "similarity").drop("skills")
+
+
 @R.add("sc09_further_points", _further_sql(RULES))
 def _(t):
     return further_points(t("raw_jobs"), RULES, "title", "content", ["row_id"])

@@ -59,9 +59,9 @@ def anchors(df: DataFrame, html: str, keep: list[str], base: str | None = None)
     return x.withColumn("url", url).where(F.length("label").between(5, 200)).select(*keep, "position", "url", "label")
 
 
-def job_links(df: DataFrame, html: str, keep: list[str], base: str | None = None) -> DataFrame:
-    """The first link to each posting-like address of each text."""
-    found = anchors(df, html, keep, base).where(F.col("url").rlike(JOB_PATH))
+def job_links(df: DataFrame, html: str, keep: list[str], base: str | None = None, path: str = JOB_PATH) -> DataFrame:
+    """The first link to each posting-like address of each text; `path` is what such an address has."""
+    found = anchors(df, html, keep, base).where(F.col("url").rlike(path))
     return found.groupBy(*keep, "url").agg(F.min(F.struct("position", "label")).alias("m")).select(*keep, "url", "m.position", "m.label")
 
 

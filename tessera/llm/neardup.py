@@ -27,8 +27,8 @@ SKETCH = 25
 PART, PACK = 25_000, 2048
 #: Classes that a task remembers to leave out copies.
 SEEN = 1_000_000
-#: Pairs of rows that are looked at together in one task.
-AT_ONCE = 1 << 19
+#: Pairs of rows that are looked at together in one task, and entries of sets under triples.
+AT_ONCE, ENTRIES = 1 << 19, 1 << 18
 SETS = "row_id long, print long, grp long, triples binary"
 
 
@@ -144,7 +144,7 @@ def _prefixes(least: float, common: np.ndarray, parts: int):
         rows = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             who, n = np.unique(own[a:b], return_counts=True)
-            rows.append((int(part[a]), reps_[who].tobytes(), size[who].tobytes(), n.astype(np.uint16).tobytes(), parity[who].tobytes(), flat[a:b].tobytes(), place[a:b].tobytes()))
+            rows.append((int(part[a]), reps_[who].tobytes(), size[who].tobytes(), n.astype(np.int32).tobytes(), parity[who].tobytes(), flat[a:b].tobytes(), place[a:b].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], names=PART_NAMES)
 
     def run(batches):
@@ -184,7 +184,7 @@ def _meet(least: float):
 
 def _meet_part(rows: list, least: float):
     joined = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)
-    rep, size, count = joined(0, np.int64), joined(1, np.int32).astype(np.int64), joined(2, np.uint16).astype(np.int64)
+    rep, size, count = joined(0, np.int64), joined(1, np.int32).astype(np.int64), joined(2, np.int32)
     parity = joined(3, np.uint64).reshape(len(rep), -1)
     triples, places = joined(4, np.uint32), joined(5, np.uint8)
     rows.clear()
@@ -202,31 +202,38 @@ def _meet_part(rows: list, least: float):
     keyed, who, rest = keyed[order], who[order], rest[order]
     del order
     share = least / (1 + least)  # of both sizes
-    # The smaller set of a pair is asked for sets up to the size that what is left of it allows.
-    most = np.minimum((rest / share + 1e-6).astype(np.int64) - size[who], (1 << 31) - 1)
-    n = np.searchsorted(keyed, (keyed >> 31 << 31) | np.maximum(most, 0), "right") - np.arange(len(keyed)) - 1
-    n = np.where(most >= size[who], np.maximum(n, 0), 0)
-    ends, found = np.cumsum(n), []
-    lo = 0
-    while lo < len(n):
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + AT_ONCE, "right")))
-        m = n[lo:hi]
-        i = np.repeat(np.arange(lo, hi), m)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-        both = size[who[i]] + size[who[j]]
-        ok = np.flatnonzero(rest[j] >= share * both - 1e-6)
-        a, b = who[i[ok]], who[j[ok]]
-        differ = np.zeros(len(a), np.int32)
-        for k in range(parity.shape[1]):
-            differ += np.bitwise_count(parity[a, k] ^ parity[b, k])
-        ok = differ <= (1 - 2 * share) * both[ok] + 1e-6  # of the pairs left
-        found.append(np.unique((np.minimum(a[ok], b[ok]).astype(np.int64) << 32) | np.maximum(a[ok], b[ok])))
-        if sum(map(len, found)) > 4 * AT_ONCE:
-            yield _met(rep, np.unique(np.concatenate(found)))
-            found = []
-        lo = hi
-    if found and len(found := np.unique(np.concatenate(found))):
-        yield _met(rep, found)
+    found: list[np.ndarray] = []
+    for start in range(0, len(keyed), ENTRIES):
+        mine = slice(start, start + ENTRIES)
+        # The smaller set of a pair is asked for sets up to the size that what is left of it allows.
+        own = size[who[mine]]
+        most = np.minimum((rest[mine] / share + 1e-6).astype(np.int64) - own, (1 << 31) - 1)
+        n = np.searchsorted(keyed, (keyed[mine] >> 31 << 31) | np.maximum(most, 0), "right") - np.arange(start, start + len(own)) - 1
+        n = np.where(most >= own, np.maximum(n, 0), 0)
+        ends, lo = np.cumsum(n), 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + AT_ONCE, "right")))
+            found.append(_alike(np.arange(start + lo, start + hi), n[lo:hi], who, rest, size, parity, share))
+            if sum(map(len, found)) > 4 * AT_ONCE:
+                yield _met(rep, np.unique(np.concatenate(found)))
+                found = []
+            lo = hi
+    if found and len(pairs := np.unique(np.concatenate(found))):
+        yield _met(rep, pairs)
+
+
+def _alike(at: np.ndarray, n: np.ndarray, who, rest, size, parity, share: float) -> np.ndarray:
+    """Pairs, as one number each, of the entries at `at` with the n entries behind each that both bounds let pass."""
+    i = np.repeat(at, n)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+    both = size[who[i]] + size[who[j]]
+    ok = np.flatnonzero(rest[j] >= share * both - 1e-6)
+    a, b = who[i[ok]], who[j[ok]]
+    differ = np.zeros(len(a), np.int32)
+    for k in range(parity.shape[1]):
+        differ += np.bitwise_count(parity[a, k] ^ parity[b, k])
+    ok = differ <= (1 - 2 * share) * both[ok] + 1e-6  # of the pairs left
+    return np.unique((np.minimum(a[ok], b[ok]).astype(np.int64) << 32) | np.maximum(a[ok], b[ok]))
 
 
 def _met(rep: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:

@@ -74,3 +74,15 @@ def test_pairs_at_the_limit_are_all_found(spark):
     want = brute(rows)
     df = spark.createDataFrame(rows, "row_id long, title string, content string")
     assert len(want) > 80 and sorted(map(tuple, neardup.near_duplicates(df).collect())) == want
+
+
+def test_very_long_texts_and_many_copies(spark):
+    """A set with more rare triples in a part than 16 bits count, its near copy, and a third of all rows in one class."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(450_000)]
+    rows = [(1, None, " ".join(words)), (2, None, " ".join([*words[:400_000], *(f"x{i}" for i in range(50_000))]))]
+    small = " ".join(words[:80])
+    rows += [(100 + k, None, small) for k in range(40)] + [(200 + k, None, " ".join(f"y{k}z{i}" for i in range(60))) for k in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, title string, content string")
+    got = sorted(map(tuple, neardup.near_duplicates(df).collect()))
+    assert got == sorted([(1, 2), *((100 + a, 100 + b) for b in range(40) for a in range(b))])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quantity_text import Factors, automaton, quantities
+from ..session import spread
 
 RESULT = "quantity string, low long, high long"
 
@@ -21,7 +22,7 @@ def extract_quantities(df: DataFrame, factors: DataFrame, id_col: str = "row_id"
     nearest to the figure decides whether it is the post's; units of working time say so by themselves. Bare pay figures take currency, scale and period from where the record states them;
     without any, they give no row. A single figure is both ends, fractions are rounded half up. Null, empty and blank
     texts give no row; of several statements of a quantity the first counts; repeated rows stay repeated; an empty table
-    gives no rows. There is no shuffle.
+    gives no rows. There is no shuffle (but see spread).
     """
     table = [(r["quantity"], r["unit"], r["factor"]) for r in factors.select("quantity", "unit", "factor").collect()]
     key = df.schema[id_col]
@@ -35,4 +36,4 @@ def extract_quantities(df: DataFrame, factors: DataFrame, id_col: str = "row_id"
             yield pd.DataFrame(rows, columns=[id_col, "quantity", "low", "high"])
 
     schema = T.StructType([T.StructField(id_col, key.dataType), T.StructField("quantity", T.StringType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())])
-    return df.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.trim("_text") != "").mapInPandas(run, schema)
+    return spread(df.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.trim("_text") != "")).mapInPandas(run, schema)

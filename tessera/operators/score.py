@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..functions.text import clamp, collapse, round_half_up, sanitize
+from ..session import spread
 from .match import match_terms
 
 
@@ -63,7 +64,7 @@ def score(df: DataFrame, rules: Rules, title: str, body: str, keep: list[str], s
     capped; below the least number of primary hits the base is scaled, to a half at least. Null texts count as empty."""
     r = rules
     terms = r.all_terms()
-    named = df.select(*keep, *([F.col(similarity).alias("_sim")] if similarity else [F.lit(None).cast("double").alias("_sim")]), sanitize(F.col(title)).alias("_t"), sanitize(F.col(body)).alias("_b"))
+    named = spread(df).select(*keep, *([F.col(similarity).alias("_sim")] if similarity else [F.lit(None).cast("double").alias("_sim")]), sanitize(F.col(title)).alias("_t"), sanitize(F.col(body)).alias("_b"))
     read = named.withColumn("_in_title", match_terms(F.col("_t"), terms)).withColumn("_in_text", match_terms(F.concat_ws(" ", "_t", "_b"), terms))
     text, head = F.col("_in_text"), F.col("_in_title")
     must, should, nice = (_hits(text, r.widened(x)) for x in (r.must, r.should, r.nice))

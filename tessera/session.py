@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -68,3 +69,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, its rows dealt out to all cores if it is a plain scan of so few splits that less than half of them would work on
+    it: a few files of one row group each, say. Scans of more splits are left as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+|-]*([A-Za-z]+)", line))}
+    if nodes <= {"Project", "Filter", "Relation"} and 2 * df.rdd.getNumPartitions() <= cores:
+        return df.repartition(cores)
+    return df

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table, written
+from ..session import spread, table, written
 from .chargrid import LETTER, NUMBER, classes, join, mix, run_starts, slices, span_hashes
 
 #: Minima that name a set's group: sets of similarity 0.9 have them in common in 59 of 100 cases, of 0.3 in 2 of 1,000.
@@ -366,7 +366,7 @@ def similar_classes(df: DataFrame, id_col: str, text: F.Column, least: float, le
     its set."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("row_id"), text.alias("text")).where("row_id is not null")
-    sets = written(rows.mapInArrow(_sets(least_triples), SETS), "sets")
+    sets = written(spread(rows).mapInArrow(_sets(least_triples), SETS), "sets")
     membership = sets.select("row_id", F.col("print").alias("rep")).distinct()
     groups = sets.select(F.col("print").alias("rep"), "grp").distinct()
 

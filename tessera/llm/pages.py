@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import exists, table
+from ..session import exists, spread, table
 from .chargrid import slices
 from .labeller import CONTRAST_BITS, Lines, contrast_table, line_keys, scores, train, weak_labels, words_of
 
@@ -43,7 +43,7 @@ def _frequencies(batches):
 
 def _marked(df: DataFrame, text_col: str, is_page: F.Column, *more: F.Column) -> DataFrame:
     rows = df.select(F.col(text_col).alias("_text"), F.coalesce(is_page, F.lit(False)).cast("long").alias("_page"), *more).where(F.trim("_text") != "")
-    return rows.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)  # each task gives a table of counts, so few tasks
+    return spread(rows).coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)  # each task gives a table of counts, so few tasks
 
 
 def contrast(df: DataFrame, text_col: str, is_page: F.Column) -> tuple[np.ndarray, int, int]:
@@ -174,7 +174,7 @@ def main_lines(
                 own = batch.column(0).slice(a, b - a).take(pa.array(part.page[hit]))
                 yield pa.RecordBatch.from_arrays([own, pa.array(part.number[hit], pa.int64())], names=[id_col, "line_no"])
 
-    return pages.mapInArrow(run, f"`{id_col}` {key.simpleString()}, line_no long")
+    return spread(pages).mapInArrow(run, f"`{id_col}` {key.simpleString()}, line_no long")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

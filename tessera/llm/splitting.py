@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..session import table
+from ..session import spread, table
 from .bpe import SLICE_CHARS, Encoder
 from .chargrid import SPACE, classes, join, slices
 from .tokens import texts_of, vocabulary
@@ -229,7 +229,7 @@ def split_texts(df: DataFrame, budgets: list[tuple[str, int, int]], id_col: str
                 columns = list(zip(*rows)) if rows else [[]] * len(RESULT)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW)], names=RESULT.names)
 
-    return df.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(run, RESULT)
+    return spread(df.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")).mapInArrow(run, RESULT)
 
 
 ARROW = [pa.string(), pa.int64(), *[pa.int32()] * 6, pa.string()]

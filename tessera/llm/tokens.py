@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..session import table
+from ..session import spread, table
 from .bpe import Encoder, load_vocabulary
 from .chargrid import slices
 
@@ -51,7 +51,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
                     kind = pa.list_(pa.field("element", pa.int32(), False))
                     yield pa.RecordBatch.from_arrays([ids.slice(a + lo, hi - lo), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()), type=kind)], names=[id_col, "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, key.dataType), value]))
+    return spread(df.select(id_col, text_col)).mapInArrow(run, T.StructType([T.StructField(id_col, key.dataType), value]))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,18 +17,21 @@ MINIMA = 5
 BLOCK = 1024
 #: Rows of a class of copies that are paired at once; larger classes are paired in several blocks.
 COPIES = 512
-#: Bits of a set's parities; SLOTS of its triples' sample counts, and the classes sampled for these; 64-bit COLUMNS of the
-#: token-group matrix.
-PARITIES, SLOTS, SAMPLE, COLUMNS = 512, 1 << 22, 40_000, 32
+#: Bits of the parities of a set of up to NARROW triples; sets of up to twice as many have twice the bits, and so on for
+#: LEVELS. Parities much fewer than the triples of two sets differ in no more than half their slots, whatever the sets are.
+PARITIES, NARROW, LEVELS = 512, 280, 5
+#: SLOTS of the triples' sample counts, and the classes sampled for these; 64-bit COLUMNS of the token-group matrix.
+SLOTS, SAMPLE, COLUMNS = 1 << 22, 40_000, 32
 #: Bits, as a power of 2, of the sketches that tell which sets are needed: 4 MB. Many more classes than this has bits are
 #: needed nearly all.
 SKETCH = 25
-#: Rows of the table for each part of the triples, and sets whose triples go to the parts together.
-PART, PACK = 25_000, 2048
+#: Bytes of a part of the triples, about, entries of it that are sorted at once, and sets whose triples go to the parts
+#: together.
+PART, SORTED, PACK = 100_000_000, 1 << 21, 2048
 #: Classes that a task remembers to leave out copies.
 SEEN = 1_000_000
-#: Pairs of rows that are looked at together in one task, and entries of sets under triples.
-AT_ONCE, ENTRIES = 1 << 19, 1 << 18
+#: Pairs of rows that are looked at together in one task, those of them whose parities are, and entries of sets under triples.
+AT_ONCE, NEAR_CACHE, ENTRIES = 1 << 19, 1 << 13, 1 << 18
 SETS = "row_id long, print long, grp long, triples binary"
 
 
@@ -117,6 +120,24 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n numbers from each first on, one after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _level(size: np.ndarray) -> np.ndarray:
+    return np.searchsorted(NARROW << np.arange(LEVELS - 1), size)
+
+
+def _parities(own: np.ndarray, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit words of the sets' parities, one set after the other; how many each set has). Slots are numbered so that
+    the exclusive or of both halves of a set's parities is its parities of half the width."""
+    bits = np.int64(PARITIES) << _level(size)
+    slot = ((flat * np.uint32(0x9E3779B1)) >> np.uint32(8)).astype(np.int64) & (bits - 1)[own]
+    odd = np.bincount((np.cumsum(bits) - bits)[own] + slot, minlength=bits.sum()) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64), bits >> 6
+
+
 def _prefixes(least: float, common: np.ndarray, parts: int):
     """-> rows of PARTS: for each part of the triples, of PACK sets at once, those that have a rare triple of the part, with
     their sizes and parities, and these triples with their places in the set's order.
@@ -129,9 +150,8 @@ def _prefixes(least: float, common: np.ndarray, parts: int):
         size = np.array([len(x) for x in sets])
         flat = np.concatenate(sets)
         own = np.repeat(np.arange(len(sets)), size)
-        slot = (flat * np.uint32(0x9E3779B1)) >> np.uint32(32 - (PARITIES - 1).bit_length())
-        odd = np.bincount(own * PARITIES + slot, minlength=len(sets) * PARITIES) & 1
-        parity = np.packbits(odd.astype(np.uint8).reshape(len(sets), PARITIES), axis=1)
+        parity, words = _parities(own, flat, size)
+        first = np.cumsum(words) - words
         order = np.lexsort((flat, common[flat // np.uint32((1 << 32) // SLOTS)], own))
         place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         rare = place < np.repeat(size - np.ceil(least * size - 1e-9).astype(np.int64) + 1, size)
@@ -144,7 +164,7 @@ def _prefixes(least: float, common: np.ndarray, parts: int):
         rows = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             who, n = np.unique(own[a:b], return_counts=True)
-            rows.append((int(part[a]), reps_[who].tobytes(), size[who].tobytes(), n.astype(np.int32).tobytes(), parity[who].tobytes(), flat[a:b].tobytes(), place[a:b].tobytes()))
+            rows.append((int(part[a]), reps_[who].tobytes(), size[who].tobytes(), n.astype(np.int32).tobytes(), parity[_ranges(first[who], words[who])].tobytes(), flat[a:b].tobytes(), place[a:b].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], names=PART_NAMES)
 
     def run(batches):
@@ -183,26 +203,66 @@ def _meet(least: float):
 
 
 def _meet_part(rows: list, least: float):
-    joined = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)
-    rep, size, count = joined(0, np.int64), joined(1, np.int32).astype(np.int64), joined(2, np.int32)
-    parity = joined(3, np.uint64).reshape(len(rep), -1)
-    triples, places = joined(4, np.uint32), joined(5, np.uint8)
+    columns = [list(c) for c in zip(*rows)]
     rows.clear()
-    distinct, first = np.unique(rep, return_index=True)
-    if len(distinct) < len(rep):  # copies from other tasks
-        once = np.zeros(len(rep), bool)
-        once[first] = True
+
+    def joined(k: int, kind) -> np.ndarray:
+        raw, columns[k] = b"".join(columns[k]), []
+        return np.frombuffer(raw, kind)
+
+    rep, size, count, triples, places = joined(0, np.int64), joined(1, np.int32).astype(np.int64), joined(2, np.int32), joined(4, np.uint32), joined(5, np.uint8)
+    once = np.zeros(len(rep), bool)
+    once[np.unique(rep, return_index=True)[1]] = True
+    sketches = _sketches(joined(3, np.uint64), size, once)
+    if not once.all():  # copies from other tasks
         kept = np.repeat(once, count)
-        rep, size, parity, triples, places, count = rep[once], size[once], parity[once], triples[kept], places[kept], count[once]
-    who = np.repeat(np.arange(len(rep), dtype=np.int32), count)
+        rep, size, triples, places, count = rep[once], size[once], triples[kept], places[kept], count[once]
+    own = np.repeat(np.arange(len(rep), dtype=np.int32), count)
+    found, many = [], 0
+    cuts = np.linspace(0, 1 << 32, max(1, -(-len(triples) // SORTED)) + 1).astype(np.int64)
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        mine = slice(None) if len(cuts) == 2 else np.flatnonzero((triples >= lo) & (triples < hi))
+        for pairs in _candidates(own[mine], triples[mine], places[mine], size, sketches, least):
+            found.append(pairs)
+            many += len(pairs)
+            if many > 4 * AT_ONCE:
+                found = [np.unique(np.concatenate(found))]
+                many = len(found[0])
+                if many > 2 * AT_ONCE:
+                    yield _met(rep, found[0])
+                    found, many = [], 0
+    if many:
+        yield _met(rep, np.unique(np.concatenate(found)))
+
+
+def _sketches(words: np.ndarray, size: np.ndarray, once: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each width of parities, the narrowest first: the row of each class that has so many or more, else -1, and the
+    rows. Classes are numbered by `once`."""
+    level = _level(size)
+    n = (PARITIES >> 6) << level
+    first = np.cumsum(n) - n
+    number = np.cumsum(once) - 1
+    out, who, table = [], np.zeros(0, np.int64), np.zeros((0, PARITIES >> 6 << LEVELS), np.uint64)
+    for k in reversed(range(LEVELS)):
+        wide = table.shape[1] // 2
+        more = np.flatnonzero((level == k) & once)
+        table = np.concatenate([table[:, :wide] ^ table[:, wide:], words[_ranges(first[more], n[more])].reshape(-1, wide)])
+        who = np.concatenate([who, number[more]])
+        if len(who):
+            row = np.full(int(once.sum()), -1, np.int32)
+            row[who] = np.arange(len(who), dtype=np.int32)
+            out.append((row, table))
+    return out[::-1]
+
+
+def _candidates(who, triples, places, size, sketches, least: float):
+    """Pairs of classes, as one number each, of entries (class, triple, its place in the class) with one triple."""
     rest = (size[who] - places).astype(np.int32)
     keyed = (triples.astype(np.int64) << 31) | size[who]
-    del triples, places
     order = np.argsort(keyed)
     keyed, who, rest = keyed[order], who[order], rest[order]
-    del order
+    del triples, places, order
     share = least / (1 + least)  # of both sizes
-    found: list[np.ndarray] = []
     for start in range(0, len(keyed), ENTRIES):
         mine = slice(start, start + ENTRIES)
         # The smaller set of a pair is asked for sets up to the size that what is left of it allows.
@@ -213,27 +273,33 @@ def _meet_part(rows: list, least: float):
         ends, lo = np.cumsum(n), 0
         while lo < len(n):
             hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + AT_ONCE, "right")))
-            found.append(_alike(np.arange(start + lo, start + hi), n[lo:hi], who, rest, size, parity, share))
-            if sum(map(len, found)) > 4 * AT_ONCE:
-                yield _met(rep, np.unique(np.concatenate(found)))
-                found = []
+            yield _alike(np.arange(start + lo, start + hi), n[lo:hi], who, rest, size, sketches, share)
             lo = hi
-    if found and len(pairs := np.unique(np.concatenate(found))):
-        yield _met(rep, pairs)
 
 
-def _alike(at: np.ndarray, n: np.ndarray, who, rest, size, parity, share: float) -> np.ndarray:
+def _alike(at: np.ndarray, n: np.ndarray, who, rest, size, sketches, share: float) -> np.ndarray:
     """Pairs, as one number each, of the entries at `at` with the n entries behind each that both bounds let pass."""
-    i = np.repeat(at, n)
-    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+    i, j = np.repeat(at, n), _ranges(at + 1, n)
     both = size[who[i]] + size[who[j]]
     ok = np.flatnonzero(rest[j] >= share * both - 1e-6)
-    a, b = who[i[ok]], who[j[ok]]
-    differ = np.zeros(len(a), np.int32)
-    for k in range(parity.shape[1]):
-        differ += np.bitwise_count(parity[a, k] ^ parity[b, k])
-    ok = differ <= (1 - 2 * share) * both[ok] + 1e-6  # of the pairs left
-    return np.unique((np.minimum(a[ok], b[ok]).astype(np.int64) << 32) | np.maximum(a[ok], b[ok]))
+    a, b, most = who[i[ok]], who[j[ok]], (1 - 2 * share) * both[ok] + 1e-6
+    for row, table in sketches:
+        x, y = row[a], row[b]
+        ok = np.ones(len(a), bool)
+        with_both = np.flatnonzero((x >= 0) & (y >= 0))
+        for k in range(0, len(with_both), NEAR_CACHE):
+            part = with_both[k : k + NEAR_CACHE]
+            ok[part] = _differ(table[x[part]] ^ table[y[part]]) <= most[part]
+        a, b, most = a[ok], b[ok], most[ok]  # of the pairs left
+    return np.unique((np.minimum(a, b).astype(np.int64) << 32) | np.maximum(a, b))
+
+
+def _differ(words: np.ndarray) -> np.ndarray:
+    """Bits set in each row of a multiple of eight words: bytes are added up within words, as two bytes can hold 512."""
+    eight = np.bitwise_count(words).view(np.uint64)
+    low = np.uint64(0x00FF00FF00FF00FF)
+    eight = (((eight & low) + ((eight >> np.uint64(8)) & low)) * np.uint64(0x0001000100010001)) >> np.uint64(48)
+    return eight[:, 0] if eight.shape[1] == 1 else eight.sum(axis=1)
 
 
 def _met(rep: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
@@ -301,8 +367,7 @@ class Group:
         if len(at) < least * len(tokens):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         n = self.first[at + 1] - self.first[at]
-        places = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        shared = np.bincount(self.member[places], minlength=len(self.ids))
+        shared = np.bincount(self.member[_ranges(self.first[at], n)], minlength=len(self.ids))
         hit = np.flatnonzero(shared >= least * (len(tokens) + self.sizes - shared) - 1e-9)
         return hit, shared[hit]
 
@@ -360,6 +425,17 @@ def _among(group: Group, members: list, least: float) -> list[tuple[int, int, in
     return out
 
 
+def part_count(n: int, triples: float, least: float) -> int:
+    """How many parts the triples of n sets of so many triples go to, that a part has some PART bytes: what each set has
+    for a header in each part where it has a rare triple is far more than the triples, so parts are as few as can be."""
+    rare = (1 - least) * triples + 1
+    head = 16 + ((PARITIES >> 3) << int(_level(np.array([triples]))[0]))
+    parts = 1
+    while n * (head * (1 - (1 - 1 / parts) ** rare) + 5 * rare / parts) > PART:
+        parts += 1 + parts // 16
+    return parts
+
+
 def similar_classes(df: DataFrame, id_col: str, text: F.Column, least: float, least_triples: int) -> tuple[DataFrame, DataFrame]:
     """(pairs, membership): pairs (rep_a < rep_b, shared) of classes of equal sets whose similarity is at least `least`,
     and the class (row_id, rep) of each row with at least `least_triples` triples. A class is named by a 64-bit print of
@@ -372,9 +448,10 @@ def similar_classes(df: DataFrame, id_col: str, text: F.Column, least: float, le
 
     # Which classes may be similar: those that share one of their rarest triples, within two bounds.
     n = sets.count()
-    parts = max(min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), n // PART, 1)
     share = min(1.0, SAMPLE / max(1, n))
     sample = sets.where(F.pmod(F.xxhash64("print"), F.lit(1 << 20)) < round(share * (1 << 20)))
+    triples = (sample.agg(F.avg(F.octet_length("triples"))).first()[0] or 0) / 4
+    parts = max(min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), part_count(n, triples, least), 1)
     counts = sample.select("print", "triples").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     common = np.zeros(SLOTS, np.uint16)
     common[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 65535)

@@ -27,7 +27,7 @@ SLOTS, SAMPLE, COLUMNS = 1 << 22, 40_000, 32
 SKETCH = 25
 #: Bytes of a part of the triples, about, entries of it that are sorted at once, and sets whose triples go to the parts
 #: together.
-PART, SORTED, PACK = 100_000_000, 1 << 21, 2048
+PART, SORTED, PACK = 90_000_000, 1 << 20, 2048
 #: Classes that a task remembers to leave out copies.
 SEEN = 1_000_000
 #: Pairs of rows that are looked at together in one task, those of them whose parities are, and entries of sets under triples.
@@ -210,10 +210,11 @@ def _meet_part(rows: list, least: float):
         raw, columns[k] = b"".join(columns[k]), []
         return np.frombuffer(raw, kind)
 
-    rep, size, count, triples, places = joined(0, np.int64), joined(1, np.int32).astype(np.int64), joined(2, np.int32), joined(4, np.uint32), joined(5, np.uint8)
+    rep, size, count = joined(0, np.int64), joined(1, np.int32).astype(np.int64), joined(2, np.int32)
     once = np.zeros(len(rep), bool)
     once[np.unique(rep, return_index=True)[1]] = True
     sketches = _sketches(joined(3, np.uint64), size, once)
+    triples, places = joined(4, np.uint32), joined(5, np.uint8)
     if not once.all():  # copies from other tasks
         kept = np.repeat(once, count)
         rep, size, triples, places, count = rep[once], size[once], triples[kept], places[kept], count[once]
@@ -240,13 +241,12 @@ def _sketches(words: np.ndarray, size: np.ndarray, once: np.ndarray) -> list[tup
     rows. Classes are numbered by `once`."""
     level = _level(size)
     n = (PARITIES >> 6) << level
-    first = np.cumsum(n) - n
     number = np.cumsum(once) - 1
     out, who, table = [], np.zeros(0, np.int64), np.zeros((0, PARITIES >> 6 << LEVELS), np.uint64)
     for k in reversed(range(LEVELS)):
         wide = table.shape[1] // 2
-        more = np.flatnonzero((level == k) & once)
-        table = np.concatenate([table[:, :wide] ^ table[:, wide:], words[_ranges(first[more], n[more])].reshape(-1, wide)])
+        more = (level == k) & once
+        table = np.concatenate([table[:, :wide] ^ table[:, wide:], words[np.repeat(more, n)].reshape(-1, wide)])
         who = np.concatenate([who, number[more]])
         if len(who):
             row = np.full(int(once.sum()), -1, np.int32)
